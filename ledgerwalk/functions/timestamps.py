@@ -2,10 +2,16 @@
 
 All expressions are native; no Python runs per row.  Timestamps are
 ``TIMESTAMP_NTZ`` values holding UTC wall time.
+
+Parsing is written as stages over an array of candidate structs
+(``transform``): each stage reads fields of the previous stage's element, so
+an intermediate value (trimmed text, offset split, date fields) is computed
+once instead of being copied into every expression that uses it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -16,8 +22,13 @@ from ..constants import (CAPTURE_TAG_PRIORITY, MOD_TIME_SOURCE, OFFSET_COMPANION
                          UNICODE_SPACE_CLASS)
 from .paths import _c, filename_parts, sanitize_basename, short_sha
 
-_DATE_RE = r"^(\d{4}):(\d{2}):(\d{2}) (\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d+))?$"
-_OFFSET_RE = r"^([+-])(\d{2}):(\d{2})$"
+DATE_RE = r"^(\d{4}):(\d{2}):(\d{2}) (\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d+))?$"
+OFFSET_RE = r"^([+-])(\d{2}):(\d{2})$"
+
+
+def let(expr: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``expr`` once and use it (possibly many times) in ``body``."""
+    return F.element_at(F.transform(F.array(expr), body), 1)
 
 
 def validate_zone(zone: str | None) -> str:
@@ -37,62 +48,96 @@ def trim_space(s: Column | str) -> Column:
                             UNICODE_SPACE_CLASS + "+$", "")
 
 
-def extract_offset(s: Column | str) -> Column:
-    """struct(offset, rest): a trailing ``Z`` becomes ``+00:00``; a 6-char tail
-    ``±??:??`` is split off; otherwise offset is NULL and rest is ``s``."""
-    x = _c(s)
+def _offset_parts(x: Column) -> tuple[Column, Column]:
     n = F.length(x)
     tail = F.substring(x, -6, 6)
     has_z = x.endswith("Z")
     has_tail = (n >= 6) & F.substring(tail, 1, 1).isin("+", "-") & (F.substring(tail, 4, 1) == ":")
     offset = F.when(has_z, F.lit("+00:00")).when(has_tail, tail)
     rest = F.when(has_z, x.substr(F.lit(1), n - 1)).when(has_tail, x.substr(F.lit(1), n - 6)).otherwise(x)
-    return F.struct(offset.alias("offset"), rest.alias("rest"))
+    return offset, rest
+
+
+def extract_offset(s: Column | str) -> Column:
+    """struct(offset, rest): a trailing ``Z`` becomes ``+00:00``; a 6-char tail
+    ``±??:??`` is split off; otherwise offset is NULL and rest is ``s``."""
+    def body(x):
+        offset, rest = _offset_parts(x)
+        return F.struct(offset.alias("offset"), rest.alias("rest"))
+    return let(_c(s), body)
+
+
+def _offset_seconds(x: Column) -> Column:
+    sign = F.when(F.substring(x, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    secs = sign * (F.substring(x, 2, 2).cast("int") * 3600 + F.substring(x, 5, 2).cast("int") * 60)
+    return F.when(x.rlike(OFFSET_RE), secs)
 
 
 def parse_offset(s: Column | str) -> Column:
     """``±HH:MM`` -> signed seconds east of UTC (no range check); NULL if malformed."""
-    x = _c(s)
-    ok = x.rlike(_OFFSET_RE)
-    sign = F.when(F.substring(x, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    secs = sign * (F.regexp_extract(x, _OFFSET_RE, 2).cast("int") * 3600
-                   + F.regexp_extract(x, _OFFSET_RE, 3).cast("int") * 60)
-    return F.when(ok, secs)
+    return let(_c(s), _offset_seconds)
 
 
 def _shift(local: Column, offset_seconds: Column) -> Column:
     """local wall time at a fixed offset -> UTC wall time."""
-    return local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                      offset_seconds.cast("decimal(18,6)"))
+    return local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset_seconds.cast("decimal(18,6)"))
+
+
+def _stage(arr: Column, keep: list[str], new: Callable[[Column], dict[str, Column]]) -> Column:
+    return F.transform(arr, lambda c: F.struct(*[c[k].alias(k) for k in keep],
+                                               *[v.alias(k) for k, v in new(c).items()]))
+
+
+def _parse_candidates(arr: Column, zone: str | None) -> Column:
+    """array<struct<prio, tag, v, hint>> -> array<struct<prio, tag, ts>>.
+
+    ``ts`` is the UTC time of ``v`` (``YYYY:MM:DD HH:MM:SS[.frac][Z|±HH:MM]``)
+    or NULL.  Offset precedence: embedded (a malformed one rejects the value)
+    > valid hint (a malformed hint is ignored) > ``zone``."""
+    a = _stage(arr, ["prio", "tag", "hint"], lambda c: {"s": trim_space(c["v"])})
+
+    def split(c):
+        offset, rest = _offset_parts(c["s"])
+        return {"emb": offset, "rest": rest}
+    a = _stage(a, ["prio", "tag", "hint", "s"], split)
+
+    def fields(c):
+        g = lambda i: F.regexp_extract(c["rest"], DATE_RE, i)
+        return {"ok": c["rest"].rlike(DATE_RE), "y": g(1).try_cast("int"), "mo": g(2).try_cast("int"),
+                "d": g(3).try_cast("int"), "h": g(4).try_cast("int"), "mi": g(5).try_cast("int"), "se": g(6),
+                "fr": F.rpad(F.substring(g(7), 1, 6), 6, "0")}
+    a = _stage(a, ["prio", "tag", "hint", "s", "emb"], fields)
+
+    def local(c):
+        in_range = (c["ok"] & c["mo"].between(1, 12) & (c["h"] < 24) & (c["mi"] < 60)
+                    & (c["se"].try_cast("int") < 60) & (c["d"] >= 1))
+        secs = F.concat(c["se"], F.lit("."), c["fr"]).cast("decimal(8,6)")
+        return {"local": F.when(in_range, F.try_make_timestamp_ntz(c["y"], c["mo"], c["d"], c["h"], c["mi"], secs)),
+                "emb_s": _offset_seconds(c["emb"]), "hint_s": _offset_seconds(c["hint"])}
+    a = _stage(a, ["prio", "tag", "s", "emb"], local)
+
+    def utc(c):
+        by_zone = (F.convert_timezone(F.lit(zone), F.lit("UTC"), c["local"]) if zone
+                   else F.lit(None).cast("timestamp_ntz"))
+        ts = (F.when(c["s"] == "", F.lit(None).cast("timestamp_ntz"))
+              .when(c["emb"].isNotNull(), F.when(c["emb_s"].isNotNull(), _shift(c["local"], c["emb_s"])))
+              .when(c["hint_s"].isNotNull(), _shift(c["local"], c["hint_s"]))
+              .otherwise(by_zone))
+        return {"ts": ts}
+    return _stage(a, ["prio", "tag"], utc)
+
+
+def _candidate(prio: int, tag: str, v: Column, hint: Column | None) -> Column:
+    return F.struct(F.lit(prio).alias("prio"), F.lit(tag).alias("tag"), v.cast("string").alias("v"),
+                    (hint if hint is not None else F.lit(None)).cast("string").alias("hint"))
 
 
 def parse_exif_date(s: Column | str, offset_hint: Column | str | None = None,
                     zone: str | None = None) -> Column:
-    """Parse ``YYYY:MM:DD HH:MM:SS[.frac][Z|±HH:MM]`` to a UTC ``TIMESTAMP_NTZ``.
-
-    Offset precedence: embedded (a malformed one rejects the value) > valid
-    hint (a malformed hint is ignored) > ``zone``.  NULL when unparseable.
-    """
-    x = trim_space(_c(s))
-    parts = extract_offset(x)
-    embedded, rest = parts["offset"], parts["rest"]
-    g = lambda i: F.regexp_extract(rest, _DATE_RE, i)
-    ok = rest.rlike(_DATE_RE)
-    year, month, day = g(1).cast("int"), g(2).cast("int"), g(3).cast("int")
-    hour, minute, sec = g(4).cast("int"), g(5).cast("int"), g(6).cast("int")
-    frac = F.rpad(F.substring(g(7), 1, 6), 6, "0")
-    seconds = F.concat(g(6), F.lit("."), frac).cast("decimal(8,6)")
-    in_range = (month.between(1, 12) & (hour < 24) & (minute < 60) & (sec < 60) & (day >= 1))
-    local = F.when(ok & in_range,
-                   F.try_make_timestamp_ntz(year, month, day, hour, minute, seconds))
-    hint = parse_offset(_c(offset_hint)) if offset_hint is not None else F.lit(None).cast("int")
-    emb = parse_offset(embedded)
-    by_zone = (F.convert_timezone(F.lit(zone), F.lit("UTC"), local) if zone
-               else F.lit(None).cast("timestamp_ntz"))
-    return (F.when(x == "", F.lit(None).cast("timestamp_ntz"))
-            .when(embedded.isNotNull(), F.when(emb.isNotNull(), _shift(local, emb)))
-            .when(hint.isNotNull(), _shift(local, hint))
-            .otherwise(by_zone))
+    """Parse one EXIF-style date to a UTC ``TIMESTAMP_NTZ`` (NULL if unparseable)."""
+    hint = _c(offset_hint) if offset_hint is not None else None
+    arr = F.array(_candidate(0, "", _c(s), hint))
+    return F.element_at(_parse_candidates(arr, zone), 1)["ts"]
 
 
 def _tag_schema() -> T.StructType:
@@ -104,17 +149,21 @@ def capture_time(data: Column | str, mod_time: Column | str, zone: str | None) -
     """struct(ts, source): first priority tag that is a non-empty string and
     parses; else ``mod_time`` (source ``files.mod_time``); NULL if neither."""
     tags = F.from_json(_c(data), _tag_schema(), {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    choices = []
-    for tag in CAPTURE_TAG_PRIORITY:
-        v = tags.getField(tag)
-        companion = OFFSET_COMPANION_TAGS.get(tag)
-        hint = tags.getField(companion) if companion else None
-        ts = F.when(v.isNotNull() & (v != ""), parse_exif_date(v, hint, zone))
-        choices.append(F.when(ts.isNotNull(), F.struct(ts.alias("ts"), F.lit(tag).alias("source"))))
-    mt = _c(mod_time)
-    choices.append(F.when(mt.isNotNull(),
-                          F.struct(mt.cast("timestamp_ntz").alias("ts"), F.lit(MOD_TIME_SOURCE).alias("source"))))
-    return F.coalesce(*choices)
+
+    def candidates(t: Column) -> Column:
+        out = []
+        for prio, tag in enumerate(CAPTURE_TAG_PRIORITY):
+            comp = OFFSET_COMPANION_TAGS.get(tag)
+            v = t.getField(tag)
+            out.append(_candidate(prio, tag, F.when(v != "", v), t.getField(comp) if comp else None))
+        return F.filter(F.array(*out), lambda c: c["v"].isNotNull())
+
+    parsed = _parse_candidates(let(tags, candidates), zone)
+    first = F.try_element_at(F.filter(parsed, lambda c: c["ts"].isNotNull()), F.lit(1))
+    mt = _c(mod_time).cast("timestamp_ntz")
+    return let(first, lambda f: F.coalesce(
+        F.when(f["ts"].isNotNull(), F.struct(f["ts"].alias("ts"), f["tag"].alias("source"))),
+        F.when(mt.isNotNull(), F.struct(mt.alias("ts"), F.lit(MOD_TIME_SOURCE).alias("source")))))
 
 
 def compact_utc(ts: Column | str) -> Column:
@@ -130,10 +179,11 @@ def rfc3339(ts: Column | str) -> Column:
 
 def destination_path(ts: Column | str, sha: Column | str, path: Column | str) -> Column:
     """``media/YYYY/MM/<yyyyMMddTHHmmssZ>-<sha8>-<base><lower ext>``."""
-    t = _c(ts).cast("string")
-    parts = filename_parts(path)
-    return F.concat(
-        F.lit("media/"), F.substring(t, 1, 4), F.lit("/"), F.substring(t, 6, 2), F.lit("/"),
-        compact_utc(ts), F.lit("-"), short_sha(sha), F.lit("-"),
-        sanitize_basename(parts["base"]), F.lower(parts["ext"]),
-    )
+    def body(p: Column) -> Column:
+        t = p["t"]
+        return F.concat(
+            F.lit("media/"), F.substring(t, 1, 4), F.lit("/"), F.substring(t, 6, 2), F.lit("/"),
+            F.translate(F.substring(t, 1, 19), " -:", "T"), F.lit("Z-"), short_sha(p["sha"]), F.lit("-"),
+            sanitize_basename(p["parts"]["base"]), F.lower(p["parts"]["ext"]))
+    return let(F.struct(_c(ts).cast("string").alias("t"), _c(sha).alias("sha"),
+                        filename_parts(path).alias("parts")), body)

@@ -80,7 +80,8 @@ DOCS_BASE = """docs_base AS (
          WHEN 1 THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id - 1)
          WHEN 2 THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id)
          ELSE TIMESTAMP '2024-01-01 00:00:00' + to_hours(1) + to_seconds(doc_id) END AS hashed_at,
-    CASE WHEN doc_id % 41 = 0 THEN NULL ELSE text END AS content
+    CASE WHEN doc_id % 41 = 0 THEN NULL ELSE text END AS content,
+    lang, source
   FROM documents)"""
 
 DOCS_FILES = """docs_files AS (

@@ -701,9 +701,8 @@ def q_align_schema(spark, sf):
 @register("sanitized_names", O.with_(O.DOCS_BASE) + f"""
 SELECT id, regexp_extract({O.basename('path')}, '^(?s)(.+?)(\\.[^.]*)?$', 1) AS base,
   regexp_extract({O.basename('path')}, '^(?s)(.+?)(\\.[^.]*)?$', 2) AS ext,
-  CASE WHEN regexp_replace(regexp_replace(lang || ' ' || source || chr(9), '^{O._SP}+', ''), '{O._SP}+$', '') = ''
-       THEN '_' ELSE regexp_replace(regexp_replace(regexp_replace(' ' || lang || '/' || source || chr(1) || ' ',
-         '^{O._SP}+', ''), '{O._SP}+$', ''), '[/\\\\\\x00-\\x1F\\x7F]', '_', 'g') END AS sanitized
+  regexp_replace(regexp_replace(regexp_replace(' ' || lang || '/' || source || chr(1) || ' ',
+    '^{O._SP}+', ''), '{O._SP}+$', ''), '[/\\\\\\x00-\\x1F\\x7F]', '_', 'g') AS sanitized
 FROM docs_base""")
 def q_sanitized_names(spark, sf):
     b = V.docs_base(spark, sf)

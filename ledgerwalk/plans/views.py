@@ -54,6 +54,7 @@ def docs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                 WHEN 2 THEN timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)
                 ELSE timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 1, 0, doc_id) END AS hashed_at""",
         "CASE WHEN doc_id % 41 = 0 THEN CAST(NULL AS STRING) ELSE text END AS content",
+        "lang", "source",
     )
 
 

@@ -42,10 +42,18 @@ def validate_zone(zone: str | None) -> str:
     return zone
 
 
+# the characters of UNICODE_SPACE_CLASS, for a cheap first/last-character test
+_SPACE_CHARS = ("\t", "\n", "\x0b", "\f", "\r", " ", "\x85", "\xa0", "\u1680",
+                *[chr(c) for c in range(0x2000, 0x200B)], "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+
+
 def trim_space(s: Column | str) -> Column:
+    """Trim Unicode white space; the regex runs only when an end is white space."""
     x = _c(s)
-    return F.regexp_replace(F.regexp_replace(x, "^" + UNICODE_SPACE_CLASS + "+", ""),
+    ends = F.substring(x, 1, 1).isin(*_SPACE_CHARS) | F.substring(x, -1, 1).isin(*_SPACE_CHARS)
+    slow = F.regexp_replace(F.regexp_replace(x, "^" + UNICODE_SPACE_CLASS + "+", ""),
                             UNICODE_SPACE_CLASS + "+$", "")
+    return F.when(ends, slow).otherwise(x)
 
 
 def _offset_parts(x: Column) -> tuple[Column, Column]:
@@ -187,3 +195,74 @@ def destination_path(ts: Column | str, sha: Column | str, path: Column | str) ->
             sanitize_basename(p["parts"]["base"]), F.lower(p["parts"]["ext"]))
     return let(F.struct(_c(ts).cast("string").alias("t"), _c(sha).alias("sha"),
                         filename_parts(path).alias("parts")), body)
+
+
+# ------------------------------------------------------------------------
+# DataFrame form: the same semantics as ``capture_time`` as staged
+# projections (one column per tag and step).  Every intermediate is an
+# attribute of the previous projection, so nothing is recomputed and the
+# whole chain stays inside whole-stage code generation.
+# ------------------------------------------------------------------------
+
+_HOUR1 = r"^(\d{4}:\d{2}:\d{2} )(\d):"
+
+
+def with_capture_time(df, data: str = "data", mod_time: str = "mod_time", zone: str | None = None,
+                      ts_col: str = "capture_ts", source_col: str = "source"):
+    """``df`` plus ``ts_col`` (UTC capture time) and ``source_col`` (tag name
+    or ``files.mod_time``); both NULL when nothing parses."""
+    n = len(CAPTURE_TAG_PRIORITY)
+    p = "_ct"
+    tags = F.from_json(F.col(data), _tag_schema(), {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    out = df.withColumn(f"{p}_tags", tags)
+    s1 = []
+    for i, tag in enumerate(CAPTURE_TAG_PRIORITY):
+        v = F.col(f"{p}_tags").getField(tag)
+        s1.append(trim_space(F.when(v != "", v)).alias(f"{p}_s{i}"))
+        comp = OFFSET_COMPANION_TAGS.get(tag)
+        s1.append((F.col(f"{p}_tags").getField(comp) if comp else F.lit(None).cast("string")).alias(f"{p}_h{i}"))
+    out = out.select("*", *s1).drop(f"{p}_tags")
+    s2 = []
+    for i in range(n):
+        offset, rest = _offset_parts(F.col(f"{p}_s{i}"))
+        s2 += [offset.alias(f"{p}_e{i}"), rest.alias(f"{p}_r{i}")]
+    out = out.select("*", *s2)
+    s3 = []
+    for i in range(n):
+        r = F.col(f"{p}_r{i}")
+        # one-digit hours padded so every field sits at a fixed position
+        s3 += [r.rlike(DATE_RE).alias(f"{p}_ok{i}"), F.regexp_replace(r, _HOUR1, "$10$2:").alias(f"{p}_n{i}")]
+    out = out.select("*", *s3)
+    s4 = []
+    for i in range(n):
+        x = F.col(f"{p}_n{i}")
+        y, mo, d = (F.substring(x, 1, 4).try_cast("int"), F.substring(x, 6, 2).try_cast("int"),
+                    F.substring(x, 9, 2).try_cast("int"))
+        h, mi, se = (F.substring(x, 12, 2).try_cast("int"), F.substring(x, 15, 2).try_cast("int"),
+                     F.substring(x, 18, 2))
+        fr = F.rpad(F.substring(x, 21, 6), 6, "0")
+        ok = (F.col(f"{p}_ok{i}") & mo.between(1, 12) & (h < 24) & (mi < 60) & (se.try_cast("int") < 60)
+              & (d >= 1))
+        secs = F.concat(se, F.lit("."), fr).try_cast("decimal(8,6)")
+        s4 += [F.when(ok, F.try_make_timestamp_ntz(y, mo, d, h, mi, secs)).alias(f"{p}_l{i}"),
+               _offset_seconds(F.col(f"{p}_e{i}")).alias(f"{p}_es{i}"),
+               _offset_seconds(F.col(f"{p}_h{i}")).alias(f"{p}_hs{i}")]
+    out = out.select("*", *s4)
+    s5 = []
+    for i in range(n):
+        loc, e, es, hs = (F.col(f"{p}_l{i}"), F.col(f"{p}_e{i}"), F.col(f"{p}_es{i}"), F.col(f"{p}_hs{i}"))
+        by_zone = (F.convert_timezone(F.lit(zone), F.lit("UTC"), loc) if zone
+                   else F.lit(None).cast("timestamp_ntz"))
+        ts = (F.when(F.col(f"{p}_s{i}").isNull() | (F.col(f"{p}_s{i}") == ""), F.lit(None).cast("timestamp_ntz"))
+              .when(e.isNotNull(), F.when(es.isNotNull(), _shift(loc, es)))
+              .when(hs.isNotNull(), _shift(loc, hs))
+              .otherwise(by_zone))
+        s5.append(ts.alias(f"{p}_t{i}"))
+    out = out.select("*", *s5)
+    mt = F.col(mod_time).cast("timestamp_ntz")
+    ts_all = [F.col(f"{p}_t{i}") for i in range(n)]
+    source = F.coalesce(*[F.when(F.col(f"{p}_t{i}").isNotNull(), F.lit(tag))
+                          for i, tag in enumerate(CAPTURE_TAG_PRIORITY)],
+                        F.when(mt.isNotNull(), F.lit(MOD_TIME_SOURCE)))
+    out = out.withColumn(ts_col, F.coalesce(*ts_all, mt)).withColumn(source_col, source)
+    return out.drop(*[c for c in out.columns if c.startswith(f"{p}_")])

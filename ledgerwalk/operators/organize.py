@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..constants import MEDIA_MIME_TYPES, RULE_ORGANIZE
-from ..functions.timestamps import capture_time, destination_path, validate_zone
+from ..functions.timestamps import destination_path, validate_zone, with_capture_time
 from .catalog import _ts
 from .ids import next_id, with_dense_ids
 
@@ -59,10 +59,8 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
         raise ValueError("mime table not available: run the mime enricher first")
     files = tables["files"]
     cands = organize_candidates(files, tables["mime"], tables.get("exif"), mime_types or MEDIA_MIME_TYPES)
-    ct = capture_time("data", "mod_time", zone)
-    c = cands.withColumn("ct", ct).select(
-        F.col("id").alias("file_id"), "sha256", "path", "size", "mod_time",
-        F.col("ct.ts").alias("capture_ts"), F.col("ct.source").alias("source"))
+    c = with_capture_time(cands, "data", "mod_time", zone, "capture_ts", "source").select(
+        F.col("id").alias("file_id"), "sha256", "path", "size", "mod_time", "capture_ts", "source")
     c = c.withColumn("dst_path", F.when(F.col("capture_ts").isNotNull(),
                                         destination_path("capture_ts", "sha256", "path"))) \
          .withColumn("reason", F.when(F.col("source").isNotNull(), F.concat(F.lit("source: "), F.col("source"))))
@@ -73,7 +71,8 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
     c = c.join(clean_hashes, "sha256", "left")
     first = (F.when(F.col("capture_ts").isNull(), F.lit(STATUS_ERROR))
              .when(F.col("in_clean").isNotNull(), F.lit(STATUS_SKIPPED)))
-    c = c.withColumn("status", first).drop("in_clean")
+    # materialise once: the status steps below read the candidates several times
+    c = c.withColumn("status", first).drop("in_clean").checkpoint()
     if dry_run:
         return _finish(c.withColumn("status", F.coalesce("status", F.lit(STATUS_ORGANIZE))))
 

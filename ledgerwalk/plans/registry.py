@@ -417,10 +417,9 @@ _CAPTURE_ALL = O.capture_ctes("(SELECT id, data, mod_time FROM media_base)", V.M
 
 @register("capture_times", O.with_(*O.MEDIA_CORE, *_CAPTURE_ALL) + "SELECT id, capture_ts, source FROM capture")
 def q_capture_times(spark, sf):
-    from ..functions import capture_time
-    b = V.media_base(spark, sf)
-    return b.select("id", capture_time("data", "mod_time", V.MEDIA_ZONE).alias("c")) \
-        .select("id", F.col("c.ts").alias("capture_ts"), F.col("c.source").alias("source"))
+    from ..functions.timestamps import with_capture_time
+    b = V.media_base(spark, sf).select("id", "data", "mod_time")
+    return with_capture_time(b, "data", "mod_time", V.MEDIA_ZONE).select("id", "capture_ts", "source")
 
 
 _CAPTURE_C = O.capture_ctes("(SELECT id, data, mod_time FROM cands)", V.MEDIA_ZONE)
@@ -451,13 +450,13 @@ SELECT c.id, {O.basename('c.path')} AS name, p.capture_ts,
   replace(strftime(p.capture_ts, '%Y-%m-%d %H:%M:%S'), ' ', 'T') || 'Z' AS capture_rfc3339
 FROM cands c JOIN capture p USING (id)""")
 def q_destination_paths(spark, sf):
-    from ..functions import capture_time, destination_path
+    from ..functions import destination_path
+    from ..functions.timestamps import with_capture_time
     t = V.media_tables(spark, sf)
-    c = organize_candidates(t["files"], t["mime"], t["exif"]) \
-        .withColumn("ct", capture_time("data", "mod_time", V.MEDIA_ZONE))
-    return c.select("id", basename("path").alias("name"), F.col("ct.ts").alias("capture_ts"),
-                    destination_path("ct.ts", "sha256", "path").alias("dst_path"),
-                    rfc3339("ct.ts").alias("capture_rfc3339"))
+    c = with_capture_time(organize_candidates(t["files"], t["mime"], t["exif"]), "data", "mod_time", V.MEDIA_ZONE)
+    return c.select("id", basename("path").alias("name"), "capture_ts",
+                    destination_path("capture_ts", "sha256", "path").alias("dst_path"),
+                    rfc3339("capture_ts").alias("capture_rfc3339"))
 
 
 @register("organize_plan", O.with_(*O.MEDIA_CORE, _CANDS, *_CAPTURE_C, _ORG) + f"""

@@ -28,7 +28,14 @@ STORE_ROOTS = {"raw": "/stores/raw", "clean": "/stores/clean", "trash": "/stores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the cluster's parallelism when the file
+    yields fewer scan tasks than there are cores (a single row group is one
+    task).  Large inputs already have enough splits and are left alone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 # ----------------------------------------------------------------- documents

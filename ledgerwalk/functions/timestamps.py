@@ -35,6 +35,8 @@ def validate_zone(zone: str | None) -> str:
     """Driver-side check: the zone must be a loadable IANA name (or UTC)."""
     if zone is None or zone.strip() == "":
         raise ValueError("organize requires a time zone (empty zone given)")
+    if zone.rstrip() and __import__("re").fullmatch(r"[+-]\d{2}:\d{2}", zone):
+        return zone  # fixed offset, accepted by Spark as a zone id
     try:
         ZoneInfo(zone)
     except Exception as exc:  # ZoneInfoNotFoundError, ValueError

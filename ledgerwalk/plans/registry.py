@@ -52,14 +52,14 @@ def _junk_claims(t):
 
 @register("dedup_ops", O.with_(*O.DOCS_CORE) + "SELECT * FROM dedup_ops")
 def q_dedup_ops(spark, sf):
-    t = V.docs_tables(spark, sf)
+    t = V.docs_tables(spark, sf, with_dirs=False)
     claimed = _junk_claims(t).select("file_id")
     return DedupRule().evaluate(t, claimed)
 
 
 @register("junk_file_ops", O.with_(*O.DOCS_CORE) + "SELECT * FROM junk_file_ops")
 def q_junk_file_ops(spark, sf):
-    return JunkRule().file_ops(V.docs_tables(spark, sf)["files"], None)
+    return JunkRule().file_ops(V.docs_files(spark, sf), None)
 
 
 @register("junk_dir_ops", O.with_(*O.DOCS_CORE) + "SELECT * FROM junk_dir_ops")

@@ -86,8 +86,11 @@ def directories_of(files: DataFrame) -> DataFrame:
     return S.conform(with_dense_ids(rolled, ["store", "path"], 1), S.DIRECTORIES)
 
 
-def docs_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    files = docs_files(spark, sf_dir).checkpoint()
+def docs_tables(spark: SparkSession, sf_dir: str, with_dirs: bool = True) -> dict[str, DataFrame]:
+    files = docs_files(spark, sf_dir)
+    if not with_dirs:
+        return {"files": files}
+    files = files.checkpoint()  # read by the rollup and by every rule
     return {
         "files": files,
         "directories": directories_of(files),

@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..constants import DEFAULT_MAX_STALENESS
 from ..functions.paths import ancestors, dirname
-from .ids import next_id, with_dense_ids
+from .ids import with_dense_ids
 
 
 def _ts(now: datetime):
-    return F.lit(now.replace(tzinfo=None, microsecond=0)).cast("timestamp_ntz")
+    """A ``TIMESTAMP_NTZ`` literal of ``now``'s UTC wall time, whole seconds.
+
+    Built from text so neither the Python process zone nor the session zone
+    can shift it.  An aware datetime is converted to UTC first."""
+    if now.tzinfo is not None:
+        from datetime import timezone
+        now = now.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.expr(f"TIMESTAMP_NTZ'{now.replace(microsecond=0).isoformat(sep=' ')}'")
 
 
 def directory_rollup(listing: DataFrame) -> DataFrame:
@@ -67,7 +74,7 @@ def upsert_files(files: DataFrame, listing: DataFrame, now: datetime) -> DataFra
         "store", "path", F.col("n_size").alias("size"), F.col("n_mod").alias("mod_time"),
         n.alias("found_at"), n.alias("reconciled_at"), F.lit(False).alias("missing"),
         F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("timestamp_ntz").alias("hashed_at"))
-    new = with_dense_ids(new, ["store", "path"], next_id(files))
+    new = with_dense_ids(new, ["store", "path"], after=files)
     return S.conform(kept.unionByName(new), S.FILES)
 
 
@@ -87,7 +94,7 @@ def upsert_directories(directories: DataFrame, rolled: DataFrame, stores: Sequen
     new = j.filter(F.col("id").isNull()).select(
         "store", "path", F.col("n_count").alias("file_count"),
         F.col("n_size").alias("total_size"), F.col("n_listed").alias("listed"))
-    new = with_dense_ids(new, ["store", "path"], next_id(directories))
+    new = with_dense_ids(new, ["store", "path"], after=directories)
     return S.conform(kept.unionByName(new), S.DIRECTORIES)
 
 
@@ -117,7 +124,10 @@ def apply_walk(tables: dict[str, DataFrame], listing: DataFrame, now: datetime,
 
 
 def staleness_cutoff(now: datetime, max_staleness: timedelta | None = None) -> datetime:
-    return now.replace(tzinfo=None, microsecond=0) - (max_staleness or DEFAULT_MAX_STALENESS)
+    if now.tzinfo is not None:
+        from datetime import timezone
+        now = now.astimezone(timezone.utc).replace(tzinfo=None)
+    return now.replace(microsecond=0) - (max_staleness or DEFAULT_MAX_STALENESS)
 
 
 def mark_missing(files: DataFrame, now: datetime,

@@ -22,7 +22,7 @@ from ..constants import MEDIA_MIME_TYPES
 from ..functions.mime import sniff_mime
 from ..functions.tags import encode_tags, tag_group_exclude, tag_keep, tags_version
 from .catalog import _ts
-from .ids import next_id, with_dense_ids
+from .ids import with_dense_ids
 
 
 def _live_hashed(files: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def apply_enrichment(tables: dict[str, DataFrame], enricher: Enricher, results:
     errs = results.filter(F.col("error").isNotNull()).select(
         "file_id", F.lit(None).cast("long").alias("dir_id"), F.lit(enricher.name).alias("enricher"),
         F.lit(None).cast("string").alias("rule"), "error", n.alias("occurred_at"), "hash")
-    errs = with_dense_ids(errs, ["hash"], next_id(tables["process_errors"]))
+    errs = with_dense_ids(errs, ["hash"], after=tables["process_errors"])
     out = dict(tables)
     out[enricher.table] = S.conform(updated, S.enricher_schema(enricher.columns))
     out["process_errors"] = tables["process_errors"].unionByName(S.conform(errs, S.PROCESS_ERRORS))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .catalog import _ts
-from .ids import next_id, with_dense_ids
+from .ids import with_dense_ids
 
 ENRICHER_NAME = "sha256"
 
@@ -51,7 +51,7 @@ def apply_hashes(tables: dict[str, DataFrame], results: DataFrame,
         F.col("id").alias("file_id"), F.lit(None).cast("long").alias("dir_id"),
         F.lit(ENRICHER_NAME).alias("enricher"), F.lit(None).cast("string").alias("rule"),
         "error", n.alias("occurred_at"))
-    errs = with_dense_ids(errs, ["file_id"], next_id(tables["process_errors"]))
+    errs = with_dense_ids(errs, ["file_id"], after=tables["process_errors"])
     out = dict(tables)
     out["files"] = S.conform(new_files, S.FILES)
     out["process_errors"] = tables["process_errors"].unionByName(S.conform(errs, S.PROCESS_ERRORS))

@@ -27,17 +27,25 @@ def next_id(df: DataFrame, col: str = "id") -> int:
     return (row["m"] or 0) + 1
 
 
-def with_dense_ids(df: DataFrame, order_cols: Sequence[str | Column], start: int,
-                   id_col: str = "id") -> DataFrame:
+def with_dense_ids(df: DataFrame, order_cols: Sequence[str | Column], start: int | None = None,
+                   id_col: str = "id", after: DataFrame | None = None, after_col: str = "id") -> DataFrame:
+    """Number ``df`` from ``start`` (or from ``max(after.after_col) + 1``) in key order."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     staged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn(_PART, F.spark_partition_id()))
     staged = staged.checkpoint(eager=True)
-    counts = sorted((r[_PART], r["n"]) for r in
-                    staged.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = {}, start
+    sizes = staged.groupBy(_PART).agg(F.count(F.lit(1)).alias("n"))
+    if after is not None:
+        # the existing table's max id rides along in the same (bounded) collect
+        sizes = sizes.unionByName(after.agg(F.lit(-1).alias(_PART), F.max(after_col).cast("long").alias("n")))
+    rows = sizes.collect()
+    if after is not None:
+        top = [r["n"] for r in rows if r[_PART] == -1]
+        start = (top[0] or 0) + 1 if top and top[0] is not None else 1
+    counts = sorted((r[_PART], r["n"]) for r in rows if r[_PART] != -1)
+    offsets, acc = {}, (1 if start is None else start)
     for part, n in counts:
         offsets[part] = acc
         acc += n

@@ -31,7 +31,7 @@ from .. import schemas as S
 from ..constants import MEDIA_MIME_TYPES, RULE_ORGANIZE
 from ..functions.timestamps import destination_path, validate_zone, with_capture_time
 from .catalog import _ts
-from .ids import next_id, with_dense_ids
+from .ids import with_dense_ids
 
 STATUS_ERROR, STATUS_SKIPPED, STATUS_COLLIDED = "error", "skipped", "collided"
 STATUS_ORGANIZED, STATUS_ORGANIZE = "organized", "organize"
@@ -135,7 +135,7 @@ def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: Data
         F.col("path").alias("dst_path"), F.col("id").alias("clean_id"))
     ok = ok.join(dead, "dst_path", "left")
     revive = ok.filter(F.col("clean_id").isNotNull())
-    fresh = with_dense_ids(ok.filter(F.col("clean_id").isNull()).drop("clean_id"), ["path"], next_id(files),
+    fresh = with_dense_ids(ok.filter(F.col("clean_id").isNull()).drop("clean_id"), ["path"], after=files,
                            id_col="clean_id")
     ok_all = fresh.unionByName(revive.select(*fresh.columns))
     ok_all = ok_all.checkpoint()
@@ -154,7 +154,7 @@ def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: Data
         F.col("clean_id").alias("file_id"), F.lit(None).cast("long").alias("dir_id"),
         F.lit("raw").alias("src_store"), F.col("path").alias("src_path"), F.lit("clean").alias("dst_store"),
         "dst_path", F.lit(RULE_ORGANIZE).alias("rule"), "reason", n.alias("executed_at"))
-    ops = with_dense_ids(ops, ["src_path"], next_id(tables["operations"]))
+    ops = with_dense_ids(ops, ["src_path"], after=tables["operations"])
 
     plan_errs = plan.filter(F.col("status") == STATUS_ERROR).select("file_id", "path", "error")
     copy_errs = done.filter(F.col("copy_error").isNotNull()).select(
@@ -164,7 +164,7 @@ def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: Data
     errs = plan_errs.unionByName(copy_errs).unionByName(rm_errs).select(
         "file_id", F.lit(None).cast("long").alias("dir_id"), F.lit(None).cast("string").alias("enricher"),
         F.lit(RULE_ORGANIZE).alias("rule"), "error", n.alias("occurred_at"), "path")
-    errs = with_dense_ids(errs, ["path", "error"], next_id(tables["process_errors"]))
+    errs = with_dense_ids(errs, ["path", "error"], after=tables["process_errors"])
 
     out = dict(tables)
     out["files"] = S.conform(new_files, S.FILES)

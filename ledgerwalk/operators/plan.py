@@ -15,7 +15,7 @@ from .. import schemas as S
 from ..constants import KIND_RMDIR
 from ..functions.paths import path_depth
 from .catalog import _ts
-from .ids import next_id, with_dense_ids
+from .ids import with_dense_ids
 
 
 def plan_report(ops: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ def apply_outcomes(tables: dict[str, DataFrame], ops: DataFrame, outcomes: DataF
     done = res.filter(ok).select(
         "file_id", "dir_id", "src_store", "src_path", "dst_store", "dst_path", "rule", "reason",
         n.alias("executed_at"), "exec_rank", "exec_depth", "rule_priority", "plan_key")
-    ops_rows = with_dense_ids(done, order, next_id(tables["operations"]))
+    ops_rows = with_dense_ids(done, order, after=tables["operations"])
     failed = res.filter(~ok).select(
         "file_id", "dir_id", F.lit(None).cast("string").alias("enricher"), "rule", "error",
         n.alias("occurred_at"), "exec_rank", "exec_depth", "rule_priority", "plan_key")
-    err_rows = with_dense_ids(failed, order, next_id(tables["process_errors"]))
+    err_rows = with_dense_ids(failed, order, after=tables["process_errors"])
 
     out = dict(tables)
     out["files"] = new_files

@@ -613,10 +613,10 @@ SELECT (SELECT count(*) FROM docs_files WHERE {_NEEDS}) AS pending_hash,
      AND sha256 NOT IN (SELECT hash FROM docs_mime)) AS unidentified,
   (SELECT count(*) FROM docs_files WHERE NOT missing AND reconciled_at < {_STALE_CUTOFF}) AS stale_files""")
 def q_progress_counts(spark, sf):
-    from ..operators.catalog import staleness_cutoff
+    from ..operators.catalog import _ts, staleness_cutoff
     files = V.docs_files(spark, sf)
     mime = V.docs_mime_partial(files)
-    cutoff = F.lit(staleness_cutoff(V.DOCS_NOW)).cast("timestamp_ntz")
+    cutoff = _ts(staleness_cutoff(V.DOCS_NOW))
     unident = files.filter(F.col("sha256").isNotNull() & ~F.col("missing")).select("sha256").join(
         mime.select(F.col("hash").alias("sha256")), "sha256", "left_anti")
     parts = (needs_hash(files).select(F.lit(1).alias("ph"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.paths import ancestors, dirname
 from ..functions.tags import tags_version
-from ..operators.catalog import directory_rollup
+from ..operators.catalog import _ts, directory_rollup
 from ..operators.ids import with_dense_ids
 
 DOCS_NOW = datetime(2024, 3, 4, 0, 0, 0)
@@ -107,7 +107,7 @@ def docs_mime_partial(files: DataFrame) -> DataFrame:
     """An earlier mime run covered the hashes whose lowest live id is divisible by 3."""
     per = files.filter(~F.col("missing")).groupBy(F.col("sha256").alias("hash")).agg(F.min("id").alias("file_id"))
     return S.conform(per.filter(F.col("file_id") % 3 == 0).select(
-        "hash", "file_id", F.lit(DOCS_NOW).cast("timestamp_ntz").alias("processed_at"),
+        "hash", "file_id", _ts(DOCS_NOW).alias("processed_at"),
         F.lit("text/plain").alias("mime_type")), S.enricher_schema(S.MIME_COLUMNS))
 
 

@@ -32,43 +32,63 @@ from ..constants import MEDIA_MIME_TYPES, RULE_ORGANIZE
 from ..functions.timestamps import destination_path, validate_zone, with_capture_time
 from .catalog import _ts
 from .ids import with_dense_ids
+from .skew import salted_join
 
 STATUS_ERROR, STATUS_SKIPPED, STATUS_COLLIDED = "error", "skipped", "collided"
 STATUS_ORGANIZED, STATUS_ORGANIZE = "organized", "organize"
 NO_TIMESTAMP = "no usable timestamp (exif + mod_time both unparseable)"
 
 
+def _per_hash(mime: DataFrame, exif: DataFrame | None, mime_types: Sequence[str],
+              clean_files: DataFrame | None = None) -> DataFrame:
+    """One row per listed-type hash: its tag JSON and whether a live clean copy
+    exists.  Every input has at most one row per hash, so these joins cannot
+    skew; the big file side then meets this table in a single join."""
+    h = mime.filter(F.col("mime_type").isin(*mime_types)).select(F.col("hash").alias("sha256"))
+    if exif is not None:
+        h = h.join(exif.select(F.col("hash").alias("sha256"), "data"), "sha256", "left")
+    else:
+        h = h.withColumn("data", F.lit(None).cast("string"))
+    if clean_files is not None:
+        clean = clean_files.filter(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.lit(True).alias("in_clean"))
+        h = h.join(clean, "sha256", "left")
+    return h
+
+
+def _live_raw_hashed(files: DataFrame) -> DataFrame:
+    return files.filter((F.col("store") == "raw") & ~F.col("missing") & F.col("sha256").isNotNull()) \
+        .select("id", "sha256", "path", "size", "mod_time")
+
+
 def organize_candidates(files: DataFrame, mime: DataFrame, exif: DataFrame | None,
                         mime_types: Sequence[str] = MEDIA_MIME_TYPES) -> DataFrame:
     """Live raw hashed files whose hash has a listed MIME type, with the hash's
     tag JSON (NULL without an exif row)."""
-    live = files.filter((F.col("store") == "raw") & ~F.col("missing") & F.col("sha256").isNotNull()) \
-        .select("id", "sha256", "path", "size", "mod_time")
-    typed = mime.filter(F.col("mime_type").isin(*mime_types)).select(F.col("hash").alias("sha256"))
-    cands = live.join(typed, "sha256", "left_semi")
-    if exif is None:
-        return cands.withColumn("data", F.lit(None).cast("string"))
-    return cands.join(exif.select(F.col("hash").alias("sha256"), "data"), "sha256", "left")
+    return _live_raw_hashed(files).join(_per_hash(mime, exif, mime_types), "sha256", "inner")
 
 
 def organize_plan(tables: dict[str, DataFrame], zone: str,
-                  mime_types: Sequence[str] | None = None, dry_run: bool = False) -> DataFrame:
-    """Per candidate: capture time and source, destination, reason, status."""
+                  mime_types: Sequence[str] | None = None, dry_run: bool = False,
+                  skew: dict | None = None) -> DataFrame:
+    """Per candidate: capture time and source, destination, reason, status.
+
+    Shuffles of the candidate side: one join by hash (against the per-hash
+    table), one by destination (against the per-destination table), one by
+    file id.  A hash or destination held by very many candidates is salted
+    (``operators.skew.salted_join``; ``skew`` passes its thresholds)."""
     zone = validate_zone(zone)
+    skew = skew or {}
     if "mime" not in tables:
         raise ValueError("mime table not available: run the mime enricher first")
     files = tables["files"]
-    cands = organize_candidates(files, tables["mime"], tables.get("exif"), mime_types or MEDIA_MIME_TYPES)
+    live_clean = files.filter((F.col("store") == "clean") & ~F.col("missing"))
+    per_hash = _per_hash(tables["mime"], tables.get("exif"), mime_types or MEDIA_MIME_TYPES, live_clean)
+    cands = salted_join(_live_raw_hashed(files), per_hash, "sha256", "inner", spread_by=["id"], **skew)
     c = with_capture_time(cands, "data", "mod_time", zone, "capture_ts", "source").select(
-        F.col("id").alias("file_id"), "sha256", "path", "size", "mod_time", "capture_ts", "source")
+        F.col("id").alias("file_id"), "sha256", "path", "size", "mod_time", "capture_ts", "source", "in_clean")
     c = c.withColumn("dst_path", F.when(F.col("capture_ts").isNotNull(),
                                         destination_path("capture_ts", "sha256", "path"))) \
          .withColumn("reason", F.when(F.col("source").isNotNull(), F.concat(F.lit("source: "), F.col("source"))))
-
-    live_clean = files.filter((F.col("store") == "clean") & ~F.col("missing"))
-    clean_hashes = live_clean.filter(F.col("sha256").isNotNull()).groupBy("sha256") \
-        .agg(F.lit(True).alias("in_clean"))
-    c = c.join(clean_hashes, "sha256", "left")
     first = (F.when(F.col("capture_ts").isNull(), F.lit(STATUS_ERROR))
              .when(F.col("in_clean").isNotNull(), F.lit(STATUS_SKIPPED)))
     # materialise once: the status steps below read the candidates several times
@@ -77,12 +97,13 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
         return _finish(c.withColumn("status", F.coalesce("status", F.lit(STATUS_ORGANIZE))))
 
     todo = c.filter(F.col("status").isNull())
+    # one row per destination: the first candidate by path, and whether a live
+    # clean file already sits there (a taken destination collides every row)
     taken = live_clean.select(F.col("path").alias("dst_path"), F.lit(True).alias("dst_taken"))
-    todo = todo.join(taken, "dst_path", "left")
-    free = todo.filter(F.col("dst_taken").isNull())
-    dst_winner = free.groupBy("dst_path").agg(
-        F.min_by(F.struct(F.col("file_id").alias("w_id"), F.col("sha256").alias("w_sha")), "path").alias("w"))
-    todo = todo.join(dst_winner.select("dst_path", "w.w_id", "w.w_sha"), "dst_path", "left")
+    per_dst = todo.groupBy("dst_path").agg(
+        F.min_by(F.struct(F.col("file_id").alias("w_id"), F.col("sha256").alias("w_sha")), "path").alias("w")) \
+        .select("dst_path", "w.w_id", "w.w_sha").join(taken, "dst_path", "left")
+    todo = salted_join(todo, per_dst, "dst_path", "left", spread_by=["file_id"], **skew)
     survivors = todo.filter(F.col("dst_taken").isNull() & (F.col("file_id") == F.col("w_id")))
     hash_winner = survivors.groupBy("sha256").agg(F.min_by("file_id", "path").alias("file_id")) \
         .select("file_id", F.lit(True).alias("h_win"))

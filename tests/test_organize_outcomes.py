@@ -94,3 +94,31 @@ def test_apply_outcomes_success_failure_rmdir_conflict(spark):
     assert [(r.id, r.src_path) for r in opsrows] == [(1, "x/.DS_Store"), (2, "e/f"), (3, "e")]
     errs = {r.file_id: r.error for r in out["process_errors"].collect()}
     assert errs == {2: "rename: permission denied", 3: "destination already in catalogue: trash/z/Thumbs.db"}
+
+
+def test_hot_hash_and_hot_destination_are_salted(spark):
+    """One hash (and its destination) holds 90% of the candidates: results
+    equal the unsalted plan, and the salted plan spreads the hot key."""
+    n = 3000
+    files = [dict(id=i, store="raw", path=f"d{i:05d}/IMG.JPG", sha256="hot" if i % 10 else f"h{i}", mod_time=MT)
+             for i in range(1, n + 1)]
+    t = media(spark, files)
+    salted = organize_plan(t, "UTC", skew={"hot_rows": 100, "buckets": 8}).collect()
+    plain = organize_plan(t, "UTC").collect()
+    assert sorted(map(tuple, salted)) == sorted(map(tuple, plain))
+    s = {}
+    for r in salted:
+        s[r.status] = s.get(r.status, 0) + 1
+    assert s == {"organized": 1 + n // 10, "skipped": n - n // 10 - 1}
+    assert [r.path for r in salted if r.sha256 == "hot" and r.status == "organized"] == ["d00001/IMG.JPG"]
+
+
+def test_salted_join_spreads_hot_key(spark):
+    from ledgerwalk.operators.skew import hot_keys, salted_join
+    big = spark.range(0, 5000).select(F.col("id"), F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(-1).alias("k"))
+    small = spark.range(-1, 5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert hot_keys(big, "k", hot_rows=100) == [-1]
+    j = salted_join(big, small, "k", "left", hot_rows=100, buckets=8)
+    assert j.count() == 5000 and j.filter(F.col("v").isNull()).count() == 0
+    per_task = j.filter(F.col("k") == -1).groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 1

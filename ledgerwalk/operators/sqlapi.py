@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sizes import register_sql_functions
-from .. import schemas as S
 
 _IDENT = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 _TYPE = re.compile(r"^[a-zA-Z]+$")
@@ -106,4 +105,4 @@ def align_schema(df: DataFrame, base: Sequence[str] | T.StructType,
 
 
 __all__ = ["register_tables", "query", "tsv_lines", "csv_lines", "csv_field", "write_tsv",
-           "write_csv", "align_schema", "S"]
+           "write_csv", "align_schema"]

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..constants import KIND_RMDIR
 from ..functions import (basename, dirname, filename_parts, human_bytes, human_ibytes, junk_dir_reason,
                          junk_file_reason, path_depth, rfc3339, sanitize_basename, sniff_mime)
 from ..operators import (DedupRule, ExifEnricher, JunkRule, MimeEnricher, align_schema, apply_hashes,
@@ -41,9 +40,6 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-OPS_COLS = [f.name for f in S.OPS.fields]
-
-
 def _junk_claims(t):
     return JunkRule().file_ops(t["files"], None)
 
@@ -719,4 +715,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["queries", "oracle_sql", "QUERIES", "ORACLE", "KIND_RMDIR", "rfc3339"]
+__all__ = ["queries", "oracle_sql", "QUERIES", "ORACLE"]

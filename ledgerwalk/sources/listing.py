@@ -3,10 +3,11 @@
 Spark's file sources cannot be used: they hide names starting with ``.`` or
 ``_`` (exactly the junk this catalogue looks for) and list no empty
 directories.  Instead the listing walks level by level: the frontier of
-directories is a DataFrame spread over tasks, each task ``scandir``s its
-directories and emits entries in Arrow batches; sub-directories form the
-next frontier.  The driver only loops over depth levels, never over entries.
-Each level is cut from its lineage with a reliable checkpoint.
+directories is a DataFrame spread over tasks, each task reads its
+directories (names and entry types only) in batches; sub-directories form
+the next frontier, and the files found are redistributed before the ``stat``
+calls.  The driver only loops over depth levels, never over entries.  Each
+level is cut from its lineage with a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from .. import schemas as S
 from ..session import ensure_checkpoint_dir
 
 _FRONTIER = "store string, root string, rel string"
-_ENTRY = "store string, root string, path string, is_dir boolean, size long, mod_time timestamp_ntz, listed boolean"
+# kind: 'D' visited directory, 'U' unreadable directory, 'S' sub-directory to
+# visit next, 'F' regular file (not yet stat-ed)
+_ENTRY = "store string, root string, path string, kind string"
+_STATED = "store string, path string, size long, mod_time timestamp_ntz, ok boolean"
 _SKIP = (errno.EACCES, errno.EPERM, errno.ENOENT)
 _BATCH = 8192
 
@@ -34,7 +38,9 @@ def _utc_seconds(ts: float) -> datetime:
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["store", "root", "path", "is_dir", "size", "mod_time", "listed"]
+    """readdir only (names and entry types, no stat): cheap even for a directory
+    holding a large share of all files, which one task must read in order."""
+    cols = ["store", "root", "path", "kind"]
     rows: list[tuple] = []
     for frame in frames:
         for store, root, rel in frame.itertuples(index=False):
@@ -43,20 +49,19 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 it = os.scandir(absdir)
             except OSError as exc:
                 if exc.errno in _SKIP:
-                    # seen but unreadable: mark so it is not mistaken for empty
-                    rows.append((store, root, rel, True, None, None, False))
+                    # seen but unreadable: marked so it is not mistaken for empty
+                    rows.append((store, root, rel, "U"))
                     continue
                 raise
-            rows.append((store, root, rel, True, None, None, True))
+            rows.append((store, root, rel, "D"))
             with it:
                 for entry in it:
                     rp = entry.name if rel == "." else f"{rel}/{entry.name}"
                     try:
                         if entry.is_dir(follow_symlinks=False):
-                            rows.append((store, root, rp, True, None, None, None))  # frontier marker
+                            rows.append((store, root, rp, "S"))
                         elif entry.is_file(follow_symlinks=False):
-                            st = entry.stat(follow_symlinks=False)
-                            rows.append((store, root, rp, False, st.st_size, _utc_seconds(st.st_mtime), True))
+                            rows.append((store, root, rp, "F"))
                     except OSError as exc:
                         if exc.errno in _SKIP:
                             continue
@@ -68,10 +73,32 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=cols)
 
 
+def _stat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Size and whole-second UTC mtime; files that vanished or became
+    unreadable since the scan are dropped (ok = false)."""
+    for frame in frames:
+        out = []
+        for store, root, path, _kind in frame.itertuples(index=False):
+            try:
+                st = os.stat(os.path.join(root, path), follow_symlinks=False)
+                out.append((store, path, st.st_size, _utc_seconds(st.st_mtime), True))
+            except OSError as exc:
+                if exc.errno in _SKIP:
+                    out.append((store, path, None, None, False))
+                    continue
+                raise
+        yield pd.DataFrame(out, columns=["store", "path", "size", "mod_time", "ok"])
+
+
 def list_stores(spark: SparkSession, roots: Mapping[str, str], partitions: int | None = None) -> DataFrame:
     """Listing of every store: regular files (size, whole-second UTC mtime) and
     every visited directory (``.`` = root); symlinks and devices skipped.  A
-    store root that cannot be listed is an error."""
+    store root that cannot be listed is an error.
+
+    Per depth level: directories are spread over tasks and read (names only);
+    the files found are then redistributed so the ``stat`` calls — the costly
+    part on network storage — run on every task, whatever the directory
+    sizes."""
     ensure_checkpoint_dir(spark)
     for store, root in roots.items():
         if not os.path.isdir(root):
@@ -81,9 +108,14 @@ def list_stores(spark: SparkSession, roots: Mapping[str, str], partitions: int |
     levels: list[DataFrame] = []
     while True:
         scanned = frontier.repartition(parts).mapInPandas(_scan, _ENTRY).checkpoint()
-        # directory rows with listed NULL are sub-directories still to visit
-        levels.append(scanned.filter(F.col("listed").isNotNull()))
-        frontier = scanned.filter(F.col("listed").isNull()).select("store", "root", F.col("path").alias("rel"))
+        dirs = scanned.filter(F.col("kind").isin("D", "U")).select(
+            "store", "path", F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("size"),
+            F.lit(None).cast("timestamp_ntz").alias("mod_time"), (F.col("kind") == "D").alias("listed"))
+        files = scanned.filter(F.col("kind") == "F").repartition(parts).mapInPandas(_stat, _STATED) \
+            .filter("ok").select("store", "path", F.lit(False).alias("is_dir"), "size", "mod_time",
+                                 F.lit(True).alias("listed"))
+        levels += [dirs, files]
+        frontier = scanned.filter(F.col("kind") == "S").select("store", "root", F.col("path").alias("rel"))
         if frontier.isEmpty():
             break
     out = levels[0]

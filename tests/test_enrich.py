@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import NOW, T0, files_df, tables
 from ledgerwalk import schemas as S

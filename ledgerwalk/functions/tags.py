@@ -20,6 +20,13 @@ from .paths import _c
 
 _WS = re.compile(r"[ \t\n\r]*")
 _DECODER = json.JSONDecoder()
+# one member in the common form: a key without escapes, then a scalar value
+# (string, number, true/false/null), then the separator that follows it
+_MEMBER = re.compile(
+    r'[ \t\n\r]*"([^"\\]*)"[ \t\n\r]*:[ \t\n\r]*'
+    r'("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+    r'|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)'
+    r'[ \t\n\r]*([,}])')
 
 
 def _skip(s: str, i: int) -> int:
@@ -49,6 +56,15 @@ def parse_raw_objects(text: str) -> list[dict[str, str] | None]:
                 i += 1
             else:
                 while True:
+                    m = _MEMBER.match(s, i)
+                    if m is not None:  # fast path: plain key, scalar value
+                        obj[m.group(1)] = m.group(2)
+                        i = m.end()
+                        if m.group(3) == ",":
+                            i = _skip(s, i)
+                            continue
+                        break
+                    i = _skip(s, i)
                     if i >= len(s) or s[i] != '"':
                         raise ValueError(f"expected a key at {i}")
                     key, i = scanstring(s, i + 1)

@@ -78,11 +78,9 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").csv(path, header=header, nullValue="", emptyValue="", escape='"')
 
 
-def _spark_type(declared: str) -> T.DataType:
-    t = _TYPE_MAP.get(declared.upper())
-    if t is None:
-        t = T._parse_datatype_string(declared.lower())
-    return t
+def _spark_type(declared: str) -> T.DataType | str:
+    """SQLite affinity names map to Spark types; other names are Spark type names."""
+    return _TYPE_MAP.get(declared.upper(), declared.lower())
 
 
 def align_schema(df: DataFrame, base: Sequence[str] | T.StructType,

@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of a job are removed once its DataFrames are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # An ambiguous broadcast threshold is never relied on: every explicit
     # broadcast in this package is of a side with a proven size bound.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),

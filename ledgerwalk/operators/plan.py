@@ -81,7 +81,8 @@ def apply_outcomes(tables: dict[str, DataFrame], ops: DataFrame, outcomes: DataF
     error row.  Returns new tables and a one-row (succeeded, failed) frame."""
     n = _ts(now)
     files, dirs = tables["files"], tables["directories"]
-    res = resolve_outcomes(files, ops, outcomes)
+    # every output below reads the resolved ops: materialise them once
+    res = resolve_outcomes(files, ops, outcomes).checkpoint()
     ok = F.col("error").isNull()
     rmdir = F.col("kind") == KIND_RMDIR
     moved = res.filter(ok & ~rmdir).select(F.col("file_id").alias("id"), F.col("dst_store").alias("m_store"),

@@ -122,3 +122,24 @@ def test_salted_join_spreads_hot_key(spark):
     assert j.count() == 5000 and j.filter(F.col("v").isNull()).count() == 0
     per_task = j.filter(F.col("k") == -1).groupBy(F.spark_partition_id()).count().collect()
     assert len(per_task) > 1
+
+
+def test_missing_clean_row_at_destination_is_revived(spark):
+    dst = "media/2020/05/20200506T070809Z-h1-a.jpg"
+    t = media(spark, [dict(id=1, store="raw", path="a.jpg", sha256="h1", mod_time=MT),
+                      dict(id=7, store="clean", path=dst, sha256="old", missing=True)])
+    plan = organize_plan(t, "UTC")
+    assert statuses(plan) == {"a.jpg": "organized"}
+    out = apply_organize(t, plan, spark.createDataFrame([(1, None, None)], "file_id long, error string, remove_error string"),
+                         remove_originals=False, now=NOW)
+    clean = [r for r in out["files"].collect() if r.store == "clean"]
+    assert [(r.id, r.path, r.sha256, r.missing) for r in clean] == [(7, dst, "h1", False)]
+    assert out["operations"].first().file_id == 7
+
+
+def test_timestamp_error_precedes_already_clean(spark):
+    t = media(spark, [dict(id=1, store="raw", path="a.jpg", sha256="h1"),
+                      dict(id=2, store="clean", path="media/x.jpg", sha256="h1")])
+    t["files"] = t["files"].withColumn("mod_time", F.lit(None).cast("timestamp_ntz"))
+    plan = organize_plan(t, "UTC").collect()
+    assert [(r.status, r.error) for r in plan] == [("error", "no usable timestamp (exif + mod_time both unparseable)")]

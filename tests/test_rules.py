@@ -108,3 +108,12 @@ def test_empty_plan_report_and_rule_lookup(spark):
     assert plan_report(ops).count() == 1
     with pytest.raises(KeyError):
         rule_by_name("bogus")
+
+
+def test_report_groups_rules_in_priority_order(spark):
+    t = tables(spark, files=[dict(id=1, store="raw", path="b/.DS_Store", sha256="j"),
+                             dict(id=2, store="raw", path="x.jpg", sha256="d"),
+                             dict(id=3, store="raw", path="long/x.jpg", sha256="d")])
+    lines = [r.line for r in report_text(build_plan(t)).collect()]
+    assert lines == ["Rule: junk (1 ops)", "  TRASH  raw/b/.DS_Store -> trash/b/.DS_Store  (junk file: .DS_Store)",
+                     "Rule: dedup (1 ops)", "  TRASH  raw/long/x.jpg -> trash/long/x.jpg  (duplicate of d)"]

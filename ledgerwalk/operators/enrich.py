@@ -101,15 +101,19 @@ class Enricher:
         raise NotImplementedError
 
 
+HEAD_BYTES = 1 << 20  # content detectors examine a bounded prefix (1 MiB)
+
+
 class MimeEnricher(Enricher):
     """MIME type from leading bytes.  ``content`` is a (id, content) frame of
-    file bytes; without it files are read from ``abs_path`` on executors."""
+    file bytes; without it the first ``head_bytes`` of each file are read from
+    ``abs_path`` on executors (never a whole multi-gigabyte file per row)."""
 
     name = "mime"
     table = "mime"
     columns = S.MIME_COLUMNS
 
-    def __init__(self, content: DataFrame | None = None, head_bytes: int | None = None):
+    def __init__(self, content: DataFrame | None = None, head_bytes: int = HEAD_BYTES):
         self.content = content
         self.head_bytes = head_bytes
 

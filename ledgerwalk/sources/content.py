@@ -44,21 +44,25 @@ def hash_files(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
     return items.select("id", path_col).mapInArrow(run, schema)
 
 
-def read_heads(items: DataFrame, n: int | None = None, path_col: str = "abs_path") -> DataFrame:
-    """items + ``content`` (first ``n`` bytes, whole file when ``n`` is None;
-    NULL when unreadable)."""
+def read_heads(items: DataFrame, n: int = 1 << 20, path_col: str = "abs_path") -> DataFrame:
+    """items + ``content``: the first ``n`` bytes of each file (NULL when
+    unreadable).  ``n`` bounds the per-row size."""
     schema = T.StructType(list(items.schema.fields) + [T.StructField("content", T.BinaryType())])
 
     def read(path: str) -> bytes | None:
         try:
             with open(path, "rb") as f:
-                return f.read(n) if n else f.read()
+                return f.read(n)
         except OSError:
             return None
 
+    rows_per_batch = max(1, (64 << 20) // max(n, 1))  # output batches of about 64 MiB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [read(p) for p in b.column(path_col).to_pylist()]
-            yield b.append_column("content", pa.array(data, pa.binary()))
+            for off in range(0, b.num_rows, rows_per_batch):
+                part = b.slice(off, rows_per_batch)
+                data = [read(p) for p in part.column(path_col).to_pylist()]
+                yield part.append_column("content", pa.array(data, pa.binary()))
 
     return items.mapInArrow(run, schema)

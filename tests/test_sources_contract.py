@@ -75,3 +75,23 @@ def test_driver_contract(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert {"op_id", "kind", "file_id", "rule", "reason"} <= set(df.columns)
+
+
+def test_mime_from_files_reads_bounded_heads(spark):
+    from ledgerwalk.operators import MimeEnricher, run_enricher
+    from ledgerwalk.sources import read_heads
+    root = tempfile.mkdtemp(prefix="lw-mime-")
+    png = bytes.fromhex("89504E470D0A1A0A") + b"\0" * 3_000_000
+    for name, data in [("a.png", png), ("b.txt", b"hello world\n"), ("c.pdf", b"%PDF-1.4\n%%EOF\n")]:
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(data)
+    t = tables(spark, files=[dict(id=1, store="raw", path="a.png", sha256="h1"),
+                             dict(id=2, store="raw", path="b.txt", sha256="h2"),
+                             dict(id=3, store="raw", path="c.pdf", sha256="h3"),
+                             dict(id=4, store="raw", path="gone.bin", sha256="h4")])
+    out, stats = run_enricher(t, MimeEnricher(), NOW, stores={"raw": root})
+    got = {r.hash: r.mime_type for r in out["mime"].collect()}
+    assert got == {"h1": "image/png", "h2": "text/plain", "h3": "application/pdf", "h4": None}
+    assert tuple(stats.first()) == (4, 3, 1)
+    items = spark.createDataFrame([(os.path.join(root, "a.png"),)], "abs_path string")
+    assert len(read_heads(items, 1024).first().content) == 1024

@@ -95,3 +95,26 @@ def test_mime_from_files_reads_bounded_heads(spark):
     assert tuple(stats.first()) == (4, 3, 1)
     items = spark.createDataFrame([(os.path.join(root, "a.png"),)], "abs_path string")
     assert len(read_heads(items, 1024).first().content) == 1024
+
+
+def test_read_tags_from_files_and_text_sinks(spark):
+    import glob
+    from ledgerwalk.operators import write_csv, write_tsv
+    from ledgerwalk.sources import read_tags
+    d = tempfile.mkdtemp(prefix="lw-tags-")
+    with open(os.path.join(d, "batch1.json"), "w") as f:
+        f.write('[{"SourceFile": "/r/a.jpg", "EXIF:ISO": 100},\n {"SourceFile": "/r/b.jpg", "Error": "bad"}]\n')
+    with open(os.path.join(d, "broken.json"), "w") as f:
+        f.write("[{not json")
+    rows = {r.source_file: r for r in read_tags(spark, d).collect()}
+    assert set(rows) == {"/r/a.jpg", "/r/b.jpg"}
+    assert dict(rows["/r/a.jpg"].tags)["EXIF:ISO"] == "100" and rows["/r/b.jpg"].error == "bad"
+
+    out = tempfile.mkdtemp(prefix="lw-sink-")
+    df = spark.createDataFrame([(1, "a,b", None), (2, 'q"x', "z")], "n int, s string, t string").coalesce(1)
+    write_tsv(df, out + "/tsv")
+    write_csv(df, out + "/csv")
+    tsv = "".join(open(p).read() for p in sorted(glob.glob(out + "/tsv/part-*")))
+    assert tsv.splitlines() == ["n\ts\tt", "1\ta,b\t", '2\tq"x\tz']
+    csv = "".join(open(p).read() for p in sorted(glob.glob(out + "/csv/part-*")))
+    assert csv.splitlines() == ["n,s,t", '1,"a,b",', '2,"q""x",z']

@@ -26,7 +26,7 @@ def dirname(path: Column | str) -> Column:
 def path_depth(path: Column | str) -> Column:
     """0 for the store root (``.`` or empty), else number of components."""
     p = _c(path)
-    return F.when((p == ".") | (p == ""), F.lit(0)).otherwise(F.size(F.split(p, "/")))
+    return F.when((p == ".") | (p == ""), F.lit(0)).otherwise(F.size(F.split(p, "/"))).cast("long")
 
 
 def ancestors(dir_path: Column | str) -> Column:

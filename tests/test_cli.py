@@ -28,3 +28,32 @@ def test_cli_walk_hash_plan_query(spark, capsys):
     assert main(common + ["query", "SELECT path, human_bytes(size) AS s FROM files WHERE path = 'y.jpg'",
                           "--format", "tsv"]) == 0
     assert capsys.readouterr().out.splitlines()[-2:] == ["path\ts", "y.jpg\t4 B"]
+
+
+def test_cli_enrich_organize_process_status(spark, capsys):
+    from pyspark.sql import functions as F
+    base = tempfile.mkdtemp(prefix="lw-cli2-")
+    raw = os.path.join(base, "raw")
+    os.makedirs(os.path.join(raw, "p"))
+    with open(os.path.join(raw, "p", "img.png"), "wb") as f:
+        f.write(bytes.fromhex("89504E470D0A1A0A") + b"\0" * 16)
+    with open(os.path.join(raw, "p", "Thumbs.db"), "wb") as f:
+        f.write(b"junk")
+    cat = os.path.join(base, "catalogue")
+    common = ["--catalogue", cat, "--store", f"raw={raw}", "--store", f"trash={os.path.join(base, 'trash')}"]
+    os.makedirs(os.path.join(base, "trash"))
+    for cmd in (["walk"], ["sha256"], ["mime"], ["organize", "--timezone", "UTC", "--dry-run"]):
+        assert main(common + cmd) == 0
+    out = capsys.readouterr().out
+    assert "considered" in out
+    ops_dir, outcomes_dir = os.path.join(base, "ops"), os.path.join(base, "outcomes")
+    assert main(common + ["plan", "--out", ops_dir]) == 0
+    spark.read.parquet(ops_dir).select("op_id", F.lit(None).cast("string").alias("error")) \
+        .write.parquet(outcomes_dir)
+    assert main(common + ["process", "--ops", ops_dir, "--outcomes", outcomes_dir]) == 0
+    assert main(common + ["reconcile", "--max-staleness", "1000h"]) == 0
+    capsys.readouterr()
+    assert main(common + ["query", "SELECT store, path FROM files ORDER BY path", "--format", "csv"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[-3:] == ["store,path", "trash,p/Thumbs.db", "raw,p/img.png"]
+    assert main(common + ["status"]) == 0

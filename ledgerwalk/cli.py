@@ -64,6 +64,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--timezone", required=True)
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--out", help="write the organise plan here (Parquet)")
+    p = sub.add_parser("organize-apply")
+    p.add_argument("--plan", required=True, help="organise plan written by `organize --out`")
+    p.add_argument("--outcomes", required=True, help="Parquet (file_id, error, remove_error)")
+    p.add_argument("--remove-originals", action="store_true")
     p = sub.add_parser("query")
     p.add_argument("sql", nargs="?")
     p.add_argument("--format", choices=["table", "csv", "tsv"], default="table")
@@ -120,6 +124,10 @@ def main(argv: list[str] | None = None) -> int:
         if a.out:
             plan.write.mode("overwrite").parquet(a.out)
         ops.organize_stats(plan).show()
+    elif a.cmd == "organize-apply":
+        T = ops.apply_organize(T, spark.read.parquet(a.plan), spark.read.parquet(a.outcomes),
+                               a.remove_originals, now)
+        write_tables(T, a.catalogue)
     elif a.cmd == "query":
         text = a.sql if a.sql is not None else sys.stdin.read()
         df = ops.query(spark, T, text)

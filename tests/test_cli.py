@@ -57,3 +57,13 @@ def test_cli_enrich_organize_process_status(spark, capsys):
     lines = capsys.readouterr().out.splitlines()
     assert lines[-3:] == ["store,path", "trash,p/Thumbs.db", "raw,p/img.png"]
     assert main(common + ["status"]) == 0
+    plan_dir, org_out = os.path.join(base, "orgplan"), os.path.join(base, "orgout")
+    assert main(common + ["organize", "--timezone", "UTC", "--out", plan_dir]) == 0
+    spark.read.parquet(plan_dir).filter("status = 'organized'").select(
+        "file_id", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("remove_error")) \
+        .write.parquet(org_out)
+    assert main(common + ["organize-apply", "--plan", plan_dir, "--outcomes", org_out]) == 0
+    capsys.readouterr()
+    assert main(common + ["query", "SELECT count(*) AS n FROM files WHERE store = 'clean'", "--format", "tsv",
+                          "--no-header"]) == 0
+    assert capsys.readouterr().out.splitlines()[-1] == "1"

@@ -284,6 +284,23 @@ def q_sniff_mime(spark, sf):
     return c.select("id", sniff_mime(F.col("content").cast("binary")).alias("mime_type"))
 
 
+@register("valid_mime", O.with_(O.DOCS_BASE) + f"""
+SELECT id, CASE WHEN strpos(t, '/') > 0 THEN t END AS mime_type,
+  CASE WHEN strpos(t, '/') = 0 THEN 'detecting mime for ' || path || ': ' || t END AS error
+FROM (SELECT id, path, regexp_replace(regexp_replace(raw, '^{O._SP}+', ''), '{O._SP}+$', '') AS t
+      FROM (SELECT id, path, CASE WHEN content IS NULL THEN 'regular file, no read permission'
+                                  ELSE {_sniff_sql('content')} || chr(10) END AS raw FROM docs_base))""")
+def q_valid_mime(spark, sf):
+    from ..functions import valid_mime
+    c = V.docs_content(spark, sf)
+    # one detector output line per file: the detected type, or the detector's
+    # text for a file it could not read
+    raw = F.when(F.col("content").isNull(), F.lit("regular file, no read permission")) \
+        .otherwise(F.concat(sniff_mime(F.col("content").cast("binary")), F.lit("\n")))
+    v = c.select("id", valid_mime(raw, F.col("path")).alias("v"))
+    return v.select("id", F.col("v.mime_type").alias("mime_type"), F.col("v.error").alias("error"))
+
+
 def _mime_run(spark, sf):
     t = V.docs_tables(spark, sf)
     t["mime"] = V.docs_mime_partial(t["files"])

@@ -29,6 +29,8 @@ def _hash_file(path: str) -> tuple[str | None, str | None]:
 def hash_files(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
     """(id, sha256, error) for items whose bytes live at ``path_col``; whole
     files are streamed, never loaded at once."""
+    from ..session import ship_package
+    ship_package(items.sparkSession)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("sha256", T.StringType()),
                            T.StructField("error", T.StringType())])
 
@@ -47,6 +49,8 @@ def hash_files(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
 def read_heads(items: DataFrame, n: int = 1 << 20, path_col: str = "abs_path") -> DataFrame:
     """items + ``content``: the first ``n`` bytes of each file (NULL when
     unreadable).  ``n`` bounds the per-row size."""
+    from ..session import ship_package
+    ship_package(items.sparkSession)
     schema = T.StructType(list(items.schema.fields) + [T.StructField("content", T.BinaryType())])
 
     def read(path: str) -> bytes | None:

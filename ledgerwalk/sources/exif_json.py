@@ -29,6 +29,8 @@ def parse_tag_batches(docs: DataFrame, text_col: str = "value", id_col: str | No
     """One output row per object of each input JSON array.  A document that
     does not parse yields one row with ``parse_error`` set.  ``ordinal`` =
     document id * 2^20 + position, used to let the last duplicate win."""
+    from ..session import ship_package
+    ship_package(docs.sparkSession)
     cols = [text_col] + ([id_col] if id_col else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

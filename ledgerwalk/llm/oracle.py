@@ -6,7 +6,7 @@ window by window, top-k scores by a full join, the mix by plain windows."""
 
 from __future__ import annotations
 
-from . import secrets, sharding
+from . import secret_scan, sharding
 
 
 def _quoted(s: str) -> str:
@@ -14,14 +14,14 @@ def _quoted(s: str) -> str:
 
 
 def _secret_sql() -> str:
-    kinds = [(0, secrets.ASSIGN), (1, secrets.ACCESS), (2, secrets.HEX)] + [(i + 3, c.pattern) for i, c in enumerate(secrets.CLASSES)]
+    kinds = [(0, secret_scan.ASSIGN), (1, secret_scan.ACCESS), (2, secret_scan.HEX)] + [(i + 3, c.pattern) for i, c in enumerate(secret_scan.CLASSES)]
     found = " UNION ALL ".join(
         f"SELECT rid, {k} AS k, regexp_extract_all(t, {_quoted(p)}) AS hits, "
         f"{'regexp_extract_all(t, ' + _quoted(p) + ', 2)' if k == 0 else 'NULL::VARCHAR[]'} AS vals, "
         f"string_split_regex(t, {_quoted(p)}) AS gaps FROM d" for k, p in kinds)
-    names = "CASE k " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(secrets.KINDS)) + " END"
-    classes = ", ".join(f"({i + 3}, {c.window}, {secrets.plogp_limit(c)}, {str(c.fold).lower()})" for i, c in enumerate(secrets.CLASSES))
-    allow = " AND ".join(f"NOT regexp_matches(h, {_quoted(a)})" for a in secrets.ALLOW)
+    names = "CASE k " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(secret_scan.KINDS)) + " END"
+    classes = ", ".join(f"({i + 3}, {c.window}, {secret_scan.plogp_limit(c)}, {str(c.fold).lower()})" for i, c in enumerate(secret_scan.CLASSES))
+    allow = " AND ".join(f"NOT regexp_matches(h, {_quoted(a)})" for a in secret_scan.ALLOW)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({found}),
@@ -29,7 +29,7 @@ e AS (SELECT rid, k, unnest(hits) AS h, unnest(vals) AS v, unnest(gaps[1:len(hit
       FROM m WHERE len(hits) > 0),
 a AS (SELECT *, sum(length(g)) OVER (PARTITION BY rid, k ORDER BY i)
              + coalesce(sum(length(h)) OVER (PARTITION BY rid, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e),
-base AS (SELECT rid, k, s, s + length(h) AS e FROM a WHERE k = 1 OR k = 2 OR (k = 0 AND length(v) >= {secrets.ASSIGN_VALUE_MIN})),
+base AS (SELECT rid, k, s, s + length(h) AS e FROM a WHERE k = 1 OR k = 2 OR (k = 0 AND length(v) >= {secret_scan.ASSIGN_VALUE_MIN})),
 c(k, w, lim, fold) AS (VALUES {classes}),
 cand AS (SELECT a.rid, a.k, a.s, c.w, c.lim, CASE WHEN c.fold THEN lower(h) ELSE h END AS h FROM a JOIN c ON a.k = c.k WHERE {allow}),
 win AS (SELECT *, unnest(range(0, length(h) - w + 1)) AS o FROM cand),

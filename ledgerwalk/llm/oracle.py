@@ -6,7 +6,7 @@ window by window, top-k scores by a full join, the mix by plain windows."""
 
 from __future__ import annotations
 
-from . import secret_scan, sharding
+from . import decontam, secret_scan, sharding
 
 
 def _quoted(s: str) -> str:
@@ -95,4 +95,29 @@ SELECT doc_id, size, source_size, target,
        (before + size) / target AS virtual_finish
 FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
 
-ORACLE = {"op1_secret_scan": _secret_sql(), "op2_warc": WARC_SQL, "op3_exact_topk": TOPK_SQL, "op4_sharding": _shard_sql(), "op10_mixing": MIX_SQL}
+def decontam_ctes(table: str) -> str:
+    def words(t: str) -> str:
+        lower = f"translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"list_filter(string_split_regex({lower}, '{decontam.SEPARATORS}'), lambda x: x <> '')"
+
+    return f"""
+i AS (SELECT item_id::VARCHAR AS item_id, {words("text")} AS w FROM benchmark),
+iw AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS o FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[o:o + 9], ' ') AS phrase FROM iw),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, {words("text")} AS w FROM {table}),
+pos AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM dw WHERE len(w) > 0),
+occ AS (SELECT rid, p, n, array_to_string(w[p:p + n - 1], ' ') AS phrase FROM pos, sizes WHERE p + n - 1 <= len(w)),
+hit AS (SELECT rid, p, occ.n, item_id FROM occ JOIN win ON occ.phrase = win.phrase AND occ.n = win.n),
+cov AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS x FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)"""
+
+
+DECONTAM_SQL = f"""
+WITH {decontam_ctes("documents")}
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)"""
+
+ORACLE = {"op1_secret_scan": _secret_sql(), "op2_warc": WARC_SQL, "op3_exact_topk": TOPK_SQL, "op4_sharding": _shard_sql(), "op5_decontamination": DECONTAM_SQL,
+          "op10_mixing": MIX_SQL}

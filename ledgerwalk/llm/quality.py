@@ -9,10 +9,9 @@
    pattern the probability of being bad.
 3. These posterior labels train a hashed linear scorer: presence of words and
    of structural marks, hashed to ``BUCKETS``, weighted by the log-odds between
-   bad and good.  Only weights that are large and significant are kept, so
-   rare words add no noise.  Training reads at most about ``SAMPLE`` documents
-   that have a vote, chosen by a hash of their id, one for each longest word and vote pattern,
-   so that a group of copies does not count as many; votes, patterns and scores
+   bad and good.  Only marks of bad documents that are large and significant are
+   kept, so rare words add no noise.  Training reads at most about ``SAMPLE`` documents
+   that have a vote, chosen by a hash of their id, one for each signature and vote pattern, so that a group of copies does not count as many; votes, patterns and scores
    cover every document.
 4. A document is rejected if its score is above ``THRESHOLD``.
 
@@ -38,11 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 SAMPLE = 20_000
 #: Log-odds that a document must reach to be rejected: more than one word of
 #: the least evidence gives, less than one word that is well attested.
 THRESHOLD = 4.5
+#: Bad documents that a bucket needs at least: with fewer, no weight is significant.
+MIN_BAD = 3
 MIN_WEIGHT = 2.0
 MIN_SIGNIFICANCE = 4.5
 HEURISTICS = ("symbols", "separators", "shouting", "repetition", "abuse")
@@ -90,21 +91,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
+def signature(text: str) -> tuple[int, int]:
+    """Two hashes that near copies mostly share: of the longest word, and the least
+    hash of a long word."""
+    tokens = text.split()
+    return (zlib.crc32(max(tokens, key=len, default="").encode()),
+            min((zlib.crc32(w.encode()) for w in tokens if len(w) > 6), default=0))
+
+
 def votes(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, h, sig, pattern): every document's votes as base-3 digits; ``sig``
-    is the hash of its longest word, which copies of a document mostly share."""
+    """(doc_id, h, sig1, sig2, pattern): every document's votes as base-3 digits and
+    its signature."""
 
     def run(batches):
         for b in batches:
             code = [sum(v * 3 ** (i + 1) for i, v in enumerate(marks(t))) for t in _texts(b)]
-            sig = [zlib.crc32(max(t.split(), key=len, default="").encode()) for t in _texts(b)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "sig": sig, "code": code})
+            sig = [signature(t) for t in _texts(b)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "sig1": [x for x, _ in sig], "sig2": [x for _, x in sig], "code": code})
 
-    own = keyed(docs).mapInPandas(run, "doc_id bigint, h bigint, sig bigint, code int")
+    own = keyed(docs).mapInPandas(run, "doc_id bigint, h bigint, sig1 bigint, sig2 bigint, code int")
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), BAD).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), GOOD)
     human = labels.select(F.col("doc_id").alias("_id"), bad.alias("vote")).filter("_id is not null and vote is not null").groupBy("_id").agg(F.max("vote").alias("vote"))
     rows = own.join(human, F.col("doc_id") == F.col("_id"), "left")
-    return rows.select("doc_id", "h", "sig", (F.col("code") + F.coalesce("vote", F.lit(NONE))).alias("pattern"))
+    return rows.select("doc_id", "h", "sig1", "sig2", (F.col("code") + F.coalesce("vote", F.lit(NONE))).alias("pattern"))
 
 
 def digits(pattern: int) -> list[int]:
@@ -129,7 +138,7 @@ def fit_labellers(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int,
             table = np.array([[weight[v[:, j] == k].sum() + 0.1 for k in range(3)] for j in range(v.shape[1])])
             table /= table.sum(1, keepdims=True)
             log = np.log(table[np.arange(v.shape[1]), v])
-            log[human == NONE, 0] = 0  # no label says nothing about the document
+            log[v == NONE] = 0  # only votes that are cast say something
             logs.append(log.sum(1))
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0] + math.log((1 - prior) / prior), -50, 50)))
         done = np.abs(new - p).max() < 1e-9
@@ -149,8 +158,9 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], n_vote
     share = min(1.0, sample / max(n_voted, 1))
     chosen = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
     some = keyed(docs.filter(chosen)).join(
-        voted.filter(chosen & (F.col("pattern") > 0)).distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "sig", "pattern"),
-        F.expr("doc_id <=> _id and h = _h")).groupBy("sig", "pattern").agg(F.min("text").alias("text"))
+        voted.filter(chosen & (F.col("pattern") > 0)).distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "sig1", "sig2", "pattern"),
+        F.expr("doc_id <=> _id and h = _h")).groupBy("sig1", "pattern").agg(F.min(F.struct("sig2", "text")).alias("d"))
+    some = some.groupBy("d.sig2", "pattern").agg(F.min("d.text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -165,7 +175,7 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], n_vote
             yield pd.DataFrame({"bucket": list(total), "bad": [round(x[0] * 1e6) for x in total.values()], "good": [round(x[1] * 1e6) for x in total.values()]})
 
     sums = some.mapInPandas(run, "bucket int, bad bigint, good bigint").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    t = sums.toPandas()  # at most BUCKETS + 1 rows
+    t = sums.filter(F.col("bad") >= MIN_BAD * 1_000_000).toPandas()  # at most sample * words / MIN_BAD rows, and BUCKETS + 1
     total = t[t.bucket == -1]
     if not len(total):
         return {}, 0.0
@@ -177,7 +187,7 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], n_vote
     # root of the likelihood ratio against "as frequent in bad as in good documents"
     share = all_bad / (all_bad + all_good)
     ratio = 2 * (a * np.log(a / ((a + b) * share)) + b * np.log(b / ((a + b) * (1 - share))))
-    keep = (np.abs(weight) >= MIN_WEIGHT) & (np.sqrt(np.maximum(ratio, 0)) >= MIN_SIGNIFICANCE)
+    keep = (weight >= MIN_WEIGHT) & (np.sqrt(np.maximum(ratio, 0)) >= MIN_SIGNIFICANCE)
     return dict(zip(t.bucket[keep].tolist(), weight[keep].tolist())), math.log((all_bad + 0.5) / (all_good + 0.5))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secret_scan, sharding, topk, warc
+from . import decontam, mixing, quality, secret_scan, sharding, topk, warc
 from .common import read, scratch
 
 
@@ -27,8 +27,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("h")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_exact_topk, op4_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_exact_topk, op4_sharding, op5_decontamination,
+                                  op7_quality, op10_mixing)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, mixing, quality, secret_scan, sharding, topk, warc
+from . import decontam, html_text, jaccard, mixing, quality, secret_scan, sharding, topk, warc
 from .common import read, scratch
 
 
@@ -39,9 +39,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents")).drop("h")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_exact_topk, op4_sharding, op5_decontamination,
-                                  op6_html_text, op7_quality, op10_mixing)}
+                                  op6_html_text, op7_quality, op8_jaccard_join, op10_mixing)}

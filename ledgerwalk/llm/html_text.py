@@ -300,5 +300,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [page_text(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    schema = pages.select("page_id").schema.add("text", "string").add("n_chars", "bigint")
+    schema = pages.select("page_id").schema.add("text", "string").add("n_chars", "long")
     return pages.select("page_id", "html").mapInPandas(run, schema)

@@ -126,8 +126,8 @@ jd AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_rege
 sh AS (SELECT rid, array_to_string(w, ' ') AS s FROM jd WHERE len(w) BETWEEN 1 AND 4
        UNION SELECT rid, array_to_string(w[i:i + 4], ' ') FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM jd WHERE len(w) >= 5)),
 sn AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
-both AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
-link AS (SELECT a, b FROM both JOIN sn x ON x.rid = a JOIN sn y ON y.rid = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+met AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN sn x ON x.rid = a JOIN sn y ON y.rid = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 reach AS (SELECT rid AS a, rid AS b FROM jd UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 comp AS (SELECT r.a AS rid, min(jd.doc_id) AS component_id FROM reach r JOIN jd ON jd.rid = r.b GROUP BY r.a)"""
 

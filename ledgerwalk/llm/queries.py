@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, jaccard, mixing, quality, secret_scan, sharding, topk, warc
+from . import decontam, html_text, jaccard, mixing, quality, repeats, secret_scan, sharding, topk, warc
 from .common import read, scratch
 
 
@@ -43,9 +43,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents")).drop("h")
 
 
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_exact_topk, op4_sharding, op5_decontamination,
-                                  op6_html_text, op7_quality, op8_jaccard_join, op10_mixing)}
+                                  op6_html_text, op7_quality, op8_jaccard_join,
+                                  op9_repeat_removal, op10_mixing)}

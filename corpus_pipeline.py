@@ -1,7 +1,63 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to placed shards.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerwalk.llm import decontam, jaccard, mixing, quality, sharding
+from ledgerwalk.llm.common import read, stored
+from ledgerwalk.session import ensure_checkpoint_dir
+
+#: The quality classifier learns from the data, which SQL does not express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    ensure_checkpoint_dir(spark)
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    ensure_checkpoint_dir(spark)
+    return jaccard.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    ensure_checkpoint_dir(spark)
+    return decontam.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents as often as its target takes them, in mixing order."""
+    ensure_checkpoint_dir(spark)
+    return mixing.mix_stream(docs).select(docs.columns)
+
+
+def place_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its slot and shard."""
+    ensure_checkpoint_dir(spark)
+    return sharding.place(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("source_mixing", mix_sources),
+    ("sharding", place_shards),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

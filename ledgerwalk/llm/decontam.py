@@ -134,3 +134,11 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFra
     return out.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
                       F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
                       F.sha2(items_text, 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item."""
+    _, windows, index = build_index(docs, items, n)
+    hit = stored(phrase_matches(index, windows).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "contaminated")
+    rows = docs.withColumn("_hash", F.xxhash64("text")).join(small_side(hit), F.expr("doc_id <=> _id and _hash = _h"), "left_anti")
+    return rows.drop("_hash")

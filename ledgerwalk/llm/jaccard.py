@@ -386,7 +386,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, h, n_shingles, component_id, component) of every row of ``docs``
+    (doc_id, text); ``component`` names the component by class, null for empty sets."""
     facts = stored(class_facts(docs), "facts")
     documents = facts.filter("df = 0").select("doc_id", "h", "n", "cls")
     classes = stored(facts.filter("df = 0 and n > 0").groupBy("cls").agg(
@@ -419,7 +420,24 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         comp = components(links)
     named = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = stored(named.join(names, "comp").select("cls", "component_id"), "components")
+    of_class = stored(named.join(names, "comp").select("cls", "component_id", "comp"), "components")
     out = documents.join(of_class, "cls", "left")
     return out.select("doc_id", "h", F.col("n").cast("bigint").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      F.when(F.col("n") > 0, F.col("comp")).alias("component"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest doc_id.  Rows
+    without words are in no component and all stay."""
+    rows = stored(jaccard_join(docs), "joined").filter("component is not null")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("keep")
+    kept = rows.groupBy("component").agg(least).select(F.col("component").alias("_c"), F.col("keep.doc_id").alias("_id"), F.col("keep.h").alias("_h"))
+    copies = rows.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    copies = copies.join(kept, F.expr("component = _c and doc_id <=> _id and h = _h"), "left")
+    gone = small_side(stored(copies.filter("_c is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "gone"))
+    again = small_side(stored(copies.filter("_c is not null and rows > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "repeated"))
+    same = F.expr("doc_id <=> _id and _hash = _h")
+    left = docs.withColumn("_hash", F.xxhash64("text")).join(gone, same, "left_anti")
+    single, repeated = left.join(again, same, "left_anti"), left.join(again, same, "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "_hash"])).drop("_hash")

@@ -223,3 +223,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     weights, bias, _ = fit(docs, labels, sample)
     out = score(docs.select("doc_id", "text"), weights, bias)
     return out.select("doc_id", "score", (F.col("score") > THRESHOLD).alias("rejected"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject."""
+    weights, bias, _ = fit(docs, labels, sample)
+    return score(docs, weights, bias).filter(F.col("score") <= THRESHOLD).drop("score")

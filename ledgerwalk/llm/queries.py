@@ -40,7 +40,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(read(spark, sf_dir, "documents")).drop("h")
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents")).drop("h", "component")
 
 
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,18 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def carried(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``_row``: an operator's working columns, added beside
+    it, cannot clash with the table's own.  ``_row.*`` brings the columns back."""
+    return df.select(F.struct("*").alias("_row"))
+
+
+def id_text(name: str) -> Column:
+    """An id column as text, for its way through pandas (which would turn a column
+    with nulls into floating point)."""
+    return F.col(name).cast("string").alias(name)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case, every other character unchanged."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small_side, stored
+from .common import carried, lower_ascii, small_side, stored
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -140,5 +140,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataF
     """The rows of ``docs`` that hold no window of any item."""
     _, windows, index = build_index(docs, items, n)
     hit = stored(phrase_matches(index, windows).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "contaminated")
-    rows = docs.withColumn("_hash", F.xxhash64("text")).join(small_side(hit), F.expr("doc_id <=> _id and _hash = _h"), "left_anti")
-    return rows.drop("_hash")
+    rows = carried(docs).withColumn("_hash", F.xxhash64("_row.text")).join(small_side(hit), F.expr("_row.doc_id <=> _id and _hash = _h"), "left_anti")
+    return rows.select("_row.*")

@@ -20,6 +20,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import id_text
 
 MAX_PAD = 40
 CELL_GAP = " | "
@@ -300,5 +303,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [page_text(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    schema = pages.select("page_id").schema.add("text", "string").add("n_chars", "long")
-    return pages.select("page_id", "html").mapInPandas(run, schema)
+    out = pages.select(id_text("page_id"), "html").mapInPandas(run, "page_id string, text string, n_chars bigint")
+    return out.withColumn("page_id", F.col("page_id").cast("bigint"))

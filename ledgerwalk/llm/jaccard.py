@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import carried, id_text, small_side, stored
 from .shingles import chunks, shingle_sets
 
 #: Counted locally from LOCAL_DF documents of a chunk on; at most MAX_COMMON of
@@ -106,12 +106,13 @@ def class_facts(docs: DataFrame) -> DataFrame:
                 if size > 4_000_000:
                     yield common()
                     held, seen, size = [], set(), 0
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "n": n, "cls": cls, "bits": bits, "token": 0, "df": 0})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "n": n, "cls": cls, "bits": bits, "token": 0, "df": 0})
         if held:
             yield common()
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInPandas(run, "doc_id bigint, h bigint, n int, cls bigint, bits binary, token bigint, df bigint")
+    rows = docs.select(id_text("doc_id"), F.xxhash64("text").alias("h"), "text")
+    out = rows.mapInPandas(run, "doc_id string, h bigint, n int, cls bigint, bits binary, token bigint, df bigint")
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def common_tokens(facts: DataFrame) -> np.ndarray:
@@ -437,7 +438,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     copies = copies.join(kept, F.expr("component = _c and doc_id <=> _id and h = _h"), "left")
     gone = small_side(stored(copies.filter("_c is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "gone"))
     again = small_side(stored(copies.filter("_c is not null and rows > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "repeated"))
-    same = F.expr("doc_id <=> _id and _hash = _h")
-    left = docs.withColumn("_hash", F.xxhash64("text")).join(gone, same, "left_anti")
+    same = F.expr("_row.doc_id <=> _id and _hash = _h")
+    left = carried(docs).withColumn("_hash", F.xxhash64("_row.text")).join(gone, same, "left_anti")
     single, repeated = left.join(again, same, "left_anti"), left.join(again, same, "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "_hash"])).drop("_hash")
+    return single.unionByName(repeated.withColumn("_key", F.struct("_row.doc_id", "_hash")).dropDuplicates(["_key"]).drop("_key")).select("_row.*")

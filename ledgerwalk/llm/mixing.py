@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, stored
+from .common import SPACE_WORD, carried, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -111,19 +111,20 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
 def mix_stream(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: every taken copy of every document, whole rows, in order of
     virtual finish time.  A copy that the budget cuts stays if at least half of it fits."""
-    keyed = docs.withColumn("_tag", F.xxhash64("text"))
+    own = [c for c in docs.columns if c.lower() not in ("copy", "copy_words", "virtual_finish")]
+    keyed = carried(docs).withColumn("_tag", F.xxhash64("_row.text"))
     pos = stored(queue_positions(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("tag"),
                                              n_words(F.col("text")).alias("size")), weights, max_epochs), "positions")
     copies = pos.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     copies = copies.withColumn("copy_words", copy_words(F.col("copy"))).withColumn("virtual_finish", virtual_finish(F.col("copy")))
     copies = copies.filter((F.col("size") > 0) & (F.col("copy_words") * 2 >= F.col("size")))
-    same = "doc_id <=> _id and cast(source as string) <=> _src and _tag = tag"
+    same = "_row.doc_id <=> _id and cast(_row.source as string) <=> _src and _tag = tag"
     right = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "tag", "copy", "copy_words", "virtual_finish", "before")
     repeats = stored(pos.groupBy("doc_id", "source", "tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeats")
     if repeats.limit(1).count():
         # rows equal in id, source and text are interchangeable: number them on both sides
-        keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_tag").orderBy(F.lit(1))))
+        keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_row.doc_id", "_row.source", "_tag").orderBy(F.lit(1))))
         right = right.withColumn("_m", F.dense_rank().over(Window.partitionBy("_id", "_src", "tag").orderBy("before")))
         same += " and _n = _m"
-    out = keyed.join(right, F.expr(same))
-    return out.drop("_tag", "_n", "_m", "_id", "_src", "tag", "before").orderBy("virtual_finish", "doc_id", "copy")
+    out = keyed.join(right, F.expr(same)).orderBy("virtual_finish", "_id", "copy")
+    return out.select(*[F.col("_row")[c].alias(c) for c in own], "copy", "copy_words", "virtual_finish")

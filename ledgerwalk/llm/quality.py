@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import id_text, stored
 
 BUCKETS = 1 << 22
 SAMPLE = 20_000
@@ -109,7 +109,8 @@ def votes(docs: DataFrame, labels: DataFrame) -> DataFrame:
             sig = [signature(t) for t in _texts(b)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "sig1": [x for x, _ in sig], "sig2": [x for _, x in sig], "code": code})
 
-    own = keyed(docs).mapInPandas(run, "doc_id bigint, h bigint, sig1 bigint, sig2 bigint, code int")
+    own = keyed(docs).withColumn("doc_id", id_text("doc_id")).mapInPandas(run, "doc_id string, h bigint, sig1 bigint, sig2 bigint, code int")
+    own = own.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), BAD).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), GOOD)
     human = labels.select(F.col("doc_id").alias("_id"), bad.alias("vote")).filter("_id is not null and vote is not null").groupBy("_id").agg(F.max("vote").alias("vote"))
     rows = own.join(human, F.col("doc_id") == F.col("_id"), "left")
@@ -203,19 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
 
 
 def score(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
-    """``docs`` with ``score`` (columns of that name are replaced)."""
-    schema = docs.drop("score").schema.add("score", "double")
+    """``docs`` with ``score`` (a column of that name is replaced)."""
     kept = docs.sparkSession.sparkContext.broadcast(weights)  # at most BUCKETS numbers
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def scorer(texts: pd.Series) -> pd.Series:
         w = kept.value
-        for b in batches:
-            got = []
-            for t in _texts(b):
-                got.append(bias + math.fsum(w[f] for f in features(t, marks(t)) if f in w))
-            yield b.assign(score=got)
+        plain = (t if isinstance(t, str) else "" for t in texts)
+        return pd.Series([bias + math.fsum(w[f] for f in features(t, marks(t)) if f in w) for t in plain], dtype="float64")
 
-    return docs.drop("score").mapInPandas(run, schema)
+    return docs.withColumn("score", scorer(F.col("text")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import id_text, small_side, stored
 from .shingles import chunks, mix, powers
 
 LENGTH = 200
@@ -229,8 +229,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     upto = at = max(upto, e)
                 kept = b"".join(kept) + text[at:]
                 rows.append((doc_id, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = keyed(docs).join(stretches, "rid", "left").select("doc_id", "text", "cuts")
-    return rows.mapInPandas(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    rows = keyed(docs).join(stretches, "rid", "left").select(id_text("doc_id"), "text", "cuts")
+    out = rows.mapInPandas(run, "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import carried, prefix_sums
 
 
 def either_case(word: str) -> str:
@@ -118,10 +118,10 @@ def scan_secrets(df: DataFrame, text: str = "text", classes: Sequence[EntropyCla
     """``df`` with column ``out``: array of (start, kind, end) sorted by start,
     then kind, where kind indexes assign, access, hex and then ``classes``."""
     patterns = [ASSIGN, ACCESS, HEX, *(c.pattern for c in classes)]
-    tmp = [f"_sec{i}" for i in range(len(patterns))]
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_sec_t", t)
-    t = F.col("_sec_t")
+    tmp = [f"m{i}" for i in range(len(patterns))]
+    own = [c for c in df.columns if c.lower() != out.lower()]
+    df = carried(df).withColumn("t", F.coalesce(F.col("_row")[text].cast("string"), F.lit("")))
+    t = F.col("t")
     # matches, and the lengths of what stands before each: positions follow
     for name, p in zip(tmp, patterns):
         df = df.withColumn(name, F.when(t.rlike(p), F.struct(
@@ -147,8 +147,8 @@ def scan_secrets(df: DataFrame, text: str = "text", classes: Sequence[EntropyCla
             spans = F.flatten(F.transform(keep, lambda m: F.transform(hot_windows(m["hit"], classes[i - 3]), lambda r: F.struct(
                 (m["at"] + r["start"]).alias("start"), kind.alias("kind"), (m["at"] + r["end"]).alias("end")))))
         df = df.withColumn(f"{name}_span", F.when(F.col(name).isNotNull(), spans).otherwise(F.array()).cast(_SPAN))
-    return df.withColumn(out, F.array_sort(F.concat(*[F.col(f"{n}_span") for n in tmp]))).drop(
-        "_sec_t", *[f"{n}{s}" for n in tmp for s in ("", "_at", "_span")])
+    return df.select(*[F.col("_row")[c].alias(c) for c in own],
+                     F.array_sort(F.concat(*[F.col(f"{n}_span") for n in tmp])).alias(out))
 
 
 def span_text(spans: Column, kinds: Sequence[str] = KINDS) -> Column:

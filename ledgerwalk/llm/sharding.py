@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried
+
 TABLE_SIZE = 4099
 MAX_TABLE = 1_000_003
 SHARDS = tuple(f"shard-{i:02d}" for i in range(32))
@@ -70,5 +72,6 @@ def place(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, si
           slot: str = "slot", shard: str = "shard") -> DataFrame:
     """``df`` with its ``slot`` and ``shard`` (columns of those names are replaced)."""
     table = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    rows = df.drop(slot, shard).withColumn("_slot", slot_of(F.col(key), size))
-    return rows.join(F.broadcast(table), "_slot").withColumnsRenamed({"_slot": slot, "_shard": shard})
+    own = [c for c in df.columns if c.lower() not in (slot.lower(), shard.lower())]
+    rows = carried(df).withColumn("_slot", slot_of(F.col("_row")[key], size)).join(F.broadcast(table), "_slot")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in own], F.col("_slot").alias(slot), F.col("_shard").alias(shard))

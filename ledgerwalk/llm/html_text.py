@@ -147,8 +147,6 @@ def hidden(node: Node) -> bool:
         return True
     if node.tag == "dialog" and "open" not in a or node.tag == "input":
         return True
-    if node.parent is not None and node.parent.tag == "details" and "open" not in node.parent.attrs and node.tag != "summary":
-        return True
     return "style" in a and re.search(r"display\s*:\s*none", a["style"], re.I) is not None
 
 
@@ -262,7 +260,10 @@ def render(root: Node) -> str:
             todo.append((node, False))
             if tag == "q":
                 todo.append(("”", True))
-            todo.extend((c, True) for c in reversed(node.children))
+            shown = node.children
+            if tag == "details" and "open" not in node.attrs:
+                shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"]
+            todo.extend((c, True) for c in reversed(shown))
             if tag == "q":
                 todo.append(("“", True))
             continue

@@ -46,6 +46,9 @@ THRESHOLD = 4.5
 MIN_BAD = 3
 MIN_WEIGHT = 2.0
 MIN_SIGNIFICANCE = 4.5
+#: Correct human votes of each class that EM takes as seen before the data.
+HUMAN_PRIOR = 10.0
+UNLABELLED_WEIGHT = 0.05
 HEURISTICS = ("symbols", "separators", "shouting", "repetition", "abuse")
 LABELLERS = ("human", *HEURISTICS)
 NONE, GOOD, BAD = 0, 1, 2
@@ -132,14 +135,18 @@ def fit_labellers(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int,
     bad, good = (v == BAD).sum(1), (v == GOOD).sum(1)
     human = v[:, 0]
     p = np.where(human == BAD, 0.95, np.where(human == GOOD, 0.05, np.where(bad > good, 0.8, 0.1)))
+    # votes that no label checks count less: kinds of junk exclude each other, which
+    # the labellers' independence does not know, and unchecked they would drift
+    m = np.where(human == NONE, n * UNLABELLED_WEIGHT, n) if (human != NONE).any() else n
     for _ in range(rounds):
-        prior = np.clip((n * p).sum() / n.sum(), 1e-6, 1 - 1e-6)
+        prior = np.clip((m * p).sum() / m.sum(), 1e-6, 1 - 1e-6)
         logs = []
-        for weight in (n * p, n * (1 - p)):
+        for weight, right in ((m * p, BAD), (m * (1 - p), GOOD)):
             table = np.array([[weight[v[:, j] == k].sum() + 0.1 for k in range(3)] for j in range(v.shape[1])])
-            table /= table.sum(1, keepdims=True)
-            log = np.log(table[np.arange(v.shape[1]), v])
-            log[v == NONE] = 0  # only votes that are cast say something
+            table[0, NONE] = 0  # whether a document is labelled says nothing about it
+            table[0, right] += HUMAN_PRIOR
+            log = np.log(np.maximum(table / table.sum(1, keepdims=True), 1e-12))[np.arange(v.shape[1]), v]
+            log[human == NONE, 0] = 0
             logs.append(log.sum(1))
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0] + math.log((1 - prior) / prior), -50, 50)))
         done = np.abs(new - p).max() < 1e-9

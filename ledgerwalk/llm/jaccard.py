@@ -14,7 +14,8 @@ All classes that meet at a shingle form a cell.
    member, not all pairs): first by size and token bitmap, then by the sets.
    Linked classes are joined to components, which settles groups of copies.
 2. Cells that still hold several components are searched with signature
-   trees.  A node has the OR of its members' token bitmaps, the range of their
+   trees, twice: for the nearest mate of each class, and for all that is left
+   when those are joined.  A node has the OR of its members' token bitmaps, the range of their
    sizes and the most tokens that share bits; the tree of a cell is traversed
    against itself, and a pair of nodes is left when sizes or the greatest
    possible overlap rule every link out, or when all members are of one
@@ -60,8 +61,8 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Token bitmap of 2 to 4 bits a token (a power of two of at least 64)."""
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    """Token bitmap of 4 to 8 bits a token (a power of two of at least 64)."""
+    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(tokens >> np.uint64(24)) & np.uint64(bits - 1)] = 1
     return np.packbits(out).tobytes()
@@ -267,8 +268,9 @@ class Tree:
             excess = np.maximum.reduceat(excess, at)
 
 
-def dual_traversal(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays of the members of two trees (or of one against itself) that may link."""
+def dual_traversal(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index arrays of the members of two trees (or of one against itself) that may
+    link, and how many bits of theirs differ."""
     todo = [(len(p.levels) - 1, 0, len(q.levels) - 1, 0)]
     while todo:
         lp, i, lq, j = todo.pop()
@@ -288,7 +290,7 @@ def dual_traversal(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, n
                 ok &= a[:, None] < b[None]
             x, y = np.nonzero(ok)
             if len(x):
-                yield a[x], b[y]
+                yield a[x], b[y], differ[x, y]
             continue
         down_p = lp >= lq and lp > 0
         level, at, side = (lp, i, p) if down_p else (lq, j, q)
@@ -298,9 +300,10 @@ def dual_traversal(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, n
             todo.append(nxt)
 
 
-def surviving_pairs(x: pd.DataFrame, y: pd.DataFrame | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def surviving_pairs(x: pd.DataFrame, y: pd.DataFrame | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of classes of one block, or of two, that may link and are of different
-    components.  Bitmaps are compared at the smaller width of two adjoining ones."""
+    components, and how many bits differ.  Bitmaps are compared at the smaller width
+    of two adjoining ones."""
 
     def by_width(f: pd.DataFrame):
         width = f["bits"].map(len)
@@ -317,30 +320,101 @@ def surviving_pairs(x: pd.DataFrame, y: pd.DataFrame | None = None) -> Iterator[
             if not wp // 2 <= wq <= 2 * wp or (y is None and wq < wp):
                 continue
             w = min(wp, wq)
-            for a, b in dual_traversal(tree(gp, w), tree(gq, w), y is None and wp == wq):
-                yield gp["cls"].to_numpy()[a], gq["cls"].to_numpy()[b]
-
-
-def search_cells(members: DataFrame) -> DataFrame:
-    """(a, b) candidates of the cells (cell, cls, n, bits, comp)."""
+            for a, b, d in dual_traversal(tree(gp, w), tree(gq, w), y is None and wp == wq):
+                yield gp["cls"].to_numpy()[a], gq["cls"].to_numpy()[b], d
+
+
+def leaf_pairs(f: pd.DataFrame, size: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for many cells of at most LEAF members at once: trees of one leaf."""
+    n, cls, comp = f["n"].to_numpy(np.int64), f["cls"].to_numpy(), f["comp"].to_numpy()
+    width = f["bits"].map(len).to_numpy()
+    first, second = [], []
+    for m in np.unique(size):
+        i, j = np.triu_indices(int(m), 1)
+        at = start[size == m][:, None]
+        first.append((at + i).ravel())
+        second.append((at + j).ravel())
+    x, y = np.concatenate(first), np.concatenate(second)
+    ok = (comp[x] != comp[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+    x, y = x[ok], y[ok]
+    swap = cls[x] > cls[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    order = np.lexsort((cls[y], cls[x]))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (cls[x][1:] != cls[x][:-1]) | (cls[y][1:] != cls[y][:-1])
+    x, y = x[new], y[new]
+    row = np.zeros(len(f), np.int64)
+    held = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        row[at] = np.arange(len(at))
+        held[w] = np.frombuffer(b"".join(f["bits"].iloc[at]), np.uint64).reshape(len(at), w // 8)
+    for wx in held:
+        for wy in held:
+            w = min(wx, wy)
+            pick = np.flatnonzero((width[x] == wx) & (width[y] == wy))
+            left, right = fold(held[wx], w // 8), fold(held[wy], w // 8)
+            for k in range(0, len(pick), max(1, (1 << 22) // w)):
+                a, b = x[pick[k:k + (1 << 22) // w]], y[pick[k:k + (1 << 22) // w]]
+                differ = np.bitwise_count(left[row[a]] ^ right[row[b]]).sum(1).astype(np.int64)
+                keep = 9 * differ <= n[a] + n[b]
+                yield cls[a[keep]], cls[b[keep]], differ[keep]
+
+
+def search_cells(members: DataFrame, sketch: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b) candidates of the cells (cell, cls, n, comp): all that may link, or with
+    ``nearest`` only the one of each class whose bitmap is nearest."""
     at = Window.partitionBy("cell").orderBy("n", "cls")
     rows = members.withColumn("blk", F.floor((F.row_number().over(at) - 1) / BLOCK).cast("int"))
+    # a class whose neighbours by size are too small and too large has no mate here
+    rows = rows.withColumn("below", F.lag("n").over(at)).withColumn("above", F.lead("n").over(at))
+    rows = rows.filter("5 * below >= 4 * n or 5 * n >= 4 * above").drop("below", "above")
     rows = rows.withColumn("top", F.max("blk").over(Window.partitionBy("cell")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top"))))
     rows = rows.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        blocks = [g for _, g in f.groupby("blk")]
-        single = f["i"].iloc[0] == f["j"].iloc[0]
-        if not single and len(blocks) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = list(surviving_pairs(blocks[0], None if single else blocks[1]))
-        if not found:
+    def groups(f: pd.DataFrame) -> np.ndarray:
+        """Where groups of (cell, i, j) begin, and the end."""
+        k = f[["cell", "i", "j"]].to_numpy()
+        return np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1), [True])))
+
+    def found(f: pd.DataFrame, edge: np.ndarray) -> pd.DataFrame:
+        size, start = np.diff(edge), edge[:-1]
+        small = size <= LEAF
+        out = list(leaf_pairs(f, size[small], start[small])) if small.any() else []
+        for s, m in zip(start[~small].tolist(), size[~small].tolist()):
+            g = f.iloc[s:s + m]
+            if g["i"].iloc[0] == g["j"].iloc[0]:
+                out += surviving_pairs(g)
+            elif g["blk"].nunique() == 2:
+                out += surviving_pairs(g[g["blk"] == g["i"]], g[g["blk"] == g["j"]])
+        if not out:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = (np.concatenate(z).astype(np.int64) for z in zip(*found))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        a, b, d = (np.concatenate(z).astype(np.int64) for z in zip(*out))
+        if nearest:
+            both, mate = np.concatenate((a, b)), np.concatenate((b, a))
+            order = np.lexsort((mate, np.concatenate((d, d)), both))
+            first = np.concatenate(([True], both[order][1:] != both[order][:-1])) if len(order) else np.zeros(0, bool)
+            a, b = both[order][first], mate[order][first]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def run(batches):
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            edge = groups(b)
+            held = b.iloc[edge[-2]:]  # the last group may go on; it has at most two blocks
+            if len(edge) > 2:
+                yield found(b, edge[:-1])
+        if held is not None and len(held):
+            held = held.reset_index(drop=True)
+            yield found(held, groups(held))
 
-    return rows.groupBy("cell", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    # the bitmaps join last: they are shuffled once
+    rows = rows.join(sketch.select("cls", "bits"), "cls")
+    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return dealt.select("cell", "i", "j", "blk", "cls", "n", "bits", "comp").mapInPandas(run, "a bigint, b bigint")
 
 
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -409,16 +483,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     links = stored(linked(candidates, classes, docs), "links")
     comp = components(links)
 
-    # cells in which more than one component is left
+    # cells in which more than one component is left: first the nearest of each class,
+    # which joins most of what belongs together, then all that is left
     members = found.filter("cell is not null").select("cell", F.col("a").alias("cls")).distinct()
-    members = stored(members.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "members")
-    mixed = members.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cell")
-    open_cells = members.join(mixed, "cell", "left_semi").join(sketch, "cls")
-    more = search_cells(open_cells).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "survivors")
-    if more.limit(1).count():
-        links = links.unionByName(linked(more, classes, docs))
-        comp = components(links)
+    members = stored(members.join(sketch.select("cls", "n"), "cls"), "members")
+    tested = pairs
+    for nearest in (True, False):
+        placed = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        mixed = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cell")
+        open_cells = placed.join(mixed, "cell", "left_semi")
+        more = stored(search_cells(open_cells, sketch, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "survivors")
+        if more.limit(1).count():
+            links = links.unionByName(stored(linked(more, classes, docs), "links"))
+            tested = tested.unionByName(more)
+            comp = components(links)
     named = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_class = stored(named.join(names, "comp").select("cls", "component_id", "comp"), "components")

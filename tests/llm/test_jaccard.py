@@ -93,9 +93,9 @@ def test_tree_loses_no_link():
     texts += [" ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(5, 160))) for _ in range(200)]
     sets = shingle_sets([t.encode() for t in texts])
     frame = pd.DataFrame({"cls": range(len(sets)), "n": [len(s) for s in sets], "bits": [J.bitmap(s) for s in sets], "comp": [rng.randrange(200) for _ in sets]})
-    got = {tuple(sorted(p)) for a, b in J.surviving_pairs(frame) for p in zip(a.tolist(), b.tolist())}
+    got = {tuple(sorted(p)) for a, b, _ in J.surviving_pairs(frame) for p in zip(a.tolist(), b.tolist())}
     half = frame.iloc[::2], frame.iloc[1::2]
-    across = {tuple(sorted(p)) for a, b in J.surviving_pairs(*half) for p in zip(a.tolist(), b.tolist())}
+    across = {tuple(sorted(p)) for a, b, _ in J.surviving_pairs(*half) for p in zip(a.tolist(), b.tolist())}
     links = set()
     for a in range(len(sets)):
         for b in range(a):

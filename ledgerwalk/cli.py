@@ -19,16 +19,28 @@ def _now() -> datetime:
 
 
 def parse_duration(text: str | None):
-    """``48h``, ``90m``, ``30s``, ``2h30m`` (empty -> default 48h)."""
+    """A sequence of decimal numbers with units, e.g. ``48h``, ``1.5h``, ``2h30m``,
+    ``250ms`` (units h, m, s, ms, us, ns; a sign may lead; ``0`` alone is zero;
+    empty -> default 48h)."""
     import re
     from datetime import timedelta
+    from decimal import Decimal
     if not text:
         return DEFAULT_MAX_STALENESS
-    parts = re.fullmatch(r"(?:(\d+)h)?(?:(\d+)m)?(?:(\d+)s)?", text.strip())
-    if not parts or not any(parts.groups()):
+    units = {"h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1000, "us": 1, "\u00b5s": 1, "\u03bcs": 1, "ns": Decimal("0.001")}
+    body = text[1:] if text[0] in "+-" else text
+    number = r"(?:\d+\.?\d*|\.\d+)"
+    unit = "ns|us|\u00b5s|\u03bcs|ms|s|m|h"
+    if body != "0" and not re.fullmatch(f"(?:{number}(?:{unit}))+", body):
         raise ValueError(f"invalid duration {text!r}")
-    h, m, s = (int(g) if g else 0 for g in parts.groups())
-    return timedelta(hours=h, minutes=m, seconds=s)
+    micros = sum((Decimal(n) * units[u] for n, u in re.findall(f"({number})({unit})", body)), Decimal(0))
+    return timedelta(microseconds=int(-micros if text[0] == "-" else micros))
+
+
+def _print_lines(lines) -> None:
+    """Every line, in the order of the DataFrame, a partition at a time."""
+    for r in lines.toLocalIterator():
+        print(r.line)
 
 
 def _stores(pairs: list[str]) -> dict[str, str]:
@@ -56,7 +68,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--identify", action="store_true", help="stop after identifying candidates")
     p = sub.add_parser("plan")
     p.add_argument("--rule", action="append")
-    p.add_argument("--out", help="write the ops table here (Parquet)")
+    p.add_argument("--out", help="write the ops table, in execution order by seq, here (Parquet)")
+    p.add_argument("--report", help="write the whole report here (text) instead of printing it")
     p = sub.add_parser("process")
     p.add_argument("--ops", required=True)
     p.add_argument("--outcomes", required=True)
@@ -70,32 +83,35 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--remove-originals", action="store_true")
     p = sub.add_parser("query")
     p.add_argument("sql", nargs="?")
-    p.add_argument("--format", choices=["table", "csv", "tsv"], default="table")
+    p.add_argument("--format", choices=["csv", "tsv"], default="tsv")
     p.add_argument("--no-header", action="store_true")
+    p.add_argument("--out", help="write the whole result here (text) instead of printing it")
+    p.add_argument("--preview", type=int, help="print the first N rows as an aligned table instead")
     sub.add_parser("status")
     a = ap.parse_args(argv)
 
     from . import operators as ops
     from .session import get_spark
-    from .sources import hash_files, list_stores, read_tables, read_tags, write_tables
+    from .sources import hash_files, list_stores, read_tables, read_tags, spread_by_bytes, write_tables
     spark = get_spark()
-    T = read_tables(spark, a.catalogue)
+    base = read_tables(spark, a.catalogue)
+    T = dict(base)
     stores = _stores(a.store)
     now = _now()
 
     if a.cmd == "walk":
         T, stats = ops.apply_walk(T, list_stores(spark, stores), now, list(stores))
-        write_tables(T, a.catalogue)
+        write_tables(T, a.catalogue, base=base)
         stats.show()
     elif a.cmd == "reconcile":
         marked = ops.reconcile_marked(T["files"], now, parse_duration(a.max_staleness))
         marked.show()
         T["files"] = ops.mark_missing(T["files"], now, parse_duration(a.max_staleness))
-        write_tables(T, a.catalogue)
+        write_tables(T, a.catalogue, base=base)
     elif a.cmd == "sha256":
-        items = ops.resolve_path(ops.needs_hash(T["files"]), stores)
+        items = spread_by_bytes(ops.resolve_path(ops.needs_hash(T["files"]), stores))
         T = ops.apply_hashes(T, hash_files(items), now)
-        write_tables(T, a.catalogue)
+        write_tables(T, a.catalogue, base=base)
     elif a.cmd in ("mime", "exif"):
         if a.cmd == "mime":
             enricher = ops.MimeEnricher()
@@ -103,21 +119,26 @@ def main(argv: list[str] | None = None) -> int:
             if not a.identify and not a.extracted:
                 raise SystemExit("exif needs --extracted (or --identify)")
             extracted = read_tags(spark, a.extracted) if a.extracted else spark.createDataFrame(
-                [], "ordinal long, source_file string, error string, tags map<string,string>, parse_error string")
+                [], "ordinal struct<doc:string,pos:bigint>, source_file string, error string, tags map<string,string>, parse_error string")
             enricher = ops.ExifEnricher(extracted)
         T, stats = ops.run_enricher(T, enricher, now, stores=stores, identify_only=getattr(a, "identify", False))
-        write_tables(T, a.catalogue)
+        write_tables(T, a.catalogue, base=base)
         stats.show()
     elif a.cmd == "plan":
         plan = ops.build_plan(T, a.rule)
-        ops.report_text(plan).show(1_000_000, truncate=False)
+        plan = plan.checkpoint()
+        lines = ops.report_text(plan)
+        if a.report:
+            lines.write.mode("overwrite").text(a.report)
+        else:
+            _print_lines(lines)
         if a.out:
-            plan.write.mode("overwrite").parquet(a.out)
+            ops.execution_sequence(plan).write.mode("overwrite").parquet(a.out)
     elif a.cmd == "process":
         plan = spark.read.parquet(a.ops)
         outcomes = spark.read.parquet(a.outcomes)
         T, stats = ops.apply_outcomes(T, plan, outcomes, now)
-        write_tables(T, a.catalogue)
+        write_tables(T, a.catalogue, base=base)
         stats.show()
     elif a.cmd == "organize":
         plan = ops.organize_plan(T, a.timezone, dry_run=a.dry_run)
@@ -127,16 +148,17 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "organize-apply":
         T = ops.apply_organize(T, spark.read.parquet(a.plan), spark.read.parquet(a.outcomes),
                                a.remove_originals, now)
-        write_tables(T, a.catalogue)
+        write_tables(T, a.catalogue, base=base)
     elif a.cmd == "query":
         text = a.sql if a.sql is not None else sys.stdin.read()
         df = ops.query(spark, T, text)
-        if a.format == "table":
-            df.show(1_000_000, truncate=False)
+        if a.preview:
+            df.show(a.preview, truncate=False)
+        elif a.out:
+            (ops.tsv_lines if a.format == "tsv" else ops.csv_lines)(df, not a.no_header).select("line") \
+                .write.mode("overwrite").text(a.out)
         else:
-            lines = ops.tsv_lines(df, not a.no_header) if a.format == "tsv" else ops.csv_lines(df, not a.no_header)
-            for r in lines.orderBy("ord").toLocalIterator():
-                print(r.line)
+            _print_lines((ops.tsv_lines if a.format == "tsv" else ops.csv_lines)(df, not a.no_header))
     elif a.cmd == "status":
         ops.catalog_stats(T).show()
     return 0

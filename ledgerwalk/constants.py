@@ -100,9 +100,8 @@ RULE_ORGANIZE = "organize"
 # end of fixed values
 # ---------------------------------------------------------------------------
 
-# Unicode white space as trimmed by the reference's basename sanitiser.
-# Written as a regex class that both Java regex and RE2 (DuckDB) accept.
-UNICODE_SPACE_CLASS = (
-    r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# Unicode white space, by code point, and as a regex class that both Java regex
+# and RE2 (DuckDB) accept.
+UNICODE_SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                  0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+UNICODE_SPACE_CLASS = "[" + "".join(f"\\x{{{c:X}}}" for c in UNICODE_SPACES) + "]"

@@ -1,7 +1,7 @@
-"""Content-type classification from leading bytes (native expressions).
+"""Content-type classification (native expressions).
 
 This replaces an external per-file detector with a signature table over the
-header bytes: the media types the organiser accepts, PDF, empty files and a
+leading bytes, the DocType of EBML files and the first directory of TIFF files: the media types the organiser accepts, PDF, empty files and a
 UTF-8 text fallback.  It is not a full magic database.
 """
 
@@ -15,18 +15,59 @@ from .timestamps import trim_space
 
 # Bytes that make content "binary" for the text fallback (NUL and C0
 # controls other than TAB LF VT FF CR ESC, plus DEL).
+TIFF_MAKE, TIFF_DNG_VERSION = 0x010F, 0xC612
 TEXT_CONTROL_RE = r"[\x00-\x08\x0E-\x1A\x1C-\x1F\x7F]"
 
 
-def sniff_mime(content: Column | str) -> Column:
-    """MIME type of a binary ``content`` column (whole content for text test)."""
+def _unsigned(h: Column, offset: Column, size: int, little: Column) -> Column:
+    """The ``size``-byte number at byte ``offset`` of hex text ``h``."""
+    big = [F.substring(h, offset * 2 + 1 + 2 * i, F.lit(2)) for i in range(size)]
+    return F.conv(F.when(little, F.concat(*big[::-1])).otherwise(F.concat(*big)), 16, 10).cast("bigint")
+
+
+def _tiff_type(c: Column) -> Column:
+    """TIFF container: the camera formats that share it are told apart by the
+    entries of the first directory (Make and DNGVersion)."""
+    def of(h: Column) -> Column:
+        little = h.startswith("4949")
+        first = _unsigned(h, F.lit(4), 4, little)
+        known = (F.length(h) >= 16) & (F.length(h) >= (first + 2) * 2)
+        count = F.when(known, _unsigned(h, first, 2, little)).otherwise(0)
+        there = F.least(count, F.floor((F.length(h) / 2 - first - 2) / 12))
+        entries = F.when(there > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), there - 1), lambda i: first + 2 + i * 12)) \
+            .otherwise(F.array().cast("array<bigint>"))
+        dng = F.exists(entries, lambda at: _unsigned(h, at, 2, little) == TIFF_DNG_VERSION)
+        make = F.element_at(F.concat(F.transform(
+            F.filter(entries, lambda at: _unsigned(h, at, 2, little) == TIFF_MAKE),
+            lambda at: F.substring(h, F.when(_unsigned(h, at + 4, 4, little) > 4, _unsigned(h, at + 8, 4, little))
+                                   .otherwise(at + 8).cast("int") * 2 + 1, F.lit(10))), F.array(F.lit(""))), 1)
+        return (F.when(dng, F.lit("image/x-adobe-dng"))
+                .when(make.startswith(_hex("NIKON")), F.lit("image/x-nikon-nef"))
+                .when(make.startswith(_hex("SONY")), F.lit("image/x-sony-arw"))
+                .otherwise(F.lit("image/tiff")))
+
+    # bind the hex text once
+    return F.element_at(F.transform(F.array(F.hex(F.substring(c, 1, 1 << 16))), of), 1)
+
+
+def _hex(s: str) -> str:
+    return s.encode("latin-1").hex().upper()
+
+
+def sniff_mime(content: Column | str, is_text: Column | None = None) -> Column:
+    """MIME type of a binary ``content`` column.  ``is_text`` is the text test of
+    the whole content where ``content`` is only its head; without it the test is
+    made here."""
     c = _c(content)
     h = F.hex(F.substring(c, 1, 16))          # upper-case hex of 16 leading bytes
     brand = F.substring(h, 17, 8)             # bytes 9..12
-    b = lambda s: s.encode("latin-1").hex().upper()
+    b = _hex
     ftyp = F.substring(h, 9, 8) == b("ftyp")
-    as_text = c.cast("string")
-    is_text = F.is_valid_utf8(as_text) & ~as_text.rlike(TEXT_CONTROL_RE)
+    if is_text is None:
+        as_text = c.cast("string")
+        is_text = F.is_valid_utf8(as_text) & ~as_text.rlike(TEXT_CONTROL_RE)
+    # DocType element of the EBML header: id 4282, a size, the name
+    doc_type = F.regexp_extract(F.hex(F.substring(c, 1, 4096)), "^1A45DFA3(?:..)*?4282(?:8.|40..)((?:..){4})", 1)
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
         .when(F.length(c) == 0, F.lit("inode/x-empty"))
@@ -44,11 +85,9 @@ def sniff_mime(content: Column | str) -> Column:
         .when(ftyp & F.substring(brand, 1, 6).isin(b("3gp"), b("3g2")), F.lit("video/3gpp"))
         .when(ftyp, F.lit("video/mp4"))
         .when(h.startswith("1A45DFA3"),
-              F.when(F.instr(F.hex(F.substring(c, 1, 64)), b("webm")) > 0, F.lit("video/webm"))
-              .otherwise(F.lit("video/x-matroska")))
+              F.when(doc_type == b("webm"), F.lit("video/webm")).otherwise(F.lit("video/x-matroska")))
         .when(h.startswith("49492A00") | h.startswith("4D4D002A"),
-              F.when(F.substring(h, 17, 4) == b("CR"), F.lit("image/x-canon-cr2"))
-              .otherwise(F.lit("image/tiff")))
+              F.when(F.substring(h, 17, 4) == b("CR"), F.lit("image/x-canon-cr2")).otherwise(_tiff_type(c)))
         .when(h.startswith("000001BA") | h.startswith("000001B3"), F.lit("video/mpeg"))
         .when(is_text, F.lit("text/plain"))
         .otherwise(F.lit("application/octet-stream"))

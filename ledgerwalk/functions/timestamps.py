@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import (CAPTURE_TAG_PRIORITY, MOD_TIME_SOURCE, OFFSET_COMPANION_TAGS,
-                         UNICODE_SPACE_CLASS)
+                         UNICODE_SPACE_CLASS, UNICODE_SPACES)
 from .paths import _c, filename_parts, sanitize_basename, short_sha
 
 DATE_RE = r"^(\d{4}):(\d{2}):(\d{2}) (\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d+))?$"
@@ -45,8 +45,7 @@ def validate_zone(zone: str | None) -> str:
 
 
 # the characters of UNICODE_SPACE_CLASS, for a cheap first/last-character test
-_SPACE_CHARS = ("\t", "\n", "\x0b", "\f", "\r", " ", "\x85", "\xa0", "\u1680",
-                *[chr(c) for c in range(0x2000, 0x200B)], "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+_SPACE_CHARS = [chr(c) for c in UNICODE_SPACES]
 
 
 def trim_space(s: Column | str) -> Column:
@@ -93,89 +92,11 @@ def _shift(local: Column, offset_seconds: Column) -> Column:
     return local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset_seconds.cast("decimal(18,6)"))
 
 
-def _stage(arr: Column, keep: list[str], new: Callable[[Column], dict[str, Column]]) -> Column:
-    return F.transform(arr, lambda c: F.struct(*[c[k].alias(k) for k in keep],
-                                               *[v.alias(k) for k, v in new(c).items()]))
-
-
-def _parse_candidates(arr: Column, zone: str | None) -> Column:
-    """array<struct<prio, tag, v, hint>> -> array<struct<prio, tag, ts>>.
-
-    ``ts`` is the UTC time of ``v`` (``YYYY:MM:DD HH:MM:SS[.frac][Z|±HH:MM]``)
-    or NULL.  Offset precedence: embedded (a malformed one rejects the value)
-    > valid hint (a malformed hint is ignored) > ``zone``."""
-    a = _stage(arr, ["prio", "tag", "hint"], lambda c: {"s": trim_space(c["v"])})
-
-    def split(c):
-        offset, rest = _offset_parts(c["s"])
-        return {"emb": offset, "rest": rest}
-    a = _stage(a, ["prio", "tag", "hint", "s"], split)
-
-    def fields(c):
-        g = lambda i: F.regexp_extract(c["rest"], DATE_RE, i)
-        return {"ok": c["rest"].rlike(DATE_RE), "y": g(1).try_cast("int"), "mo": g(2).try_cast("int"),
-                "d": g(3).try_cast("int"), "h": g(4).try_cast("int"), "mi": g(5).try_cast("int"), "se": g(6),
-                "fr": F.rpad(F.substring(g(7), 1, 6), 6, "0")}
-    a = _stage(a, ["prio", "tag", "hint", "s", "emb"], fields)
-
-    def local(c):
-        in_range = (c["ok"] & c["mo"].between(1, 12) & (c["h"] < 24) & (c["mi"] < 60)
-                    & (c["se"].try_cast("int") < 60) & (c["d"] >= 1))
-        secs = F.concat(c["se"], F.lit("."), c["fr"]).cast("decimal(8,6)")
-        return {"local": F.when(in_range, F.try_make_timestamp_ntz(c["y"], c["mo"], c["d"], c["h"], c["mi"], secs)),
-                "emb_s": _offset_seconds(c["emb"]), "hint_s": _offset_seconds(c["hint"])}
-    a = _stage(a, ["prio", "tag", "s", "emb"], local)
-
-    def utc(c):
-        by_zone = (F.convert_timezone(F.lit(zone), F.lit("UTC"), c["local"]) if zone
-                   else F.lit(None).cast("timestamp_ntz"))
-        ts = (F.when(c["s"] == "", F.lit(None).cast("timestamp_ntz"))
-              .when(c["emb"].isNotNull(), F.when(c["emb_s"].isNotNull(), _shift(c["local"], c["emb_s"])))
-              .when(c["hint_s"].isNotNull(), _shift(c["local"], c["hint_s"]))
-              .otherwise(by_zone))
-        return {"ts": ts}
-    return _stage(a, ["prio", "tag"], utc)
-
-
-def _candidate(prio: int, tag: str, v: Column, hint: Column | None) -> Column:
-    return F.struct(F.lit(prio).alias("prio"), F.lit(tag).alias("tag"), v.cast("string").alias("v"),
-                    (hint if hint is not None else F.lit(None)).cast("string").alias("hint"))
-
-
-def parse_exif_date(s: Column | str, offset_hint: Column | str | None = None,
-                    zone: str | None = None) -> Column:
-    """Parse one EXIF-style date to a UTC ``TIMESTAMP_NTZ`` (NULL if unparseable)."""
-    hint = _c(offset_hint) if offset_hint is not None else None
-    arr = F.array(_candidate(0, "", _c(s), hint))
-    return F.element_at(_parse_candidates(arr, zone), 1)["ts"]
-
-
 def _tag_schema() -> T.StructType:
     names = list(CAPTURE_TAG_PRIORITY) + list(OFFSET_COMPANION_TAGS.values())
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
-def capture_time(data: Column | str, mod_time: Column | str, zone: str | None) -> Column:
-    """struct(ts, source): first priority tag that is a non-empty string and
-    parses; else ``mod_time`` (source ``files.mod_time``); NULL if neither."""
-    tags = F.from_json(_c(data), _tag_schema(), {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-
-    def candidates(t: Column) -> Column:
-        out = []
-        for prio, tag in enumerate(CAPTURE_TAG_PRIORITY):
-            comp = OFFSET_COMPANION_TAGS.get(tag)
-            v = t.getField(tag)
-            out.append(_candidate(prio, tag, F.when(v != "", v), t.getField(comp) if comp else None))
-        return F.filter(F.array(*out), lambda c: c["v"].isNotNull())
-
-    parsed = _parse_candidates(let(tags, candidates), zone)
-    first = F.try_element_at(F.filter(parsed, lambda c: c["ts"].isNotNull()), F.lit(1))
-    mt = _c(mod_time).cast("timestamp_ntz")
-    return let(first, lambda f: F.coalesce(
-        F.when(f["ts"].isNotNull(), F.struct(f["ts"].alias("ts"), f["tag"].alias("source"))),
-        F.when(mt.isNotNull(), F.struct(mt.alias("ts"), F.lit(MOD_TIME_SOURCE).alias("source")))))
-
-
 def compact_utc(ts: Column | str) -> Column:
     """``yyyyMMddTHHmmssZ`` of a UTC NTZ value (fraction dropped, zone-free)."""
     return F.concat(F.translate(F.substring(_c(ts).cast("string"), 1, 19), " -:", "T"), F.lit("Z"))
@@ -200,8 +121,8 @@ def destination_path(ts: Column | str, sha: Column | str, path: Column | str) ->
 
 
 # ------------------------------------------------------------------------
-# DataFrame form: the same semantics as ``capture_time`` as staged
-# projections (one column per tag and step).  Every intermediate is an
+# Capture time: the first priority tag that is a non-empty string and parses,
+# else ``mod_time``; staged projections (one column per tag and step).  Every intermediate is an
 # attribute of the previous projection, so nothing is recomputed and the
 # whole chain stays inside whole-stage code generation.
 # ------------------------------------------------------------------------
@@ -209,62 +130,68 @@ def destination_path(ts: Column | str, sha: Column | str, path: Column | str) ->
 _HOUR1 = r"^(\d{4}:\d{2}:\d{2} )(\d):"
 
 
-def with_capture_time(df, data: str = "data", mod_time: str = "mod_time", zone: str | None = None,
-                      ts_col: str = "capture_ts", source_col: str = "source"):
+_P = "_ct"  # prefix of the working columns
+
+
+def _parsed(df: DataFrame, pairs: list[tuple[Column, Column]], zone: str | None) -> DataFrame:
+    """``df`` plus, for each (value, offset hint), a column ``_ct_t<i>``: the UTC time
+    of the value (``YYYY:MM:DD HH:MM:SS[.frac][Z|±HH:MM]``) or NULL.  Offset
+    precedence: embedded (a malformed one rejects the value) > valid hint (a
+    malformed hint is ignored) > ``zone``."""
+    n = range(len(pairs))
+    col = lambda k, i: F.col(f"{_P}_{k}{i}")
+    out = df.select("*", *[trim_space(v).alias(f"{_P}_s{i}") for i, (v, _) in enumerate(pairs)],
+                    *[h.alias(f"{_P}_h{i}") for i, (_, h) in enumerate(pairs)])
+    out = out.select("*", *[c.alias(f"{_P}_{k}{i}") for i in n for k, c in zip("er", _offset_parts(col("s", i)))])
+    # one-digit hours padded so every field sits at a fixed position
+    out = out.select("*", *[col("r", i).rlike(DATE_RE).alias(f"{_P}_ok{i}") for i in n],
+                     *[F.regexp_replace(col("r", i), _HOUR1, "$10$2:").alias(f"{_P}_n{i}") for i in n])
+    fields = []
+    for i in n:
+        x = col("n", i)
+        y, mo, d, h, mi = (F.substring(x, at, size).try_cast("int") for at, size in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2)))
+        se, fr = F.substring(x, 18, 2), F.rpad(F.substring(x, 21, 6), 6, "0")
+        ok = (col("ok", i) & mo.between(1, 12) & (h < 24) & (mi < 60) & (se.try_cast("int") < 60) & (d >= 1))
+        secs = F.concat(se, F.lit("."), fr).try_cast("decimal(8,6)")
+        fields += [F.when(ok, F.try_make_timestamp_ntz(y, mo, d, h, mi, secs)).alias(f"{_P}_l{i}"),
+                   _offset_seconds(col("e", i)).alias(f"{_P}_es{i}"), _offset_seconds(col("h", i)).alias(f"{_P}_hs{i}")]
+    out = out.select("*", *fields)
+    none = F.lit(None).cast("timestamp_ntz")
+    times = []
+    for i in n:
+        by_zone = F.convert_timezone(F.lit(zone), F.lit("UTC"), col("l", i)) if zone else none
+        times.append(F.when(col("s", i).isNull() | (col("s", i) == ""), none)
+                     .when(col("e", i).isNotNull(), F.when(col("es", i).isNotNull(), _shift(col("l", i), col("es", i))))
+                     .when(col("hs", i).isNotNull(), _shift(col("l", i), col("hs", i)))
+                     .otherwise(by_zone).alias(f"{_P}_t{i}"))
+    return out.select("*", *times)
+
+
+def _without_working_columns(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(f"{_P}_")])
+
+
+def with_exif_date(df: DataFrame, value: str, hint: str | None = None, zone: str | None = None, out: str = "ts") -> DataFrame:
+    """``df`` plus ``out``: one EXIF-style date as a UTC ``TIMESTAMP_NTZ`` (NULL if
+    unparseable)."""
+    h = F.col(hint) if hint else F.lit(None).cast("string")
+    return _without_working_columns(_parsed(df, [(F.col(value), h)], zone).withColumn(out, F.col(f"{_P}_t0")))
+
+
+def with_capture_time(df: DataFrame, data: str = "data", mod_time: str = "mod_time", zone: str | None = None,
+                      ts_col: str = "capture_ts", source_col: str = "source") -> DataFrame:
     """``df`` plus ``ts_col`` (UTC capture time) and ``source_col`` (tag name
     or ``files.mod_time``); both NULL when nothing parses."""
-    n = len(CAPTURE_TAG_PRIORITY)
-    p = "_ct"
     tags = F.from_json(F.col(data), _tag_schema(), {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    out = df.withColumn(f"{p}_tags", tags)
-    s1 = []
-    for i, tag in enumerate(CAPTURE_TAG_PRIORITY):
-        v = F.col(f"{p}_tags").getField(tag)
-        s1.append(trim_space(F.when(v != "", v)).alias(f"{p}_s{i}"))
-        comp = OFFSET_COMPANION_TAGS.get(tag)
-        s1.append((F.col(f"{p}_tags").getField(comp) if comp else F.lit(None).cast("string")).alias(f"{p}_h{i}"))
-    out = out.select("*", *s1).drop(f"{p}_tags")
-    s2 = []
-    for i in range(n):
-        offset, rest = _offset_parts(F.col(f"{p}_s{i}"))
-        s2 += [offset.alias(f"{p}_e{i}"), rest.alias(f"{p}_r{i}")]
-    out = out.select("*", *s2)
-    s3 = []
-    for i in range(n):
-        r = F.col(f"{p}_r{i}")
-        # one-digit hours padded so every field sits at a fixed position
-        s3 += [r.rlike(DATE_RE).alias(f"{p}_ok{i}"), F.regexp_replace(r, _HOUR1, "$10$2:").alias(f"{p}_n{i}")]
-    out = out.select("*", *s3)
-    s4 = []
-    for i in range(n):
-        x = F.col(f"{p}_n{i}")
-        y, mo, d = (F.substring(x, 1, 4).try_cast("int"), F.substring(x, 6, 2).try_cast("int"),
-                    F.substring(x, 9, 2).try_cast("int"))
-        h, mi, se = (F.substring(x, 12, 2).try_cast("int"), F.substring(x, 15, 2).try_cast("int"),
-                     F.substring(x, 18, 2))
-        fr = F.rpad(F.substring(x, 21, 6), 6, "0")
-        ok = (F.col(f"{p}_ok{i}") & mo.between(1, 12) & (h < 24) & (mi < 60) & (se.try_cast("int") < 60)
-              & (d >= 1))
-        secs = F.concat(se, F.lit("."), fr).try_cast("decimal(8,6)")
-        s4 += [F.when(ok, F.try_make_timestamp_ntz(y, mo, d, h, mi, secs)).alias(f"{p}_l{i}"),
-               _offset_seconds(F.col(f"{p}_e{i}")).alias(f"{p}_es{i}"),
-               _offset_seconds(F.col(f"{p}_h{i}")).alias(f"{p}_hs{i}")]
-    out = out.select("*", *s4)
-    s5 = []
-    for i in range(n):
-        loc, e, es, hs = (F.col(f"{p}_l{i}"), F.col(f"{p}_e{i}"), F.col(f"{p}_es{i}"), F.col(f"{p}_hs{i}"))
-        by_zone = (F.convert_timezone(F.lit(zone), F.lit("UTC"), loc) if zone
-                   else F.lit(None).cast("timestamp_ntz"))
-        ts = (F.when(F.col(f"{p}_s{i}").isNull() | (F.col(f"{p}_s{i}") == ""), F.lit(None).cast("timestamp_ntz"))
-              .when(e.isNotNull(), F.when(es.isNotNull(), _shift(loc, es)))
-              .when(hs.isNotNull(), _shift(loc, hs))
-              .otherwise(by_zone))
-        s5.append(ts.alias(f"{p}_t{i}"))
-    out = out.select("*", *s5)
+    none = F.lit(None).cast("string")
+    pairs = []
+    for tag in CAPTURE_TAG_PRIORITY:
+        v = F.col(f"{_P}_tags").getField(tag)
+        companion = OFFSET_COMPANION_TAGS.get(tag)
+        pairs.append((F.when(v != "", v), F.col(f"{_P}_tags").getField(companion) if companion else none))
+    out = _parsed(df.withColumn(f"{_P}_tags", tags), pairs, zone)
+    times = [F.col(f"{_P}_t{i}") for i in range(len(pairs))]
     mt = F.col(mod_time).cast("timestamp_ntz")
-    ts_all = [F.col(f"{p}_t{i}") for i in range(n)]
-    source = F.coalesce(*[F.when(F.col(f"{p}_t{i}").isNotNull(), F.lit(tag))
-                          for i, tag in enumerate(CAPTURE_TAG_PRIORITY)],
+    source = F.coalesce(*[F.when(t.isNotNull(), F.lit(tag)) for t, tag in zip(times, CAPTURE_TAG_PRIORITY)],
                         F.when(mt.isNotNull(), F.lit(MOD_TIME_SOURCE)))
-    out = out.withColumn(ts_col, F.coalesce(*ts_all, mt)).withColumn(source_col, source)
-    return out.drop(*[c for c in out.columns if c.startswith(f"{p}_")])
+    return _without_working_columns(out.withColumn(ts_col, F.coalesce(*times, mt)).withColumn(source_col, source))

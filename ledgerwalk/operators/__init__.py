@@ -8,7 +8,7 @@ from .enrich import (ExifEnricher, MimeEnricher, apply_enrichment, identify_all_
 from .hashing import apply_hashes, hash_content, needs_hash
 from .ids import next_id, with_dense_ids
 from .organize import apply_organize, organize_candidates, organize_plan, organize_stats
-from .plan import apply_outcomes, execution_order, execution_stats, plan_report, report_text
+from .plan import apply_outcomes, execution_order, execution_sequence, execution_stats, plan_report, report_text
 from .rules import (RULES, DedupRule, JunkRule, build_plan, dedup_keepers, duplicate_hashes,
                     live_raw, rule_by_name)
 from .sqlapi import align_schema, csv_lines, query, register_tables, tsv_lines, write_csv, write_tsv

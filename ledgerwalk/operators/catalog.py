@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..constants import DEFAULT_MAX_STALENESS
 from ..functions.paths import ancestors, dirname
+from ..session import ensure_checkpoint_dir
 from .ids import with_dense_ids
 
 
@@ -54,13 +55,19 @@ def directory_rollup(listing: DataFrame) -> DataFrame:
                  F.coalesce(F.min("listed"), F.lit(True)).alias("listed")))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Evaluated here, and read from the checkpoint by everything that follows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def upsert_files(files: DataFrame, listing: DataFrame, now: datetime) -> DataFrame:
     """Insert new (store, path); update size/mod_time/reconciled_at/missing of
     seen ones (id, found_at, sha256, hashed_at kept); leave unseen rows."""
     n = _ts(now)
     seen = listing.filter(~F.col("is_dir")).select(
         "store", "path", F.col("size").alias("n_size"), F.col("mod_time").alias("n_mod"))
-    j = files.join(seen, ["store", "path"], "full_outer")
+    j = _once(files.join(seen, ["store", "path"], "full_outer"))
     hit = F.col("n_size").isNotNull()
     kept = j.filter(F.col("id").isNotNull()).select(
         "id", "store", "path",
@@ -83,7 +90,7 @@ def upsert_directories(directories: DataFrame, rolled: DataFrame, stores: Sequen
     (stale), new -> appended with fresh ids.  Other stores are untouched."""
     r = rolled.select("store", "path", F.col("file_count").alias("n_count"),
                       F.col("total_size").alias("n_size"), F.col("listed").alias("n_listed"))
-    j = directories.join(r, ["store", "path"], "full_outer")
+    j = _once(directories.join(r, ["store", "path"], "full_outer"))
     hit = F.col("n_count").isNotNull()
     walked = F.col("store").isin(*stores)
     kept = j.filter(F.col("id").isNotNull() & (hit | ~walked)).select(
@@ -115,7 +122,7 @@ def walk_stats(listing: DataFrame, rolled: DataFrame, stale: DataFrame) -> DataF
 
 def apply_walk(tables: dict[str, DataFrame], listing: DataFrame, now: datetime,
                stores: Sequence[str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    rolled = directory_rollup(listing)
+    rolled = _once(directory_rollup(listing))
     out = dict(tables)
     out["files"] = upsert_files(tables["files"], listing, now)
     out["directories"] = upsert_directories(tables["directories"], rolled, stores)

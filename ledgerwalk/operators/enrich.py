@@ -21,6 +21,7 @@ from .. import schemas as S
 from ..constants import MEDIA_MIME_TYPES
 from ..functions.mime import sniff_mime
 from ..functions.tags import encode_tags, tag_group_exclude, tag_keep, tags_version
+from ..session import ensure_checkpoint_dir
 from .catalog import _ts
 from .ids import with_dense_ids
 
@@ -52,10 +53,11 @@ def identify_by_mime(files: DataFrame, mime: DataFrame, table: DataFrame,
 
 
 def lowest_live_copy(files: DataFrame) -> DataFrame:
-    """(hash, file_id, store, path) of the lowest-id live copy of each hash."""
+    """(hash, file_id, store, path, size) of the lowest-id live copy of each hash."""
     return _live_hashed(files).groupBy(F.col("sha256").alias("hash")).agg(
-        F.min_by(F.struct("id", "store", "path"), "id").alias("f")).select(
-        "hash", F.col("f.id").alias("file_id"), F.col("f.store").alias("store"), F.col("f.path").alias("path"))
+        F.min_by(F.struct("id", "store", "path", "size"), "id").alias("f")).select(
+        "hash", F.col("f.id").alias("file_id"), F.col("f.store").alias("store"), F.col("f.path").alias("path"),
+        F.col("f.size").alias("size"))
 
 
 def resolve_path(items: DataFrame, stores: Mapping[str, str] | None) -> DataFrame:
@@ -101,36 +103,33 @@ class Enricher:
         raise NotImplementedError
 
 
-HEAD_BYTES = 1 << 20  # content detectors examine a bounded prefix (1 MiB)
-
-
 class MimeEnricher(Enricher):
-    """MIME type from leading bytes.  ``content`` is a (id, content) frame of
-    file bytes; without it the first ``head_bytes`` of each file are read from
-    ``abs_path`` on executors (never a whole multi-gigabyte file per row)."""
+    """MIME type from the content.  ``content`` is a (id, content) frame of file
+    bytes, sniffed where it lies: only the type meets the items.  Without it the
+    files are read from ``abs_path`` on executors, chunk by chunk; a row holds the
+    head and the outcome of the text test over the whole file."""
 
     name = "mime"
     table = "mime"
     columns = S.MIME_COLUMNS
 
-    def __init__(self, content: DataFrame | None = None, head_bytes: int = HEAD_BYTES):
+    def __init__(self, content: DataFrame | None = None):
         self.content = content
-        self.head_bytes = head_bytes
 
     def identify(self, tables, table):
         return identify_all_hashes(tables["files"], table)
 
     def process(self, items):
         if self.content is not None:
-            data = items.join(self.content.select(F.col("id").alias("file_id"), "content"), "file_id", "left")
+            types = self.content.select(F.col("id").alias("file_id"), sniff_mime(F.col("content").cast("binary")).alias("mime_type"))
+            data = items.join(types, "file_id", "left")
         else:
-            from ..sources.content import read_heads
-            data = read_heads(items, self.head_bytes)
-        detected = sniff_mime(F.col("content").cast("binary"))
+            from ..sources.content import read_heads, spread_by_bytes
+            heads = read_heads(spread_by_bytes(items.withColumn("id", F.col("file_id"))))
+            data = heads.withColumn("mime_type", sniff_mime(F.col("head"), F.col("is_text")))
         return data.select(
-            "hash", "file_id",
-            F.when(F.col("content").isNotNull(), detected).alias("mime_type"),
-            F.when(F.col("content").isNull(),
+            "hash", "file_id", "mime_type",
+            F.when(F.col("mime_type").isNull(),
                    F.concat(F.lit("detecting mime for "), F.col("abs_path"), F.lit(": unreadable"))).alias("error"))
 
 
@@ -154,27 +153,35 @@ class ExifEnricher(Enricher):
 
 
 def match_tags(items: DataFrame, extracted: DataFrame, version: str) -> DataFrame:
-    """Pair work items with extractor rows by path.  No row -> ``exif: no result
-    for <path>``; an ``Error`` -> ``exif <path>: <error>``; else the encoded
-    tag object and the policy version.  Duplicate SourceFile rows: last wins."""
-    last = extracted.groupBy("source_file").agg(
-        F.max_by(F.struct("error", "tags"), "ordinal").alias("r")).select(
+    """Pair work items with extractor rows by path.  An ``Error`` -> ``exif <path>:
+    <error>``; else the encoded tag object and the policy version.  Duplicate
+    SourceFile rows: last wins.  No row -> ``exif: no result for <path>``, with the
+    first parse error if a part of the output could not be parsed: the item may
+    have been in it.  Policy and encoding are applied to the extractor's rows, so
+    only the encoded text meets the items."""
+    data = encode_tags(F.coalesce(tag_group_exclude(tag_keep(F.col("tags"))), F.create_map().cast("map<string,string>")))
+    rows = extracted.select("source_file", "ordinal", "error", "parse_error",
+                            F.when(F.coalesce("error", F.lit("")) == "", data).alias("data"))
+    last = rows.filter("parse_error is null").groupBy("source_file").agg(
+        F.max_by(F.struct("error", "data"), "ordinal").alias("r")).select(
         F.col("source_file").alias("abs_path"), F.col("r.error").alias("x_error"),
-        F.col("r.tags").alias("x_tags"), F.lit(True).alias("x_hit"))
-    j = items.join(last, "abs_path", "left")
-    err = (F.when(F.col("x_hit").isNull(), F.concat(F.lit("exif: no result for "), F.col("abs_path")))
+        F.col("r.data").alias("x_data"), F.lit(True).alias("x_hit"))
+    broken = extracted.filter("parse_error is not null").agg(
+        F.min_by("parse_error", "ordinal").alias("x_broken")).withColumn("one", F.lit(1))  # one row
+    j = items.withColumn("one", F.lit(1)).join(F.broadcast(broken), "one").drop("one").join(last, "abs_path", "left")
+    unparsed = F.coalesce(F.concat(F.lit(" (unparsed output: "), F.col("x_broken"), F.lit(")")), F.lit(""))
+    err = (F.when(F.col("x_hit").isNull(), F.concat(F.lit("exif: no result for "), F.col("abs_path"), unparsed))
            .when(F.coalesce(F.col("x_error"), F.lit("")) != "",
                  F.concat(F.lit("exif "), F.col("abs_path"), F.lit(": "), F.col("x_error"))))
-    kept = tag_group_exclude(tag_keep(F.col("x_tags")))
     return j.select("hash", "file_id",
-                    F.when(err.isNull(), encode_tags(F.coalesce(kept, F.create_map()))).alias("data"),
+                    F.when(err.isNull(), F.col("x_data")).alias("data"),
                     F.when(err.isNull(), F.lit(version)).alias("tags_version"),
                     err.alias("error"))
 
 
 def check_result_columns(enricher: Enricher, results: DataFrame) -> None:
     """Driver-side check before anything is written: no undeclared value column."""
-    allowed = {"hash", "file_id", "error", "abs_path", "store", "path"} | set(enricher.columns.fieldNames())
+    allowed = {"hash", "file_id", "error", "abs_path", "store", "path", "size"} | set(enricher.columns.fieldNames())
     unknown = [c for c in results.columns if c not in allowed]
     if unknown:
         raise ValueError(f"enricher {enricher.name}: unknown column {unknown[0]!r} in result")
@@ -192,6 +199,10 @@ def apply_enrichment(tables: dict[str, DataFrame], enricher: Enricher, results:
     cols = enricher.columns.fieldNames()
     r = results.select("hash", F.col("error").alias("r_error"), F.lit(True).alias("r_hit"),
                        *[F.col(c).alias(f"r_{c}") for c in cols])
+    # exactly one result per item: a second one fails the job
+    r = r.groupBy("hash").agg(F.count(F.lit(1)).alias("r_n"), *[F.first(c).alias(c) for c in r.columns if c != "hash"])
+    twice = F.raise_error(F.concat(F.lit(f"enricher {enricher.name}: more than one result for "), F.col("hash")))
+    r = r.withColumn("r_hit", F.when(F.col("r_n") > 1, twice.cast("boolean")).otherwise(F.col("r_hit"))).drop("r_n")
     j = table.join(r, "hash", "left")
     hit = F.col("r_hit").isNotNull()
     updated = j.select(
@@ -225,7 +236,8 @@ def run_enricher(tables: dict[str, DataFrame], enricher: Enricher, now: datetime
         table = S.empty(spark, S.enricher_schema(enricher.columns))
     if "tags_version" in enricher.columns.fieldNames():
         table = reset_stale(table, tags_version())
-    cands = enricher.identify(tables, table)
+    ensure_checkpoint_dir(spark)
+    cands = enricher.identify(tables, table).checkpoint()
     cand_cols = [F.lit(None).cast(f.dataType).alias(f.name) for f in enricher.columns.fields]
     table = table.unionByName(cands.select("hash", "file_id", "processed_at", *cand_cols))
     # candidates are fixed here; later steps must not re-run identify against

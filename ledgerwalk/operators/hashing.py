@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import ensure_checkpoint_dir
 from .catalog import _ts
 from .ids import with_dense_ids
 
@@ -38,6 +39,8 @@ def apply_hashes(tables: dict[str, DataFrame], results: DataFrame,
     """Success: sha256 and hashed_at := now.  Failure: sha256 := NULL,
     hashed_at := now (no endless retry) and one error row."""
     n = _ts(now)
+    ensure_checkpoint_dir(results.sparkSession)
+    results = results.checkpoint()  # every file is read once, whatever reads the results
     r = results.select("id", F.col("sha256").alias("r_sha"), F.col("error").alias("r_err"),
                        F.lit(True).alias("r_hit"))
     files = tables["files"].join(r, "id", "left")

@@ -7,16 +7,18 @@ candidate's status is decided in bulk:
 2. ``skipped`` — a live clean file already has the hash;
 3. (dry run: everything else is ``organize``)
 4. ``collided``— the destination is already a live clean path, or an earlier
-   candidate (by path) of a *different* hash takes the same destination;
-   same-hash rows behind the destination winner are ``skipped``;
-5. among the remaining rows, the first by path of each hash is
-   ``organized`` and the others ``skipped``.
-
-Ranks are aggregates (``min_by``) joined back on the unique file id, never
-windows, so a hash or destination held by millions of copies is not pulled
-into one task.  Steps 4 and 5 can interact in the sequential original only
-when two different hashes share their first 8 hex digits, capture second and
-base name; that case is not reproduced.
+   candidate (by path) of another hash was organised to it;
+5. the first row by path of each hash that does not collide is ``organized``,
+   and the rows of the hash behind it are ``skipped``.
+
+Steps 4 and 5 depend on each other only where two hashes share a destination
+(equal first 8 hex digits, capture second and base name): the later of two
+winners collides, its hash's next row takes its place, and that is repeated
+until no two winners share a destination.
+
+Winners are aggregates (``min_by``), never windows, so a hash or destination
+held by millions of copies is not pulled into one task, and they meet the
+candidates in salted joins.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from ..constants import MEDIA_MIME_TYPES, RULE_ORGANIZE
 from ..functions.timestamps import destination_path, validate_zone, with_capture_time
 from .catalog import _ts
 from .ids import with_dense_ids
-from .skew import salted_join
+from .skew import DEFAULT_BUCKETS, salted_join
 
 STATUS_ERROR, STATUS_SKIPPED, STATUS_COLLIDED = "error", "skipped", "collided"
 STATUS_ORGANIZED, STATUS_ORGANIZE = "organized", "organize"
@@ -64,26 +66,24 @@ def organize_candidates(files: DataFrame, mime: DataFrame, exif: DataFrame | Non
                         mime_types: Sequence[str] = MEDIA_MIME_TYPES) -> DataFrame:
     """Live raw hashed files whose hash has a listed MIME type, with the hash's
     tag JSON (NULL without an exif row)."""
-    return _live_raw_hashed(files).join(_per_hash(mime, exif, mime_types), "sha256", "inner")
+    return salted_join(_live_raw_hashed(files), _per_hash(mime, exif, mime_types), "sha256", "inner")
 
 
 def organize_plan(tables: dict[str, DataFrame], zone: str,
                   mime_types: Sequence[str] | None = None, dry_run: bool = False,
-                  skew: dict | None = None) -> DataFrame:
+                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Per candidate: capture time and source, destination, reason, status.
 
     Shuffles of the candidate side: one join by hash (against the per-hash
-    table), one by destination (against the per-destination table), one by
-    file id.  A hash or destination held by very many candidates is salted
-    (``operators.skew.salted_join``; ``skew`` passes its thresholds)."""
+    table), one by destination (against the taken destinations), one by hash
+    (against the winners), each salted over ``buckets`` tasks a key."""
     zone = validate_zone(zone)
-    skew = skew or {}
     if "mime" not in tables:
         raise ValueError("mime table not available: run the mime enricher first")
     files = tables["files"]
     live_clean = files.filter((F.col("store") == "clean") & ~F.col("missing"))
     per_hash = _per_hash(tables["mime"], tables.get("exif"), mime_types or MEDIA_MIME_TYPES, live_clean)
-    cands = salted_join(_live_raw_hashed(files), per_hash, "sha256", "inner", spread_by=["id"], **skew)
+    cands = salted_join(_live_raw_hashed(files), per_hash, "sha256", "inner", spread_by=["id"], buckets=buckets)
     c = with_capture_time(cands, "data", "mod_time", zone, "capture_ts", "source").select(
         F.col("id").alias("file_id"), "sha256", "path", "size", "mod_time", "capture_ts", "source", "in_clean")
     c = c.withColumn("dst_path", F.when(F.col("capture_ts").isNotNull(),
@@ -96,28 +96,34 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
     if dry_run:
         return _finish(c.withColumn("status", F.coalesce("status", F.lit(STATUS_ORGANIZE))))
 
-    todo = c.filter(F.col("status").isNull())
-    # one row per destination: the first candidate by path, and whether a live
-    # clean file already sits there (a taken destination collides every row)
     taken = live_clean.select(F.col("path").alias("dst_path"), F.lit(True).alias("dst_taken"))
-    per_dst = todo.groupBy("dst_path").agg(
-        F.min_by(F.struct(F.col("file_id").alias("w_id"), F.col("sha256").alias("w_sha")), "path").alias("w")) \
-        .select("dst_path", "w.w_id", "w.w_sha").join(taken, "dst_path", "left")
-    todo = salted_join(todo, per_dst, "dst_path", "left", spread_by=["file_id"], **skew)
-    survivors = todo.filter(F.col("dst_taken").isNull() & (F.col("file_id") == F.col("w_id")))
-    hash_winner = survivors.groupBy("sha256").agg(F.min_by("file_id", "path").alias("file_id")) \
-        .select("file_id", F.lit(True).alias("h_win"))
-    todo = todo.join(hash_winner, "file_id", "left")
-    status = (F.when(F.col("dst_taken").isNotNull(), F.lit(STATUS_COLLIDED))
-              .when(F.col("file_id") != F.col("w_id"),
-                    F.when(F.col("sha256") == F.col("w_sha"), F.lit(STATUS_SKIPPED))
-                    .otherwise(F.lit(STATUS_COLLIDED)))
-              .when(F.col("h_win").isNotNull(), F.lit(STATUS_ORGANIZED))
-              .otherwise(F.lit(STATUS_SKIPPED)))
-    decided = todo.withColumn("status", status).drop("dst_taken", "w_id", "w_sha", "h_win")
+    todo = salted_join(c.filter(F.col("status").isNull()), taken, "dst_path", "left", spread_by=["file_id"], buckets=buckets)
+    free = todo.filter(F.col("dst_taken").isNull()).select("file_id", "sha256", "path", "dst_path")
+    winners = _hash_winners(free)
+    decided = salted_join(todo.drop("dst_taken"), winners.select("sha256", F.col("path").alias("w_path")), "sha256", "left",
+                          spread_by=["file_id"], buckets=buckets)
+    status = (F.when(F.col("path") == F.col("w_path"), F.lit(STATUS_ORGANIZED))
+              .when(F.col("path") > F.col("w_path"), F.lit(STATUS_SKIPPED))
+              .otherwise(F.lit(STATUS_COLLIDED)))
+    decided = decided.withColumn("status", status).drop("w_path")
     return _finish(c.filter(F.col("status").isNotNull()).unionByName(decided))
 
 
+def _hash_winners(free: DataFrame) -> DataFrame:
+    """(sha256, file_id, path, dst_path): the row of each hash that is organised, among
+    rows whose destination no clean file holds."""
+    lost: DataFrame | None = None
+    while True:
+        rows = free if lost is None else free.join(lost, "file_id", "left_anti")
+        winners = rows.groupBy("sha256").agg(F.min_by(F.struct("file_id", "path", "dst_path"), "path").alias("w")) \
+            .select("sha256", "w.file_id", "w.path", "w.dst_path").checkpoint()
+        clash = winners.groupBy("dst_path").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")).filter("n > 1")
+        later = winners.join(clash, "dst_path").filter(F.col("path") > F.col("first")).select("file_id").checkpoint()
+        if later.isEmpty():
+            return winners
+        lost = later if lost is None else lost.unionByName(later)
+
+
 def _finish(c: DataFrame) -> DataFrame:
     return c.withColumn("error", F.when(F.col("status") == STATUS_ERROR, F.lit(NO_TIMESTAMP))) \
         .select("file_id", "sha256", "path", "size", "mod_time", "capture_ts", "source",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..constants import KIND_RMDIR
 from ..functions.paths import path_depth
+from ..session import ensure_checkpoint_dir
 from .catalog import _ts
 from .ids import with_dense_ids
 
@@ -25,6 +26,8 @@ def plan_report(ops: DataFrame) -> DataFrame:
     proposed.`` when the plan is empty.  Use ``report_text`` for the ordered
     lines.
     """
+    ensure_checkpoint_dir(ops.sparkSession)
+    ops = ops.checkpoint()  # read three times below
     headers = ops.groupBy("rule", "rule_priority").agg(F.count(F.lit(1)).alias("n")).select(
         "rule_priority", F.lit(0).alias("is_op"), F.lit("").alias("plan_key"),
         F.format_string("Rule: %s (%d ops)", "rule", "n").alias("line"))
@@ -54,6 +57,14 @@ def execution_order(ops: DataFrame) -> DataFrame:
               .withColumn("exec_depth", F.when(rmdir, path_depth("src_path")).otherwise(0))
 
 
+def _execution_keys() -> list:
+    return ["exec_rank", F.col("exec_depth").desc(), "rule_priority", "plan_key"]
+
+
+def execution_sequence(ops: DataFrame) -> DataFrame:
+    """``execution_order`` with ``seq``, the position (from 1) at which a mover is to
+    run each op; the numbers survive whatever order the rows are stored in."""
+    return with_dense_ids(execution_order(ops), _execution_keys(), start=1, id_col="seq")
 
 
 def resolve_outcomes(files: DataFrame, ops: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -94,7 +105,7 @@ def apply_outcomes(tables: dict[str, DataFrame], ops: DataFrame, outcomes: DataF
     removed = res.filter(ok & rmdir).select(F.col("dir_id").alias("id"))
     new_dirs = dirs.join(removed, "id", "left_anti")
 
-    order = ["exec_rank", F.col("exec_depth").desc(), "rule_priority", "plan_key"]
+    order = _execution_keys()
     done = res.filter(ok).select(
         "file_id", "dir_id", "src_store", "src_path", "dst_store", "dst_path", "rule", "reason",
         n.alias("executed_at"), "exec_rank", "exec_depth", "rule_priority", "plan_key")

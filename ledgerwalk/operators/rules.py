@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -23,10 +23,13 @@ def live_raw(files: DataFrame) -> DataFrame:
     return files.filter((F.col("store") == "raw") & ~F.col("missing"))
 
 
-def unclaimed(df: DataFrame, claimed: DataFrame | None, key: str = "id") -> DataFrame:
-    """Drop rows whose file id an earlier rule already claimed (anti join on id)."""
+def unclaimed(df: DataFrame, claimed: DataFrame | Column | None, key: str = "id") -> DataFrame:
+    """Drop rows that an earlier rule already claimed: by a condition on the row
+    itself where the rules have one, else by an anti join on the file id."""
     if claimed is None:
         return df
+    if isinstance(claimed, Column):
+        return df.filter(~claimed)
     return df.join(claimed.select(F.col("file_id").alias(key)), key, "left_anti")
 
 
@@ -44,9 +47,14 @@ class Rule:
     name: str = ""
     priority: int = 0
 
-    def evaluate(self, tables: dict[str, DataFrame], claimed: DataFrame | None) -> DataFrame:
+    def evaluate(self, tables: dict[str, DataFrame], claimed: DataFrame | Column | None) -> DataFrame:
         raise NotImplementedError
 
+    def claims(self) -> Column | None:
+        """What the rule claims, as a condition on a live raw file's own columns; None
+        if it depends on other files."""
+        return None
+
 
 class JunkRule(Rule):
     """Trash OS junk in raw; remove junk directories (raw) and empty ones (any store)."""
@@ -54,7 +62,10 @@ class JunkRule(Rule):
     name = RULE_JUNK
     priority = 0
 
-    def file_ops(self, files: DataFrame, claimed: DataFrame | None) -> DataFrame:
+    def claims(self) -> Column:
+        return junk_file_reason("path").isNotNull()
+
+    def file_ops(self, files: DataFrame, claimed: DataFrame | Column | None) -> DataFrame:
         cand = unclaimed(live_raw(files).select("id", "path"), claimed)
         hits = cand.withColumn("reason", junk_file_reason("path")).filter(F.col("reason").isNotNull())
         return _file_op(hits, self.name, self.priority, F.col("reason"),
@@ -118,15 +129,24 @@ def rule_by_name(name: str) -> Rule:
 
 
 def build_plan(tables: dict[str, DataFrame], rules: Sequence[Rule | str] | None = None) -> DataFrame:
-    """Run rules in priority order; each sees the file ids claimed before it."""
+    """Run rules in priority order; each sees what was claimed before it.  As long as
+    the earlier rules' claims are conditions on a row, they are filters on the scan;
+    after that the earlier ops are evaluated once and joined by id."""
     chosen = [rule_by_name(r) if isinstance(r, str) else r for r in (rules or RULES)]
     ops: DataFrame | None = None
+    condition: Column | None = None
     for i, rule in enumerate(chosen):
-        claimed = None if ops is None else ops.filter(F.col("file_id").isNotNull()).select("file_id")
+        if ops is None:
+            claimed = None
+        elif condition is not None:
+            claimed = condition
+        else:
+            ops = ops.checkpoint()
+            claimed = ops.filter(F.col("file_id").isNotNull()).select("file_id")
         out = rule.evaluate(tables, claimed)
         ops = out if ops is None else ops.unionByName(out)
-        if i >= 2:  # cut lineage so later rules do not recompute earlier ones
-            ops = ops.checkpoint()
+        own = rule.claims()
+        condition = None if own is None or (i and condition is None) else own if condition is None else condition | own
     if ops is None:
         return S.empty(tables["files"].sparkSession, S.OPS)
     return ops

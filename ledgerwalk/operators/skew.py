@@ -2,14 +2,11 @@
 
 ``salted_join(big, small, key)`` joins a possibly skewed ``big`` side with a
 ``small`` side holding at most one row per key (a per-hash or
-per-destination table).  Hot keys — more than ``hot_rows`` rows on the big
-side — are found with one partially aggregated count; their rows are spread
-over ``buckets`` salts on the big side and only their rows are replicated
-``buckets`` times on the small side.  Other keys join unchanged.
-
-The hot-key list is bounded (``max_hot``) and broadcast as a literal set.
-Salting only moves work between tasks: if more keys are hot than the bound,
-the rest join unsalted and the result is the same.
+per-destination table).  Every row of the big side gets one of ``buckets``
+salts from its own id, and every row of the small side is there once for each
+salt: the rows of a key are dealt over ``buckets`` tasks, however many they
+are.  There is no list of hot keys and no threshold; the price is ``buckets``
+copies of the narrow side.
 """
 
 from __future__ import annotations
@@ -19,37 +16,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 1_000_000
-DEFAULT_BUCKETS = 64
-DEFAULT_MAX_HOT = 10_000
+DEFAULT_BUCKETS = 8
 _SALT = "_lw_salt"
 
 
-def hot_keys(big: DataFrame, key: str, hot_rows: int = DEFAULT_HOT_ROWS,
-             max_hot: int = DEFAULT_MAX_HOT) -> list:
-    """Keys with at least ``hot_rows`` rows (at most ``max_hot`` of them)."""
-    rows = (big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= hot_rows).orderBy(F.col("n").desc()).limit(max_hot).collect())
-    return [r[key] for r in rows]
-
-
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-                spread_by: Sequence[str] = ("id",), hot_rows: int = DEFAULT_HOT_ROWS,
-                buckets: int = DEFAULT_BUCKETS, max_hot: int = DEFAULT_MAX_HOT) -> DataFrame:
-    """``big.join(small, key, how)`` with hot keys spread over ``buckets`` tasks.
+                spread_by: Sequence[str] = ("id",), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """``big.join(small, key, how)`` with every key spread over ``buckets`` tasks.
 
     ``small`` must have at most one row per key; ``how`` is ``inner`` or
     ``left``.  ``spread_by`` columns of ``big`` pick a row's salt
     deterministically (so a retried task reproduces the same rows)."""
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    hot = hot_keys(big, key, hot_rows, max_hot)
-    if not hot:
-        return big.join(small, key, how)
-    is_hot = F.col(key).isin(*hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(buckets))).otherwise(F.lit(0))
-    b = big.withColumn(_SALT, salt.cast("int"))
-    s = small.withColumn(_SALT, F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1)))
-                         .otherwise(F.array(F.lit(0))))
-    s = s.withColumn(_SALT, F.explode(_SALT))
+    b = big.withColumn(_SALT, F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(buckets)).cast("int"))
+    s = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return b.join(s, [key, _SALT], how).drop(_SALT)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..constants import UNICODE_SPACE_CLASS
 from ..functions.sizes import register_sql_functions
 
 _IDENT = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
@@ -28,20 +29,36 @@ def register_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Non
 
 def query(spark: SparkSession, tables: Mapping[str, DataFrame], text: str) -> DataFrame:
     """Run SQL text over the tables (one temp view each, plus the
-    ``human_bytes`` / ``human_ibytes`` functions).  Empty text is an error."""
+    ``human_bytes`` / ``human_ibytes`` functions).  Empty text is an error, and so
+    is a statement that would change anything: queries only read."""
     if text is None or text.strip() == "":
         raise ValueError("query text is empty")
     register_tables(spark, tables)
+    _refuse_writes(spark, text)
     return spark.sql(text)
 
 
+def _refuse_writes(spark: SparkSession, text: str) -> None:
+    """Parse ``text`` (without running it) and refuse commands and inserts."""
+    jvm = spark.sparkContext._jvm
+    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name.startswith("InsertInto") or (command.isInstance(node) and not name.startswith(("Show", "Describe", "Explain"))):
+            raise ValueError(f"only queries are allowed, not {name}")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+
+
 def _text(c: str) -> Column:
     return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
 
 
 def tsv_lines(df: DataFrame, header: bool = True) -> DataFrame:
     """(ord, line): tab-joined values, NULL as empty, no quoting.  ``ord`` 0 is
-    the header line; sort by it to put the header first."""
+    the header line, which is the first row; the others keep the order of ``df``."""
     body = df.select(F.lit(1).alias("ord"), F.concat_ws("\t", *[_text(c) for c in df.columns]).alias("line"))
     if not header:
         return body
@@ -51,9 +68,9 @@ def tsv_lines(df: DataFrame, header: bool = True) -> DataFrame:
 
 def csv_field(c: Column) -> Column:
     """One CSV field: quoted (quotes doubled) when it contains a comma, quote,
-    CR or LF, starts with white space, or is ``\\.``; NULL as empty."""
+    CR or LF, starts with (Unicode) white space, or is ``\\.``; NULL as empty."""
     v = F.coalesce(c.cast("string"), F.lit(""))
-    needs = (v != "") & (v.rlike('[,"\\r\\n]') | v.rlike(r"^\s") | (v == "\\."))
+    needs = (v != "") & (v.rlike('[,"\\r\\n]') | v.rlike("^" + UNICODE_SPACE_CLASS) | (v == "\\."))
     return F.when(needs, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
 
@@ -69,13 +86,14 @@ def csv_lines(df: DataFrame, header: bool = True) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    """Distributed TSV sink (one header per part file when ``header``)."""
-    df.select([_text(c).alias(c) for c in df.columns]).write.mode("overwrite").csv(
-        path, sep="\t", header=header, quote="", escapeQuotes=False, nullValue="", emptyValue="")
+    """Distributed TSV sink: lines as they are, in the order of ``df``, the header
+    once at the start of the first part file."""
+    tsv_lines(df, header).select("line").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").csv(path, header=header, nullValue="", emptyValue="", escape='"')
+    """Distributed CSV sink, as ``write_tsv``."""
+    csv_lines(df, header).select("line").write.mode("overwrite").text(path)
 
 
 def _spark_type(declared: str) -> T.DataType | str:

@@ -6,23 +6,27 @@ whole derived catalogue; ``ORACLE[name]`` is DuckDB SQL for the same result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..constants import UNICODE_SPACES
 from ..functions import (basename, dirname, filename_parts, human_bytes, human_ibytes, junk_dir_reason,
                          junk_file_reason, path_depth, rfc3339, sanitize_basename, sniff_mime)
 from ..operators import (DedupRule, ExifEnricher, JunkRule, MimeEnricher, align_schema, apply_hashes,
                          apply_organize, apply_outcomes, apply_walk, build_plan, catalog_stats,
-                         csv_lines, directory_rollup, duplicate_hashes, execution_order, execution_stats,
+                         csv_lines, directory_rollup, duplicate_hashes, execution_sequence, execution_stats,
                          hash_content, identify_all_hashes, identify_by_mime, live_raw, mark_missing,
                          needs_hash, organize_candidates, organize_plan, organize_stats, pending_items,
                          plan_report, query, reconcile_marked, reset_stale, run_enricher, tsv_lines)
 from ..operators.plan import resolve_outcomes
 from ..functions.tags import tags_version
+from ..session import ensure_checkpoint_dir
 from ..sources.exif_json import parse_tag_batches
+from ..sources.tables import read_tables, write_tables
 from . import oracle as O
 from . import views as V
 
@@ -82,9 +86,10 @@ def q_plan_report(spark, sf):
     return plan_report(build_plan(V.docs_tables(spark, sf)))
 
 
-@register("execution_order", O.with_(*O.DOCS_CORE, O.EXEC_OPS) + "SELECT * FROM exec_ops")
+@register("execution_order", O.with_(*O.DOCS_CORE, O.EXEC_OPS) + """
+SELECT *, row_number() OVER (ORDER BY exec_rank, exec_depth DESC, rule_priority, plan_key) AS seq FROM exec_ops""")
 def q_execution_order(spark, sf):
-    return execution_order(build_plan(V.docs_tables(spark, sf)))
+    return execution_sequence(build_plan(V.docs_tables(spark, sf)))
 
 
 @register("live_raw", O.with_(O.DOCS_BASE, O.DOCS_FILES) +
@@ -210,8 +215,9 @@ def q_needs_hash(spark, sf):
 
 
 def _hash_results(spark, sf):
-    items = needs_hash(V.docs_files(spark, sf)).select("id").join(V.docs_content(spark, sf), "id")
-    return hash_content(items, "content", "path")
+    # hashed where the bytes lie: only the hashes meet the work list
+    hashed = hash_content(V.docs_content(spark, sf), "content", "path")
+    return hashed.join(needs_hash(V.docs_files(spark, sf)).select("id"), "id", "left_semi")
 
 
 @register("hash_results", O.with_(O.DOCS_BASE) + f"""
@@ -382,7 +388,7 @@ def q_pending_items(spark, sf):
     table = table.unionByName(identify_by_mime(t["files"], t["mime"], table).select(
         "hash", "file_id", "processed_at", F.lit(None).cast("string").alias("data"),
         F.lit(None).cast("string").alias("tags_version")))
-    return pending_items(table, t["files"], V.STORE_ROOTS)
+    return pending_items(table, t["files"], V.STORE_ROOTS).drop("size")
 
 
 # extractor output per raw file (see views.media_extractor_output)
@@ -649,6 +655,18 @@ def q_ops_per_rule(spark, sf):
     return build_plan(V.docs_tables(spark, sf)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("stored_catalogue", O.with_(O.DOCS_BASE, O.DOCS_FILES) + f"""
+SELECT id, store, path, size, missing OR reconciled_at < {_STALE_CUTOFF} AS missing, sha256 FROM docs_files""")
+def q_stored_catalogue(spark, sf):
+    """Two versions written and read back: the derived catalogue, then the same with
+    stale files marked (only ``files`` is written again)."""
+    root = f"{ensure_checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    write_tables(V.docs_tables(spark, sf), root)
+    base = read_tables(spark, root)
+    write_tables({**base, "files": mark_missing(base["files"], V.DOCS_NOW)}, root, base=base)
+    return read_tables(spark, root)["files"].select("id", "store", "path", "size", "missing", "sha256")
+
+
 # ------------------------------------------------------------------ SQL surface
 
 @register("human_sizes", O.with_(O.DOCS_BASE, O.DOCS_FILES, O.DOCS_DIRS) + f"""
@@ -681,14 +699,21 @@ SELECT 0 AS ord, 'store' || chr(9) || 'path' || chr(9) || 'file_count' || chr(9)
 UNION ALL
 SELECT 1, concat_ws(chr(9), store, path, CAST(file_count AS VARCHAR), CAST(total_size AS VARCHAR),
   {O.human('total_size', 1024, O.IEC)})
-FROM (SELECT * FROM media_dirs ORDER BY total_size DESC, store, path LIMIT 30)""")
+FROM media_dirs""")
 def q_query_tsv(spark, sf):
-    return tsv_lines(query(spark, {"directories": _media_dirs(spark, sf)}, _TOP_SQL), header=True)
+    text = "SELECT store, path, file_count, total_size, human_ibytes(total_size) AS size FROM directories"
+    return tsv_lines(query(spark, {"directories": _media_dirs(spark, sf)}, text), header=True)
+
+
+_EDGES = ["", " ", "\t", "\u00a0", "\u3000", "\n"]
+_EDGED_SQL = (f"(list_value({', '.join('chr(' + str(ord(e)) + ')' if e else repr('') for e in _EDGES)})[doc_id % {len(_EDGES)} + 1] || source "
+              f"|| list_value({', '.join('chr(' + str(ord(e)) + ')' if e else repr('') for e in _EDGES)})[doc_id % {len(_EDGES)} + 1])")
 
 
 def _csv_sql(x: str) -> str:
     v = f"coalesce(CAST({x} AS VARCHAR), '')"
-    needs = (f"({v} <> '' AND (regexp_matches({v}, '[,\"\\r\\n]') OR regexp_matches({v}, '^[\\t\\n\\x0B\\f\\r ]') "
+    # white space that starts a field, by code point
+    needs = (f"({v} <> '' AND (regexp_matches({v}, '[,\"\\r\\n]') OR unicode({v}) IN ({', '.join(map(str, UNICODE_SPACES))}) "
              f"OR {v} = '\\.'))")
     return f"(CASE WHEN {needs} THEN '\"' || replace({v}, '\"', '\"\"') || '\"' ELSE {v} END)"
 
@@ -696,11 +721,13 @@ def _csv_sql(x: str) -> str:
 @register("query_csv", f"""
 SELECT 0 AS ord, 'doc_id,lang,source,text' AS line
 UNION ALL
-SELECT 1, {_csv_sql('doc_id')} || ',' || {_csv_sql('lang')} || ',' || {_csv_sql('source')} || ',' || {_csv_sql('text')}
+SELECT 1, {_csv_sql('doc_id')} || ',' || {_csv_sql('lang')} || ',' || {_csv_sql(_EDGED_SQL)} || ',' || {_csv_sql('text')}
 FROM documents""")
 def q_query_csv(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    return csv_lines(docs, header=True)
+    # sources with white space of several kinds before and behind them
+    edge = F.element_at(F.array(*[F.lit(x) for x in _EDGES]), (F.pmod("doc_id", F.lit(len(_EDGES))) + 1).cast("int"))
+    source = F.concat(edge, F.col("source"), edge).alias("source")
+    return csv_lines(V.table(spark, sf, "documents").select("doc_id", "lang", source, "text"), header=True)
 
 
 @register("align_schema", O.with_(*O.MEDIA_CORE) + """

@@ -11,7 +11,6 @@ DuckDB SQL.
 from __future__ import annotations
 
 from datetime import datetime
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +28,8 @@ STORE_ROOTS = {"raw": "/stores/raw", "clean": "/stores/clean", "trash": "/stores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cluster's parallelism when the file
-    yields fewer scan tasks than there are cores (a single row group is one
-    task).  Large inputs already have enough splits and are left alone.
-    The DataFrame (a plan, not data) is reused within a session, which saves
-    the schema look-up on every derived view."""
-    return _table(spark, spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
-
-
-@lru_cache(maxsize=64)
-def _table(spark: SparkSession, app_id: str, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A driver table as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ----------------------------------------------------------------- documents

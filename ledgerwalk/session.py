@@ -1,8 +1,8 @@
 """Session helpers: sane defaults for the catalogue jobs and a checkpoint dir.
 
 On a cluster the checkpoint directory comes from ``spark.checkpoint.dir``
-(a shared folder named by the cluster).  Only when that is unset — local
-tests — do we create one under the system temp folder.
+(a shared folder named by the cluster) and its absence is an error.  A local
+session, as in tests, gets one under the system temp folder.
 """
 
 from __future__ import annotations
@@ -80,7 +80,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # local tests only: no shared folder configured
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine, as in tests
         configured = tempfile.mkdtemp(prefix="ledgerwalk-ckpt-")
     os.makedirs(configured, exist_ok=True) if "://" not in configured else None
     sc.setCheckpointDir(configured)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.mime import TEXT_CONTROL_RE
+
 _CHUNK = 1 << 20
 
 
@@ -46,27 +51,54 @@ def hash_files(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
     return items.select("id", path_col).mapInArrow(run, schema)
 
 
-def read_heads(items: DataFrame, n: int = 1 << 20, path_col: str = "abs_path") -> DataFrame:
-    """items + ``content``: the first ``n`` bytes of each file (NULL when
-    unreadable).  ``n`` bounds the per-row size."""
-    from ..session import ship_package
-    ship_package(items.sparkSession)
-    schema = T.StructType(list(items.schema.fields) + [T.StructField("content", T.BinaryType())])
+HEAD_BYTES = 1 << 16  # signatures, EBML headers and TIFF directories lie in here
+_TEXT_CONTROL = re.compile(TEXT_CONTROL_RE.encode("latin-1"))
+
+
+def _head_and_text(path: str) -> tuple[bytes | None, bool | None]:
+    """The head of a file, and whether all of it is text: valid UTF-8 without
+    control bytes, decoded chunk by chunk to the end."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    head, text = b"", True
+    try:
+        with open(path, "rb") as f:
+            while text or len(head) < HEAD_BYTES:
+                b = f.read(_CHUNK)
+                if len(head) < HEAD_BYTES:
+                    head += b[:HEAD_BYTES - len(head)]
+                try:
+                    decoder.decode(b, final=not b)
+                    text = text and not _TEXT_CONTROL.search(b)
+                except UnicodeDecodeError:
+                    text = False
+                if not b:
+                    break
+    except OSError:
+        return None, None
+    return head, text
 
-    def read(path: str) -> bytes | None:
-        try:
-            with open(path, "rb") as f:
-                return f.read(n)
-        except OSError:
-            return None
 
-    rows_per_batch = max(1, (64 << 20) // max(n, 1))  # output batches of about 64 MiB
+def read_heads(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
+    """items + ``head`` (the first ``HEAD_BYTES`` bytes of each file, NULL when
+    unreadable) and ``is_text`` (a test of the whole file)."""
+    from ..session import ship_package
+    ship_package(items.sparkSession)
+    schema = T.StructType(list(items.schema.fields) + [T.StructField("head", T.BinaryType()), T.StructField("is_text", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for off in range(0, b.num_rows, rows_per_batch):
-                part = b.slice(off, rows_per_batch)
-                data = [read(p) for p in part.column(path_col).to_pylist()]
-                yield part.append_column("content", pa.array(data, pa.binary()))
+            for off in range(0, b.num_rows, 512):  # output batches of at most 32 MiB
+                part = b.slice(off, 512)
+                data = [_head_and_text(p) for p in part.column(path_col).to_pylist()]
+                part = part.append_column("head", pa.array([h for h, _ in data], pa.binary()))
+                yield part.append_column("is_text", pa.array([t for _, t in data], pa.bool_()))
 
     return items.mapInArrow(run, schema)
+
+
+def spread_by_bytes(items: DataFrame, size_col: str = "size", bytes_per_task: int = 1 << 30) -> DataFrame:
+    """``items`` dealt over as many tasks as their files' bytes need: the number of
+    tasks follows the bytes to read, not the size of the catalogue's rows."""
+    total = items.agg(F.sum(size_col)).first()[0] or 0
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, -(-int(total) // bytes_per_task))
+    return items.repartition(tasks, "id")

@@ -15,20 +15,22 @@ from pyspark.sql import types as T
 from ..functions.tags import json_string_value, parse_raw_objects
 
 TAG_ROWS = T.StructType([
-    T.StructField("ordinal", T.LongType()), T.StructField("source_file", T.StringType()),
+    T.StructField("ordinal", T.StructType([T.StructField("doc", T.StringType()), T.StructField("pos", T.LongType())])), T.StructField("source_file", T.StringType()),
     T.StructField("error", T.StringType()),
     T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
     T.StructField("parse_error", T.StringType()),
 ])
 
-_ARROW = pa.schema([("ordinal", pa.int64()), ("source_file", pa.string()), ("error", pa.string()),
+_ORDINAL = pa.struct([("doc", pa.string()), ("pos", pa.int64())])
+_ARROW = pa.schema([("ordinal", _ORDINAL), ("source_file", pa.string()), ("error", pa.string()),
                     ("tags", pa.map_(pa.string(), pa.string())), ("parse_error", pa.string())])
 
 
 def parse_tag_batches(docs: DataFrame, text_col: str = "value", id_col: str | None = None) -> DataFrame:
     """One output row per object of each input JSON array.  A document that
     does not parse yields one row with ``parse_error`` set.  ``ordinal`` =
-    document id * 2^20 + position, used to let the last duplicate win."""
+    (document id, position), used to let the last duplicate win; numeric
+    document ids are compared as numbers."""
     from ..session import ship_package
     ship_package(docs.sparkSession)
     cols = [text_col] + ([id_col] if id_col else [])
@@ -37,29 +39,31 @@ def parse_tag_batches(docs: DataFrame, text_col: str = "value", id_col: str | No
         for b in batches:
             texts = b.column(text_col).to_pylist()
             ids = b.column(id_col).to_pylist() if id_col else [0] * len(texts)
+            ids = [f"{i:020d}" if isinstance(i, int) else i for i in ids]
             o, sf, er, tg, pe = [], [], [], [], []
             for doc_id, text in zip(ids, texts):
                 try:
                     objs = parse_raw_objects(text or "")
                 except ValueError as exc:
-                    o.append(doc_id << 20); sf.append(None); er.append(None); tg.append(None)
+                    o.append({"doc": doc_id, "pos": 0}); sf.append(None); er.append(None); tg.append(None)
                     pe.append(str(exc))
                     continue
                 for pos, obj in enumerate(objs):
                     obj = obj or {}
-                    o.append((doc_id << 20) + pos)
+                    o.append({"doc": doc_id, "pos": pos})
                     sf.append(json_string_value(obj.get("SourceFile")))
                     er.append(json_string_value(obj.get("Error")))
                     tg.append(list(obj.items()))
                     pe.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(o, pa.int64()), pa.array(sf, pa.string()), pa.array(er, pa.string()),
+                [pa.array(o, _ORDINAL), pa.array(sf, pa.string()), pa.array(er, pa.string()),
                  pa.array(tg, pa.map_(pa.string(), pa.string())), pa.array(pe, pa.string())], schema=_ARROW)
 
     return docs.select(*cols).mapInArrow(run, TAG_ROWS)
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Read extractor output files (each one JSON array) from ``path``."""
-    docs = spark.read.text(path, wholetext=True).withColumn("doc", F.monotonically_increasing_id())
-    return parse_tag_batches(docs, "value", "doc").filter(F.col("parse_error").isNull())
+    """Read extractor output files (each one JSON array) from ``path``, in order of
+    their names.  A file that does not parse is a row with ``parse_error``."""
+    docs = spark.read.text(path, wholetext=True).withColumn("doc", F.input_file_name())
+    return parse_tag_batches(docs, "value", "doc")

@@ -121,4 +121,4 @@ def list_stores(spark: SparkSession, roots: Mapping[str, str], partitions: int |
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return S.conform(out, S.LISTING)
+    return S.conform(out, S.LISTING).checkpoint()  # every file is stat-ed once

@@ -1,14 +1,21 @@
 """Catalogue tables as versioned Parquet directories.
 
-``write_tables`` writes every table of a new version under
-``<root>/v=<n>/<table>`` and then records ``n`` in ``<root>/CURRENT`` (written
-through Spark, so any shared file system works); readers follow ``CURRENT``,
-so a failed job never leaves a half-written version visible.  ``files`` is
-partitioned by ``store`` for partition pruning.
+``write_tables`` writes the tables of version ``n`` under
+``<root>/v=<n>/<table>`` and then commits it by writing a manifest of its own,
+``<root>/versions/<n>``, which says where each table of the version lies;
+nothing that exists is ever replaced.  Readers take the highest version whose
+manifest is complete, so a failed job leaves an unused directory and no visible
+version.  Tables that a job did not change are not written again: the manifest
+points at the version that has them.  ``files`` is partitioned by ``store`` for
+partition pruning.
+
+Only a root without any version is an empty catalogue; whatever cannot be read
+fails.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +30,38 @@ TABLE_SCHEMAS = {
 PARTITION_BY = {"files": ["store"]}
 
 
-def _current(spark: SparkSession, root: str) -> int | None:
-    try:
-        rows = spark.read.text(f"{root}/CURRENT").collect()  # one line
-    except Exception:  # no version written yet
-        return None
-    return max(int(r.value) for r in rows) if rows else None
+def _children(spark: SparkSession, path: str) -> dict[str, object]:
+    """Names under ``path`` on whatever file system it is; none if it is absent."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return {}
+    return {s.getPath().getName(): s for s in fs.listStatus(p)}
+
+
+def _numbers(names, prefix: str = "") -> list[int]:
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
+def committed_versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions whose manifest was written to its end."""
+    return [n for n in _numbers(_children(spark, f"{root}/versions"))
+            if "_SUCCESS" in _children(spark, f"{root}/versions/{n}")]
+
+
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict | None:
+    """{"version", "tables": {name: version that holds it}, "notes"} of the newest
+    (or the given) version; None if the catalogue has none."""
+    if version is None:
+        done = committed_versions(spark, root)
+        if not done:
+            if _numbers(_children(spark, root), "v="):
+                raise ValueError(f"catalogue {root!r} has tables but no committed version")
+            return None
+        version = done[-1]
+    line = spark.read.text(f"{root}/versions/{version}", wholetext=True).first()  # one small row
+    return json.loads(line["value"])
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -36,28 +69,35 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
             if name not in ("mime", "exif")}
 
 
-def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    version = _current(spark, root)
-    if version is None:
+def read_tables(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    m = manifest(spark, root, version)
+    if m is None:
         return empty_tables(spark)
-    out = {}
-    for name, schema in TABLE_SCHEMAS.items():
-        try:
-            df = spark.read.schema(schema).parquet(f"{root}/v={version}/{name}")
-        except Exception:  # table not present in this version
-            continue
-        out[name] = S.conform(df, schema)
-    return out
+    return {name: S.conform(spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{root}/v={at}/{name}"), TABLE_SCHEMAS[name])
+            for name, at in m["tables"].items()}
 
 
-def write_tables(tables: Mapping[str, DataFrame], root: str) -> int:
+def write_tables(tables: Mapping[str, DataFrame], root: str, base: Mapping[str, DataFrame] | None = None,
+                 notes: Mapping[str, object] | None = None) -> int:
+    """Commit ``tables`` as the next version.  ``base`` is what ``read_tables``
+    returned: a table that still is the same DataFrame is taken over from the
+    newest version instead of being written.  ``notes`` are kept in the manifest
+    (those of the version before stay unless replaced)."""
     spark = next(iter(tables.values())).sparkSession
-    version = (_current(spark, root) or 0) + 1
+    last = manifest(spark, root)
+    used = _numbers(_children(spark, root), "v=") + _numbers(_children(spark, f"{root}/versions"))
+    version = max(used, default=0) + 1  # also past versions that were never committed
+    where = {}
     for name, df in tables.items():
-        w = df.write.mode("overwrite")
+        if base is not None and last is not None and base.get(name) is df and name in last["tables"]:
+            where[name] = last["tables"][name]
+            continue
+        w = df.write.mode("errorifexists")
         if name in PARTITION_BY:
             w = w.partitionBy(*PARTITION_BY[name])
         w.parquet(f"{root}/v={version}/{name}")
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{root}/CURRENT")
+        where[name] = version
+    entry = {"version": version, "tables": where, "notes": {**((last or {}).get("notes") or {}), **(notes or {})}}
+    spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1) \
+        .write.mode("errorifexists").text(f"{root}/versions/{version}")
     return version

@@ -2,10 +2,10 @@
 
 The catalogue has no event streams; "incremental" means re-running a batch
 job over rows not yet done.  ``walk_stream`` lets Structured Streaming pick
-up listing snapshots as they land (exactly-once via the stream checkpoint)
-and applies each one with the ordinary batch job.
+up published listing snapshots and applies each whole, in order and once, with
+the ordinary batch job.
 """
 
-from .incremental import walk_stream
+from .incremental import apply_snapshot, publish_snapshot, walk_stream
 
-__all__ = ["walk_stream"]
+__all__ = ["apply_snapshot", "publish_snapshot", "walk_stream"]

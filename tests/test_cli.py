@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from ledgerwalk.cli import main, parse_duration
 
 
@@ -8,6 +10,11 @@ def test_parse_duration():
     from datetime import timedelta
     assert parse_duration("") == timedelta(hours=48)
     assert parse_duration("2h30m") == timedelta(hours=2, minutes=30)
+    assert parse_duration("1.5h") == timedelta(minutes=90) and parse_duration("-250ms") == timedelta(milliseconds=-250)
+    assert parse_duration(".5s1us") == timedelta(microseconds=500_001) and parse_duration("0") == timedelta(0)
+    for bad in ("5", "h", "1 h", "1d", "--1h"):
+        with pytest.raises(ValueError):
+            parse_duration(bad)
 
 
 def test_cli_walk_hash_plan_query(spark, capsys):

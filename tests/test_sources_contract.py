@@ -1,11 +1,13 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import NOW, tables
 from ledgerwalk.operators import apply_walk
-from ledgerwalk.sources import hash_files, list_stores, read_tables, write_tables
+from ledgerwalk.sources import hash_files, list_stores, manifest, read_tables, write_tables
 from ledgerwalk.operators import csv_lines, tsv_lines
 
 
@@ -55,10 +57,39 @@ def test_missing_store_root_fails(spark):
 def test_versioned_tables_roundtrip(spark):
     root = tempfile.mkdtemp(prefix="lw-tables-")
     t = tables(spark, files=[dict(id=1, store="raw", path="a")])
+    assert read_tables(spark, root)["files"].count() == 0  # nothing there yet
     assert write_tables(t, root) == 1
     back = read_tables(spark, root)
     assert back["files"].collect()[0].path == "a"
-    assert write_tables(back, root) == 2
+    # only what changed is written; the rest stays where it is
+    more = {**back, "files": back["files"].withColumn("path", F.lit("b"))}
+    assert write_tables(more, root, base=back) == 2
+    assert sorted(x for x in os.listdir(os.path.join(root, "v=2")) if x[0] not in "._") == ["files"]
+    assert manifest(spark, root)["tables"]["directories"] == 1
+    assert read_tables(spark, root)["files"].first().path == "b" and read_tables(spark, root, 1)["files"].first().path == "a"
+
+
+def test_table_versions_survive_crashes(spark):
+    import shutil
+    root = tempfile.mkdtemp(prefix="lw-crash-")
+    t = tables(spark, files=[dict(id=1, store="raw", path="a")])
+    write_tables(t, root)
+    # a job that died between its tables and its manifest: invisible, and never overwritten
+    t["files"].write.parquet(os.path.join(root, "v=2", "files"))
+    os.makedirs(os.path.join(root, "versions", "2"))
+    assert read_tables(spark, root)["files"].count() == 1
+    assert write_tables(read_tables(spark, root), root) == 3
+    # a table that the manifest names but that is gone is an error, not an empty table
+    lost = tempfile.mkdtemp(prefix="lw-lost-")
+    write_tables(t, lost)
+    os.rename(os.path.join(lost, "v=1", "files"), os.path.join(lost, "elsewhere"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        read_tables(spark, lost)["files"].count()
+    # tables without any manifest are an error too
+    bare = tempfile.mkdtemp(prefix="lw-bare-")
+    shutil.copytree(os.path.join(root, "v=1"), os.path.join(bare, "v=1"))
+    with pytest.raises(ValueError, match="no committed version"):
+        read_tables(spark, bare)
 
 
 def test_text_formats(spark):
@@ -77,7 +108,7 @@ def test_driver_contract(spark):
     assert {"op_id", "kind", "file_id", "rule", "reason"} <= set(df.columns)
 
 
-def test_mime_from_files_reads_bounded_heads(spark):
+def test_mime_from_files_reads_whole_texts(spark):
     from ledgerwalk.operators import MimeEnricher, run_enricher
     from ledgerwalk.sources import read_heads
     root = tempfile.mkdtemp(prefix="lw-mime-")
@@ -94,7 +125,47 @@ def test_mime_from_files_reads_bounded_heads(spark):
     assert got == {"h1": "image/png", "h2": "text/plain", "h3": "application/pdf", "h4": None}
     assert tuple(stats.first()) == (4, 3, 1)
     items = spark.createDataFrame([(os.path.join(root, "a.png"),)], "abs_path string")
-    assert len(read_heads(items, 1024).first().content) == 1024
+    assert len(read_heads(items).first().head) == 1 << 16
+
+
+def test_one_mime_answer_whatever_the_size(spark):
+    """Content in a row and content in a file: characters across chunk ends, a control
+    byte behind the first mebibyte."""
+    from ledgerwalk.functions import sniff_mime
+    from ledgerwalk.sources import read_heads
+    root = tempfile.mkdtemp(prefix="lw-long-")
+    data = {"long.txt": b"a" + "é".encode() * 600_000, "late.bin": b"x" * 2_000_000 + b"\x00", "cut.txt": b"a" * 100 + b"\xc3", "empty": b""}
+    for name, content in data.items():
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(content)
+    rows = spark.createDataFrame([(os.path.join(root, n), bytearray(c)) for n, c in data.items()], "abs_path string, whole binary")
+    got = read_heads(rows).select("abs_path", sniff_mime("head", F.col("is_text")).alias("a"), sniff_mime("whole").alias("b")).collect()
+    assert {os.path.basename(r.abs_path): r.a for r in got} == {"long.txt": "text/plain", "late.bin": "application/octet-stream",
+                                                                "cut.txt": "application/octet-stream", "empty": "inode/x-empty"}
+    assert all(r.a == r.b for r in got)
+
+
+def test_costly_work_is_done_once(spark):
+    """Listing, hash results and MIME results are evaluated once a row, however many
+    outputs read them."""
+    from ledgerwalk import schemas as S
+    from ledgerwalk.operators import apply_hashes, apply_walk
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        return df.mapInArrow(run, df.schema)
+
+    listing = spark.createDataFrame([("raw", ".", True, None, None, True)] + [("raw", f"d/{i}", False, i, NOW, True) for i in range(9)], S.LISTING)
+    out, stats = apply_walk(tables(spark), listing, NOW, ["raw"])
+    assert out["files"].count() == 9 and stats.first()[0] == 9
+    results = counted(spark.createDataFrame([(i, f"h{i}" if i % 2 else None, None if i % 2 else "hashing: no") for i in range(1, 9)], "id long, sha256 string, error string"))
+    done = apply_hashes(out, results, NOW)
+    assert done["files"].filter("hashed_at is not null").count() == 8 and done["process_errors"].count() == 4
+    assert seen.value == 8
 
 
 def test_read_tags_from_files_and_text_sinks(spark):
@@ -107,14 +178,40 @@ def test_read_tags_from_files_and_text_sinks(spark):
     with open(os.path.join(d, "broken.json"), "w") as f:
         f.write("[{not json")
     rows = {r.source_file: r for r in read_tags(spark, d).collect()}
-    assert set(rows) == {"/r/a.jpg", "/r/b.jpg"}
+    assert set(rows) == {"/r/a.jpg", "/r/b.jpg", None} and rows[None].parse_error
     assert dict(rows["/r/a.jpg"].tags)["EXIF:ISO"] == "100" and rows["/r/b.jpg"].error == "bad"
 
+    # items without a row are told that a part of the output is missing
+    from ledgerwalk.operators import match_tags
+    items = spark.createDataFrame([("h1", 1, "/r/a.jpg"), ("h2", 2, "/r/b.jpg"), ("h3", 3, "/r/c.jpg")], "hash string, file_id long, abs_path string")
+    errors = {r.hash: r.error for r in match_tags(items, read_tags(spark, d), "v").collect()}
+    assert errors["h1"] is None and errors["h2"] == "exif /r/b.jpg: bad"
+    assert errors["h3"].startswith("exif: no result for /r/c.jpg (unparsed output: ")
+
     out = tempfile.mkdtemp(prefix="lw-sink-")
-    df = spark.createDataFrame([(1, "a,b", None), (2, 'q"x', "z")], "n int, s string, t string").coalesce(1)
+    values = ["a,b", None, 'q"x', "  lead and trail  ", " ", "tab\tin", "\u00a0nbsp", "two\nlines", "\\.", ""]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "n int, s string").orderBy("n")
     write_tsv(df, out + "/tsv")
     write_csv(df, out + "/csv")
-    tsv = "".join(open(p).read() for p in sorted(glob.glob(out + "/tsv/part-*")))
-    assert tsv.splitlines() == ["n\ts\tt", "1\ta,b\t", '2\tq"x\tz']
-    csv = "".join(open(p).read() for p in sorted(glob.glob(out + "/csv/part-*")))
-    assert csv.splitlines() == ["n,s,t", '1,"a,b",', '2,"q""x",z']
+    tsv = "".join(open(p, newline="").read() for p in sorted(glob.glob(out + "/tsv/part-*")))
+    assert tsv == "n\ts\n" + "".join(f"{i}\t{v or ''}\n" for i, v in enumerate(values))
+    csv = "".join(open(p, newline="").read() for p in sorted(glob.glob(out + "/csv/part-*")))
+    quoted = ['"a,b"', "", '"q""x"', '"  lead and trail  "', '" "', "tab\tin", '"\u00a0nbsp"', '"two\nlines"', '"\\."', ""]
+    assert csv == "n,s\n" + "".join(f"{i},{q}\n" for i, q in enumerate(quoted))
+
+
+def test_last_duplicate_wins_by_number(spark):
+    from ledgerwalk.operators import match_tags
+    from ledgerwalk.sources import parse_tag_batches
+    docs = spark.createDataFrame([(i, '[{"SourceFile": "/p", "XMP:Rating": %d}]' % i) for i in (2, 10, 9)], "doc long, value string")
+    items = spark.createDataFrame([("h", 1, "/p")], "hash string, file_id long, abs_path string")
+    assert "10" in match_tags(items, parse_tag_batches(docs, "value", "doc"), "v").first().data
+
+
+def test_two_results_for_one_hash_fail(spark):
+    from ledgerwalk.operators import MimeEnricher, apply_enrichment
+    t = tables(spark)
+    t["mime"] = spark.createDataFrame([("h", 1, None, None)], "hash string, file_id long, processed_at timestamp_ntz, mime_type string")
+    twice = spark.createDataFrame([("h", 1, "a/b", None), ("h", 1, "c/d", None)], "hash string, file_id long, mime_type string, error string")
+    with pytest.raises(Exception, match="more than one result for h"):
+        apply_enrichment(t, MimeEnricher(), twice, NOW)["mime"].collect()

@@ -290,6 +290,12 @@ def q_sniff_mime(spark, sf):
     return c.select("id", sniff_mime(F.col("content").cast("binary")).alias("mime_type"))
 
 
+@register("sniff_signatures", f"""
+SELECT doc_id AS id, list_value({", ".join(repr(t) for _, t in V.SIGNATURES)})[doc_id % {len(V.SIGNATURES)} + 1] AS mime_type FROM documents""")
+def q_sniff_signatures(spark, sf):
+    return V.signed_content(spark, sf).select("id", sniff_mime("content").alias("mime_type"))
+
+
 @register("valid_mime", O.with_(O.DOCS_BASE) + f"""
 SELECT id, CASE WHEN strpos(t, '/') > 0 THEN t END AS mime_type,
   CASE WHEN strpos(t, '/') = 0 THEN 'detecting mime for ' || path || ': ' || t END AS error

@@ -10,6 +10,7 @@ DuckDB SQL.
 
 from __future__ import annotations
 
+import struct
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +106,44 @@ def docs_mime_partial(files: DataFrame) -> DataFrame:
         F.lit("text/plain").alias("mime_type")), S.enricher_schema(S.MIME_COLUMNS))
 
 
+def _tiff_head(make: str = "", dng: bool = False) -> str:
+    """Hex of a little-endian TIFF head whose directory has a width, a maker and
+    perhaps a DNG version; the maker's text follows the directory."""
+    count = 1 + bool(make) + dng
+    at = 8 + 2 + 12 * count + 4
+    entries = struct.pack("<HHII", 0x0100, 4, 1, 4000)
+    if make:
+        entries += struct.pack("<HHII", 0x010F, 2, len(make) + 1, at)
+    if dng:
+        entries += struct.pack("<HHII", 0xC612, 1, 4, 0x0401)
+    return (b"II*\0" + struct.pack("<IH", 8, count) + entries + b"\0" * 4 + make.encode() + b"\0").hex()
+
+
+def _ftyp(brand: str) -> str:
+    return "00000020" + (b"ftyp" + brand.encode()).hex()
+
+
+#: Leading bytes (hex) of each detectable type, with a document's text behind them.
+SIGNATURES = (
+    ("ffd8ffe0", "image/jpeg"), ("89504e470d0a1a0a", "image/png"), (b"GIF89a".hex(), "image/gif"), (b"%PDF-1.7\n".hex(), "application/pdf"),
+    (b"RIFF0000WEBP".hex(), "image/webp"), (b"RIFF0000AVI ".hex(), "video/x-msvideo"), (_ftyp("heic"), "image/heic"), (_ftyp("mif1"), "image/heif"),
+    (_ftyp("qt  "), "video/quicktime"), (_ftyp("M4V "), "video/x-m4v"), (_ftyp("3gp4"), "video/3gpp"), (_ftyp("isom"), "video/mp4"),
+    ("1a45dfa3a34286810142f7810142f2810442f381084282847765626d", "video/webm"),
+    ("1a45dfa3a34286810142f7810142f2810442f3810842828" + "86d6174726f736b61", "video/x-matroska"),
+    ("000001ba", "video/mpeg"), ("49492a001000000043520200", "image/x-canon-cr2"), (_tiff_head(), "image/tiff"), (_tiff_head("Canon"), "image/tiff"),
+    (_tiff_head("NIKON CORPORATION"), "image/x-nikon-nef"), (_tiff_head("SONY"), "image/x-sony-arw"), (_tiff_head("Leica", True), "image/x-adobe-dng"),
+    ("00", "application/octet-stream"), ("fffe", "application/octet-stream"), ("efbbbf", "text/plain"),
+)
+
+
+def signed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content): every document's text behind the signature that its id picks."""
+    heads = F.array(*[F.lit(h) for h, _ in SIGNATURES])
+    head = F.element_at(heads, (F.pmod(F.col("doc_id"), F.lit(len(SIGNATURES))) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.unhex(head), F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("content"))
+
+
 def docs_new_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second walk of the docs catalogue: every file whose id is not
     divisible by 13 is seen again (ids divisible by 11 with one more byte),

@@ -139,6 +139,41 @@ def test_hashes_that_share_a_destination(spark):
     assert {r.file_id: r.status for r in organize_plan(t, "UTC").collect()} == {2: "organized", 3: "collided", 4: "organized"}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_organize_equals_one_by_one(spark, seed):
+    """Contested destinations, taken and freed ones, errors: against the candidates
+    taken one by one in path order."""
+    import random
+    rng = random.Random(seed)
+    hashes = [f"{rng.randrange(3):08d}{i:04d}" for i in range(25)]
+    files = [dict(id=i, store="raw", path=f"{rng.randrange(1000):04d}/{rng.choice('ab')}.jpg", sha256=rng.choice(hashes),
+                  mod_time=None if rng.random() < 0.1 else datetime(2020, 1, 1, 0, 0, rng.randrange(2))) for i in range(1, 150)]
+    files = list({f["path"]: f for f in files}.values())
+    name = lambda f: f"media/2020/01/{f['mod_time']:%Y%m%dT%H%M%S}Z-{f['sha256'][:8]}-{f['path'][-5:]}"
+    dated = [f for f in files if f["mod_time"]]
+    clean = [dict(id=500 + k, store="clean", path=p, sha256=f"other{k}", missing=k % 3 == 0) for k, p in enumerate(sorted({name(f) for f in dated})[::3])]
+    clean.append(dict(id=600, store="clean", path="elsewhere.jpg", sha256=hashes[0]))
+    t = media(spark, [{**f, "mod_time": f["mod_time"] or MT} for f in files] + clean)
+    t["mime"] = spark.createDataFrame([(h, 0, MT, "image/jpeg") for h in hashes], t["mime"].schema)
+    t["files"] = t["files"].withColumn("mod_time", F.when(F.col("id").isin([f["id"] for f in files if not f["mod_time"]]), F.lit(None).cast("timestamp_ntz")).otherwise(F.col("mod_time")))
+    here = {c["path"] for c in clean if not c.get("missing")}
+    done = {c["sha256"] for c in clean if not c.get("missing")}
+    want = {}
+    for f in sorted(files, key=lambda f: f["path"]):
+        if not f["mod_time"]:
+            want[f["id"]] = "error"
+        elif f["sha256"] in done:
+            want[f["id"]] = "skipped"
+        elif name(f) in here:
+            want[f["id"]] = "collided"
+        else:
+            want[f["id"]] = "organized"
+            here.add(name(f))
+            done.add(f["sha256"])
+    assert set(want.values()) == {"error", "skipped", "collided", "organized"}
+    assert {r.file_id: r.status for r in organize_plan(t, "UTC").collect()} == want
+
+
 def test_missing_clean_row_at_destination_is_revived(spark):
     dst = "media/2020/05/20200506T070809Z-h1-a.jpg"
     t = media(spark, [dict(id=1, store="raw", path="a.jpg", sha256="h1", mod_time=MT),

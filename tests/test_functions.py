@@ -31,6 +31,15 @@ def test_human_sizes_in_sql(spark):
     assert spark.sql("SELECT human_bytes(64000) AS a, human_ibytes(65536) AS b, human_ibytes(NULL) AS c").first() == ("64 kB", "64 KiB", None)
     with pytest.raises(Exception, match="negative byte count"):
         spark.sql("SELECT human_bytes(-20)").collect()
+    with pytest.raises(Exception, match="not a whole number"):
+        spark.sql("SELECT human_bytes(0.5)").collect()
+
+
+@pytest.mark.parametrize("kind,value", [("double", 0.5), ("string", "1500"), ("double", 12.0)])
+def test_human_sizes_take_whole_numbers(spark, kind, value):
+    df = spark.createDataFrame([(value,)], f"n {kind}")
+    with pytest.raises(Exception, match="not a whole number"):
+        df.select(human_bytes("n")).collect()
 
 
 def test_filename_parts(spark):

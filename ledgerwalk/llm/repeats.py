@@ -12,7 +12,8 @@ are refined until that is decided.
    sample form one run.  (A suffix array over every byte would shuffle tens of
    times the input; the runs hold about two in a hundred bytes.)
 2. The identifier of a run is the bucket of its gram together with that of
-   everything from its first start to the end of its last string.  Runs alone
+   everything from its first start to the end of its last string.  Equal
+   runs of one chunk of text are counted before anything is shuffled.  Runs alone
    in their gram's bucket are unique.  Runs whose whole identifier occurs again
    repeat at each of their starts.
 3. Where a gram's bucket holds different runs, one of each kind is refined
@@ -103,19 +104,40 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_runs(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, run, rid, at, back, ahead) of every run of the corpus, where at is the
-    sample's offset and its starts are at - back .. at - ahead; packed in ``loc``."""
+    """(gram, run, k, rid, loc, spans) of the runs of the corpus.  Equal runs of one
+    chunk of text are one row with their number ``k``, so what a corpus repeats
+    everywhere is not shuffled once for each time.  ``rid`` and ``loc`` are those of
+    one of them (loc packs the sample's offset, and how far before it the first and
+    the last start are); ``spans`` has the bytes that all of them cover, if k > 1."""
 
     def run(batches):
         for b in batches:
             rid, row = b["rid"].to_numpy(), 0
             for part in chunks(_bytes(b["text"])):
                 text, gram, ident, at, back, ahead = sampled_runs(part, length)
-                yield pd.DataFrame({"gram": gram.view(np.int64), "run": ident.view(np.int64), "rid": rid[row + text],
-                                    "loc": (at << 20) | (back << 10) | ahead})
-                row += len(part)
-
-    return keyed(docs).select("rid", "text").mapInPandas(run, "gram bigint, run bigint, rid bigint, loc bigint")
+                doc, row = rid[row + text], row + len(part)
+                order = np.lexsort((at, doc, ident, gram))
+                gram, ident, doc, at, back, ahead = (x[order] for x in (gram, ident, doc, at, back, ahead))
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (ident[1:] != ident[:-1])
+                first = np.flatnonzero(new)
+                k = np.diff(np.append(first, len(gram)))
+                # stretches of the runs that are there more than once
+                many = np.repeat(k > 1, k)
+                group, r, begin, end = (x[many] for x in (np.repeat(np.arange(len(k)), k), doc, at - back, at - ahead + length))
+                cut = np.ones(len(group), bool)
+                cut[1:] = (group[1:] != group[:-1]) | (r[1:] != r[:-1]) | (begin[1:] > end[:-1])
+                s = np.flatnonzero(cut)
+                e = np.append(s[1:], len(group)) - 1 if len(s) else s
+                packed = np.stack((r[s], begin[s], end[e]), axis=1).astype(np.int64)
+                edge = np.searchsorted(group[s], np.flatnonzero(k > 1), side="left").tolist() + [len(s)]
+                spans = np.full(len(k), None, object)
+                for i, g in enumerate(np.flatnonzero(k > 1).tolist()):
+                    spans[g] = packed[edge[i]:edge[i + 1]].tobytes()
+                yield pd.DataFrame({"gram": gram[first].view(np.int64), "run": ident[first].view(np.int64), "k": k, "rid": doc[first],
+                                    "loc": ((at << 20) | (back << 10) | ahead)[first], "spans": spans})
+
+    return keyed(docs).select("rid", "text").mapInPandas(run, "gram bigint, run bigint, k bigint, rid bigint, loc bigint, spans binary")
 
 
 def start_identifiers(gram: np.ndarray, loc: np.ndarray, context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,12 +205,21 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, begin, end): stretches of bytes to remove; they may overlap."""
     same_gram, same_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run")
     runs = all_runs(docs, length)
-    runs = runs.withColumn("in_gram", F.count(F.lit(1)).over(same_gram)).filter("in_gram > 1")
-    runs = runs.withColumn("in_run", F.count(F.lit(1)).over(same_run))
+    runs = runs.withColumn("in_gram", F.sum("k").over(same_gram)).filter("in_gram > 1")
+    runs = runs.withColumn("in_run", F.sum("k").over(same_run))
     runs = runs.withColumn("kind", (F.col("in_gram") > F.col("in_run")) & (F.row_number().over(same_run.orderBy("rid", "loc")) == 1))
-    runs = stored(runs.filter("kind or in_run > 1").select(F.when(F.col("kind"), F.col("gram")).alias("gram"), "rid", "loc", (F.col("in_run") > 1).alias("dup")), "runs")
-    at, back, ahead = F.shiftright("loc", 20), F.shiftright("loc", 10).bitwiseAND(F.lit(1023)), F.col("loc").bitwiseAND(F.lit(1023))
-    whole = runs.filter("dup").select("rid", (at - back).alias("begin"), (at - ahead + length).alias("end"))
+    runs = stored(runs.filter("kind or in_run > 1").select(F.when(F.col("kind"), F.col("gram")).alias("gram"), "rid", "loc", "spans", (F.col("in_run") > 1).alias("dup")), "runs")
+
+    def unpack(batches):
+        for b in batches:
+            one = b["spans"].isna().to_numpy()
+            loc, rid = b["loc"].to_numpy()[one], b["rid"].to_numpy()[one]
+            at, back, ahead = loc >> 20, (loc >> 10) & 1023, loc & 1023
+            more = np.frombuffer(b"".join(b["spans"][~one]), np.int64).reshape(-1, 3)
+            yield pd.DataFrame({"rid": np.concatenate((rid, more[:, 0])), "begin": np.concatenate((at - back, more[:, 1])),
+                                "end": np.concatenate((at - ahead + length, more[:, 2]))})
+
+    whole = runs.filter("dup").select("rid", "loc", "spans").mapInPandas(unpack, "rid bigint, begin bigint, end bigint")
 
     # the bytes of one run of each kind, where a gram has several
     kinds = runs.filter("gram is not null")

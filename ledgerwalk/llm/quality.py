@@ -45,7 +45,7 @@ THRESHOLD = 4.5
 #: Bad documents that a bucket needs at least: with fewer, no weight is significant.
 MIN_BAD = 3
 MIN_WEIGHT = 2.0
-MIN_SIGNIFICANCE = 4.5
+MIN_SIGNIFICANCE = 3.5
 #: Correct human votes of each class that EM takes as seen before the data.
 HUMAN_PRIOR = 10.0
 UNLABELLED_WEIGHT = 0.05

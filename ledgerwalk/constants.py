@@ -96,6 +96,24 @@ RULE_JUNK = "junk"
 RULE_DEDUP = "dedup"
 RULE_ORGANIZE = "organize"
 
+# Statuses of organise candidates, and the error of one without a time.
+STATUS_ERROR = "error"
+STATUS_SKIPPED = "skipped"
+STATUS_COLLIDED = "collided"
+STATUS_ORGANIZED = "organized"
+STATUS_ORGANIZE = "organize"
+NO_TIMESTAMP = "no usable timestamp (exif + mod_time both unparseable)"
+
+# Lines of the plan report.
+REPORT_RULE = "Rule: %s (%d ops)"
+REPORT_REMOVAL = "  %s  %s/%s  (%s)"
+REPORT_MOVE = "  %s  %s/%s -> %s/%s  (%s)"
+REPORT_EMPTY = "No operations proposed."
+
+# Declared columns: what names and types must look like.
+COLUMN_NAME_PATTERN = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
+COLUMN_TYPE_PATTERN = r"^[a-zA-Z]+$"
+
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------

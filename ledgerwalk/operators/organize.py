@@ -30,16 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..constants import MEDIA_MIME_TYPES, RULE_ORGANIZE
+from ..constants import (MEDIA_MIME_TYPES, NO_TIMESTAMP, RULE_ORGANIZE, STATUS_COLLIDED, STATUS_ERROR,
+                         STATUS_ORGANIZE, STATUS_ORGANIZED, STATUS_SKIPPED)
 from ..functions.timestamps import destination_path, validate_zone, with_capture_time
 from .catalog import _ts
 from .ids import with_dense_ids
 from .skew import DEFAULT_BUCKETS, salted_join
 
-STATUS_ERROR, STATUS_SKIPPED, STATUS_COLLIDED = "error", "skipped", "collided"
-STATUS_ORGANIZED, STATUS_ORGANIZE = "organized", "organize"
-NO_TIMESTAMP = "no usable timestamp (exif + mod_time both unparseable)"
-
 
 def _per_hash(mime: DataFrame, exif: DataFrame | None, mime_types: Sequence[str],
               clean_files: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..constants import KIND_RMDIR
+from ..constants import KIND_RMDIR, REPORT_EMPTY, REPORT_MOVE, REPORT_REMOVAL, REPORT_RULE
 from ..functions.paths import path_depth
 from ..session import ensure_checkpoint_dir
 from .catalog import _ts
@@ -30,17 +30,17 @@ def plan_report(ops: DataFrame) -> DataFrame:
     ops = ops.checkpoint()  # read three times below
     headers = ops.groupBy("rule", "rule_priority").agg(F.count(F.lit(1)).alias("n")).select(
         "rule_priority", F.lit(0).alias("is_op"), F.lit("").alias("plan_key"),
-        F.format_string("Rule: %s (%d ops)", "rule", "n").alias("line"))
+        F.format_string(REPORT_RULE, "rule", "n").alias("line"))
     reason = F.coalesce(F.col("reason"), F.lit(""))
     lines = ops.select(
         "rule_priority", F.lit(1).alias("is_op"), "plan_key",
         F.when(F.col("kind") == KIND_RMDIR,
-               F.format_string("  %s  %s/%s  (%s)", "kind", "src_store", "src_path", reason))
-        .otherwise(F.format_string("  %s  %s/%s -> %s/%s  (%s)", "kind", "src_store", "src_path",
+               F.format_string(REPORT_REMOVAL, "kind", "src_store", "src_path", reason))
+        .otherwise(F.format_string(REPORT_MOVE, "kind", "src_store", "src_path",
                                    "dst_store", "dst_path", reason)).alias("line"))
     empty = ops.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0).select(
         F.lit(-1).alias("rule_priority"), F.lit(0).alias("is_op"), F.lit("").alias("plan_key"),
-        F.lit("No operations proposed.").alias("line"))
+        F.lit(REPORT_EMPTY).alias("line"))
     return headers.unionByName(lines).unionByName(empty)
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import UNICODE_SPACE_CLASS
+from ..constants import COLUMN_NAME_PATTERN, COLUMN_TYPE_PATTERN, UNICODE_SPACE_CLASS
 from ..functions.sizes import register_sql_functions
 
-_IDENT = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
-_TYPE = re.compile(r"^[a-zA-Z]+$")
+_IDENT = re.compile(COLUMN_NAME_PATTERN)
+_TYPE = re.compile(COLUMN_TYPE_PATTERN)
 
 # declared column types (SQLite affinity names) -> Spark types
 _TYPE_MAP = {"TEXT": T.StringType(), "INTEGER": T.LongType(), "REAL": T.DoubleType(),

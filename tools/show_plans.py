@@ -14,21 +14,21 @@ import io
 import os
 import re
 import sys
-import tempfile
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    from ledgerwalk.session import get_spark
+    from ledgerwalk.session import ensure_checkpoint_dir, get_spark
     from ledgerwalk.plans import views as V
     from ledgerwalk.sources import read_tables, write_tables
     from ledgerwalk.operators import (DedupRule, JunkRule, build_plan, directory_rollup, identify_all_hashes,
                                       organize_candidates)
     spark = get_spark("local[8]", shuffle_partitions=16, extra_conf={"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    root = tempfile.mkdtemp(prefix="lw-plans-")
+    root = f"{ensure_checkpoint_dir(spark)}/plans-{uuid.uuid4().hex}"
     docs = V.docs_tables(spark, sf_dir)
     media = V.media_tables(spark, sf_dir)
     write_tables({**docs, "mime": media["mime"], "exif": media["exif"]}, root + "/docs")
@@ -36,8 +36,7 @@ def main() -> None:
     T = read_tables(spark, root + "/docs")
     M = read_tables(spark, root + "/media")
     cases = {
-        "dedup rule (after junk claims)": DedupRule().evaluate(T, JunkRule().file_ops(T["files"], None)
-                                                               .select("file_id")),
+        "dedup rule (after junk claims)": DedupRule().evaluate(T, JunkRule().claims()),
         "build_plan (junk + dedup)": build_plan(T),
         "directory rollup from the files table": directory_rollup(V.listing_from_files(T["files"])),
         "identify_all_hashes": identify_all_hashes(T["files"], T["mime"]),

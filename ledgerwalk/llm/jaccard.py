@@ -48,12 +48,14 @@ from .shingles import chunks, shingle_sets
 
 #: Counted locally from LOCAL_DF documents of a chunk on; at most MAX_COMMON of
 #: the most frequent are put last in the order.
-LOCAL_DF = 4
-COMMON_DF = 24
-MAX_COMMON = 400_000
+LOCAL_DF = 2
+COMMON_DF = 12
+MAX_COMMON = 1_000_000
 BLOCK = 2048
 LEAF = 32
 FANOUT = 4
+#: Texts, or pairs of sets, that a Python worker holds at a time.
+TEXT_ROWS = 1000
 
 
 def prefix_length(n: int) -> int:
@@ -104,7 +106,7 @@ def class_facts(docs: DataFrame) -> DataFrame:
                     seen.add(d)
                     held.append(s)
                     size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield common()
                     held, seen, size = [], set(), 0
             yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "n": n, "cls": cls, "bits": bits, "token": 0, "df": 0})
@@ -145,7 +147,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
             if tokens:
                 count = [len(t) for t in tokens]
                 yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "cls": np.repeat(np.array(cls, np.int64), count), "n": np.repeat(np.array(size, np.int32), count)})
-            if len(done) > 1_000_000:
+            if len(done) > 200_000:
                 done.clear()
 
     return docs.select("text").mapInPandas(run, "token bigint, cls bigint, n int")
@@ -209,9 +211,9 @@ def cells(postings: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"a": a, "b": o, "cell": None}).astype({"a": "Int64", "b": "Int64", "cell": "Int64"})
             if out_members:
                 yield pd.DataFrame({"a": np.concatenate(out_members), "b": None, "cell": np.concatenate(out_names)}).astype({"a": "Int64", "b": "Int64", "cell": "Int64"})
-            if len(pairs) > 1_000_000:
+            if len(pairs) > 200_000:
                 pairs.clear()
-            if len(known) > 1_000_000:
+            if len(known) > 200_000:
                 known.clear()
         if held is not None and (long or len(held) > 2):
             yield pd.DataFrame({"a": held, "b": None, "cell": token}).astype({"a": "Int64", "b": "Int64", "cell": "Int64"})
@@ -429,7 +431,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
             found = [s for _, s in _sets(b) if len(s)]
             yield pd.DataFrame({"cls": [digest(s) for s in found], "tokens": [s.tobytes() for s in found]})
 
-    held = stored(texts.mapInPandas(sets, "cls bigint, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+    held = stored(texts.mapInPandas(sets, "cls bigint, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets", TEXT_ROWS)
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
     both = both.join(held.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
 
@@ -463,11 +465,11 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_shingles, component_id, component) of every row of ``docs``
     (doc_id, text); ``component`` names the component by class, null for empty sets."""
-    facts = stored(class_facts(docs), "facts")
+    facts = stored(class_facts(docs), "facts", TEXT_ROWS)
     documents = facts.filter("df = 0").select("doc_id", "h", "n", "cls")
     classes = stored(facts.filter("df = 0 and n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min(F.struct("doc_id", "h")).alias("rep")), "classes")
-    found = stored(cells(prefixes(docs, common_tokens(facts))), "cells")
+    found = stored(cells(prefixes(docs, common_tokens(facts))), "cells", 4 * TEXT_ROWS)
 
     sketch = classes.select("cls", "n", "bits")
     pairs = stored(found.filter("cell is null").select("a", "b").distinct(), "pairs")
@@ -480,7 +482,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             yield f.loc[keep, ["a", "b"]]
 
     candidates = stored(with_b.mapInPandas(prune, "a bigint, b bigint"), "candidates")
-    links = stored(linked(candidates, classes, docs), "links")
+    links = stored(linked(candidates, classes, docs), "links", TEXT_ROWS)
     comp = components(links)
 
     # cells in which more than one component is left: first the nearest of each class,
@@ -492,9 +494,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         placed = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         mixed = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cell")
         open_cells = placed.join(mixed, "cell", "left_semi")
-        more = stored(search_cells(open_cells, sketch, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "survivors")
+        more = stored(search_cells(open_cells, sketch, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "survivors", 4 * TEXT_ROWS)
         if more.limit(1).count():
-            links = links.unionByName(stored(linked(more, classes, docs), "links"))
+            links = links.unionByName(stored(linked(more, classes, docs), "links", TEXT_ROWS))
             tested = tested.unionByName(more)
             comp = components(links)
     named = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))

@@ -13,7 +13,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Bytes of text worked on at a time (a longer text is worked on alone).
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _RNG = np.random.default_rng(20240101)
 _TABLE = _RNG.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE[65:91] = _TABLE[97:123]

@@ -17,6 +17,12 @@ def test_parse_duration():
             parse_duration(bad)
 
 
+def parts(path):
+    """Lines of a text sink, in the order of its files."""
+    import glob
+    return [x for p in sorted(glob.glob(path + "/part-*")) for x in open(p).read().splitlines()]
+
+
 def test_cli_walk_hash_plan_query(spark, capsys):
     base = tempfile.mkdtemp(prefix="lw-cli-")
     raw = os.path.join(base, "raw")
@@ -32,6 +38,13 @@ def test_cli_walk_hash_plan_query(spark, capsys):
     assert main(common + ["plan"]) == 0
     out = capsys.readouterr().out
     assert "Rule: junk (1 ops)" in out and "Rule: dedup (1 ops)" in out and "raw/a/x.jpg -> trash/a/x.jpg" in out
+    report, listed = os.path.join(base, "report"), os.path.join(base, "listed")
+    assert main(common + ["plan", "--report", report]) == 0
+    assert capsys.readouterr().out == "" and parts(report)[0] == "Rule: junk (1 ops)" and len(parts(report)) == 4
+    assert main(common + ["query", "SELECT path FROM files ORDER BY path DESC", "--format", "csv", "--out", listed]) == 0
+    assert parts(listed) == ["path", "y.jpg", "a/x.jpg", "a/.DS_Store"]
+    assert main(common + ["query", "SELECT path FROM files ORDER BY path", "--preview", "1"]) == 0
+    assert "only showing top 1 row" in capsys.readouterr().out
     assert main(common + ["query", "SELECT path, human_bytes(size) AS s FROM files WHERE path = 'y.jpg'",
                           "--format", "tsv"]) == 0
     assert capsys.readouterr().out.splitlines()[-2:] == ["path\ts", "y.jpg\t4 B"]

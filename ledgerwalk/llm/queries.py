@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_text, jaccard, mixing, quality, repeats, secret_scan, sharding, topk, warc
-from .common import read, scratch
+from .common import read, scratch, stored
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return stored(repeats.remove_repeats(read(spark, sf_dir, "documents"), bytes_too=False), "removed", repeats.TEXT_ROWS)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

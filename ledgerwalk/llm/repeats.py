@@ -43,6 +43,9 @@ from .shingles import chunks, mix, powers
 
 LENGTH = 200
 HOT = 20_000
+CHUNK = 1 << 21
+#: Texts that a Python worker holds at a time.
+TEXT_ROWS = 1000
 _BYTES = np.random.default_rng(7).integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 _OFFSET = np.uint64(0xD6E8FEB86659FD93)
@@ -113,7 +116,7 @@ def all_runs(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rid, row = b["rid"].to_numpy(), 0
-            for part in chunks(_bytes(b["text"])):
+            for part in chunks(_bytes(b["text"]), CHUNK):
                 text, gram, ident, at, back, ahead = sampled_runs(part, length)
                 doc, row = rid[row + text], row + len(part)
                 order = np.lexsort((at, doc, ident, gram))
@@ -208,7 +211,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = runs.withColumn("in_gram", F.sum("k").over(same_gram)).filter("in_gram > 1")
     runs = runs.withColumn("in_run", F.sum("k").over(same_run))
     runs = runs.withColumn("kind", (F.col("in_gram") > F.col("in_run")) & (F.row_number().over(same_run.orderBy("rid", "loc")) == 1))
-    runs = stored(runs.filter("kind or in_run > 1").select(F.when(F.col("kind"), F.col("gram")).alias("gram"), "rid", "loc", "spans", (F.col("in_run") > 1).alias("dup")), "runs")
+    runs = stored(runs.filter("kind or in_run > 1").select(F.when(F.col("kind"), F.col("gram")).alias("gram"), "rid", "loc", "spans", (F.col("in_run") > 1).alias("dup")), "runs", TEXT_ROWS)
 
     def unpack(batches):
         for b in batches:
@@ -237,15 +240,16 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out.append((k["gram"], rid, k["loc"], text[a - n:a - m + length]))
             yield pd.DataFrame(out, columns=["gram", "rid", "loc", "context"])
 
-    pieces = stored(texts.select("rid", "text", "kinds").mapInPandas(cut, "gram bigint, rid bigint, loc bigint, context binary"), "pieces")
+    pieces = stored(texts.select("rid", "text", "kinds").mapInPandas(cut, "gram bigint, rid bigint, loc bigint, context binary"), "pieces", TEXT_ROWS)
     hot = small_side(stored(hot, "hot"))
     partly = refine(pieces.join(hot, "gram", "left_anti"), length).unionByName(refine_hot(pieces.join(hot, "gram", "left_semi"), length))
     return whole.unionByName(partly)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept
-    (the remaining bytes, which need not be valid UTF-8)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bytes_too: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
+    ``bytes_too``, kept (the remaining bytes, which need not be valid UTF-8)."""
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:5 + bytes_too]
     stretches = repeated_stretches(docs, length).groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))  # bounded by the text
 
     def run(batches):
@@ -259,9 +263,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         spans += 1
                     upto = at = max(upto, e)
                 kept = b"".join(kept) + text[at:]
-                rows.append((doc_id, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((doc_id, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)[:len(columns)])
+            yield pd.DataFrame(rows, columns=columns)
 
     rows = keyed(docs).join(stretches, "rid", "left").select(id_text("doc_id"), "text", "cuts")
-    out = rows.mapInPandas(run, "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = rows.mapInPandas(run, "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * bytes_too)
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))

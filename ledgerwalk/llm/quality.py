@@ -10,9 +10,11 @@
 3. These posterior labels train a hashed linear scorer: presence of words and
    of structural marks, hashed to ``BUCKETS``, weighted by the log-odds between
    bad and good.  Only marks of bad documents that are large and significant are
-   kept, so rare words add no noise.  Training reads at most about ``SAMPLE`` documents
-   that have a vote, chosen by a hash of their id, one for each signature and vote pattern, so that a group of copies does not count as many; votes, patterns and scores
-   cover every document.
+   kept, so rare words add no noise.  A group of copies does not count as many: of
+   equal texts with equal votes one is read, and of near copies (``SIMILAR`` of their
+   5-word shingles, by minhashes) with equal votes one counts.  Of the distinct texts
+   that have a vote, training reads about ``SAMPLE`` at most, chosen by a hash of the
+   text; votes, patterns and scores cover every document.
 4. A document is rejected if its score is above ``THRESHOLD``.
 
 Null or empty texts have no words; only the bias counts and they are kept
@@ -36,9 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, stored
+from .shingles import chunks, mix, shingle_sets
 
 BUCKETS = 1 << 22
 SAMPLE = 20_000
+#: Near copies share so much of their shingles, as far as HASHES minhashes tell
+#: (a standard error of 0.035); they are looked for by runs of ROWS of them.
+SIMILAR = 0.8
+HASHES, ROWS = 128, 4
 #: Log-odds that a document must reach to be rejected: more than one word of
 #: the least evidence gives, less than one word that is well attested.
 THRESHOLD = 4.5
@@ -94,30 +101,45 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-def signature(text: str) -> tuple[int, int]:
-    """Two hashes that near copies mostly share: of the longest word, and the least
-    hash of a long word."""
-    tokens = text.split()
-    return (zlib.crc32(max(tokens, key=len, default="").encode()),
-            min((zlib.crc32(w.encode()) for w in tokens if len(w) > 6), default=0))
+def minhashes(texts: list[bytes]) -> list[bytes]:
+    """HASHES least hashes of each text's 5-word shingles; nothing for a text without words."""
+    seeds = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return [np.array([mix(s ^ x).min() for x in seeds]).tobytes() if len(s) else b"" for part in chunks(texts) for s in shingle_sets(part)]
+
+
+def near_copies(rows: list[tuple[int, int, bytes]]) -> set[tuple[int, int]]:
+    """(h, pattern) of the rows (h, pattern, minhashes) that are near copies of another
+    row, with the same pattern, that is not among them."""
+    first: dict[tuple, np.ndarray] = {}
+    out = set()
+    for h, pattern, raw in sorted(rows):
+        if not raw:
+            continue
+        own = np.frombuffer(raw, np.uint64)
+        keys = [(pattern, i, raw[8 * i:8 * (i + ROWS)]) for i in range(0, HASHES, ROWS)]
+        others = {id(first[k]): first[k] for k in keys if k in first}.values()
+        if any((own == x).mean() >= SIMILAR for x in others):
+            out.add((h, pattern))
+        else:
+            for k in keys:
+                first.setdefault(k, own)
+    return out
 
 
 def votes(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, h, sig1, sig2, pattern): every document's votes as base-3 digits and
-    its signature."""
+    """(doc_id, h, pattern): every document's votes as base-3 digits."""
 
     def run(batches):
         for b in batches:
             code = [sum(v * 3 ** (i + 1) for i, v in enumerate(marks(t))) for t in _texts(b)]
-            sig = [signature(t) for t in _texts(b)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "sig1": [x for x, _ in sig], "sig2": [x for _, x in sig], "code": code})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "code": code})
 
-    own = keyed(docs).withColumn("doc_id", id_text("doc_id")).mapInPandas(run, "doc_id string, h bigint, sig1 bigint, sig2 bigint, code int")
+    own = keyed(docs).withColumn("doc_id", id_text("doc_id")).mapInPandas(run, "doc_id string, h bigint, code int")
     own = own.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), BAD).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), GOOD)
     human = labels.select(F.col("doc_id").alias("_id"), bad.alias("vote")).filter("_id is not null and vote is not null").groupBy("_id").agg(F.max("vote").alias("vote"))
     rows = own.join(human, F.col("doc_id") == F.col("_id"), "left")
-    return rows.select("doc_id", "h", "sig1", "sig2", (F.col("code") + F.coalesce("vote", F.lit(NONE))).alias("pattern"))
+    return rows.select("doc_id", "h", (F.col("code") + F.coalesce("vote", F.lit(NONE))).alias("pattern"))
 
 
 def digits(pattern: int) -> list[int]:
@@ -161,19 +183,33 @@ def fit_labellers(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int,
     return dict(zip(patterns, p.tolist())), accuracy
 
 
-def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], n_voted: int, sample: int = SAMPLE) -> tuple[dict[int, float], float]:
+def training_texts(docs: DataFrame, voted: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, set[tuple[int, int]]]:
+    """(h, pattern, text) of the distinct texts that training reads, and the (h, pattern)
+    of those that are near copies of others."""
+    known = voted.filter("pattern > 0").select("h", "pattern").distinct()
+    share = min(1.0, sample / max(known.count(), 1))
+    chosen = F.pmod(F.xxhash64(F.lit("fit"), "h"), F.lit(1_000_000)) < int(share * 1_000_000)
+    wanted = F.broadcast(known.filter(chosen))  # about ``sample`` rows
+    some = stored(keyed(docs).join(wanted, "h").groupBy("h", "pattern").agg(F.min("text").alias("text")), "texts")
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"h": b["h"], "pattern": b["pattern"], "least": minhashes([t.encode() for t in _texts(b)])})
+
+    least = some.mapInPandas(run, "h bigint, pattern int, least binary").collect()  # a KB for each of the sample
+    return some, near_copies([(r["h"], r["pattern"], bytes(r["least"])) for r in least])
+
+
+def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], sample: int = SAMPLE) -> tuple[dict[int, float], float]:
     """(weight of each kept bucket, bias) from the posterior labels of the sample."""
-    share = min(1.0, sample / max(n_voted, 1))
-    chosen = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    some = keyed(docs.filter(chosen)).join(
-        voted.filter(chosen & (F.col("pattern") > 0)).distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "sig1", "sig2", "pattern"),
-        F.expr("doc_id <=> _id and h = _h")).groupBy("sig1", "pattern").agg(F.min(F.struct("sig2", "text")).alias("d"))
-    some = some.groupBy("d.sig2", "pattern").agg(F.min("d.text").alias("text"))
+    some, copies = training_texts(docs, voted, sample)
 
     def run(batches):
         for b in batches:
             total: dict[int, list[float]] = {-1: [0.0, 0.0]}
-            for t, pattern in zip(_texts(b), b["pattern"]):
+            for h, t, pattern in zip(b["h"], _texts(b), b["pattern"]):
+                if (h, pattern) in copies:
+                    continue
                 p = posterior[pattern]
                 for f in (-1, *features(t, marks(t))):
                     row = total.setdefault(f, [0.0, 0.0])
@@ -204,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     voted = stored(votes(docs, labels), "votes")
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded: 3^labellers
     posterior, accuracy = fit_labellers(counts)
-    weights, bias = train(docs, voted, posterior, sum(n for p, n in counts.items() if p), sample)
+    weights, bias = train(docs, voted, posterior, sample)
     for h in HEURISTICS:  # a mark too rare to be learned still counts
         weights.setdefault(mark_bucket(h), THRESHOLD + 1 - bias)
     return weights, bias, accuracy

@@ -72,3 +72,24 @@ def test_odd_rows(spark, odd_docs, no_docs, odd_labels):
 def test_scores_do_not_depend_on_partitions(odd_docs, odd_labels):
     one = sorted(map(tuple, Q.classify(odd_docs, odd_labels).collect()), key=str)
     assert sorted(map(tuple, Q.classify(odd_docs.repartition(7), odd_labels).collect()), key=str) == one
+
+
+def test_only_copies_are_left_out_of_the_fit(spark):
+    """Unrelated texts that share their longest word and their long words all count; of
+    equal and of nearly equal texts with the same votes one does."""
+    rng = random.Random(8)
+
+    def text(n=60):
+        return " ".join(["incomprehensibilities"] + [f"w{rng.randrange(4000)}" for _ in range(n)])
+
+    long = text(300)
+    texts = [text() for _ in range(50)] + [long, long, long + " more", text()[:0], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
+    some, copies = Q.training_texts(docs, Q.votes(docs, labels))
+    assert some.count() == 54 and len(copies) == 1
+    left = {r["text"] for r in some.collect() if (r["h"], r["pattern"]) not in copies}
+    assert set(texts[:50]) <= left and len(left & {long, long + " more"}) == 1
+    halves = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
+    some, copies = Q.training_texts(docs, Q.votes(docs, halves))
+    assert some.filter(F.col("text") == long).count() == 2  # votes differ: both count

@@ -2,14 +2,16 @@
 
 1. Overlapping labellers vote good, bad or nothing on every document: the
    human labels where there are some, and heuristics for symbol junk, table
-   debris, shouting, repetition and abuse.
+   debris, shouting, repetition and abuse (a share of all words, whatever the length).
 2. Expectation-maximisation over the counts of vote patterns (at most 3 to the
    number of labellers, whatever the corpus size) estimates how often each
    labeller casts each vote on bad and on good documents; that gives every
    pattern the probability of being bad.
-3. These posterior labels train a hashed linear scorer: presence of words and
-   of structural marks, hashed to ``BUCKETS``, weighted by the log-odds between
-   bad and good.  Only marks of bad documents that are large and significant are
+3. These posterior labels train a hashed linear scorer: words, hashed to
+   ``BUCKETS``, and structural marks, weighted by the log-odds between bad and
+   good.  In a score a word counts whole if it is one of every ``WORD_SPAN`` words at
+   least, and less the rarer it is in the text.  A structural mark of fewer than ``MIN_BAD`` documents
+   rejects; of more, it weighs what was learned, or nothing.  Only marks of bad documents that are large and significant are
    kept, so rare words add no noise.  A group of copies does not count as many: of
    equal texts with equal votes one is read, and of near copies (``SIMILAR`` of their
    5-word shingles, by minhashes) with equal votes one counts.  Of the distinct texts
@@ -20,8 +22,8 @@
 Null or empty texts have no words; only the bias counts and they are kept
 unless labelled patterns say otherwise.  Repeated rows get equal results.
 Labels with null in both columns are no vote; of repeated labels the worst
-counts.  Without labels or documents nothing is learned and the heuristics'
-own marks decide.  Extra columns are ignored.
+counts.  Without documents, or with fewer than ``MIN_BAD`` labelled good to compare
+with, the heuristics' own marks decide where nothing is learned.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import math
 import operator
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +62,16 @@ UNLABELLED_WEIGHT = 0.05
 HEURISTICS = ("symbols", "separators", "shouting", "repetition", "abuse")
 LABELLERS = ("human", *HEURISTICS)
 NONE, GOOD, BAD = 0, 1, 2
-ABUSE = frozenset("idiot moron stupid pathetic worthless disgusting loser scum trash clown".split())
+#: Words of text that one insult speaks for, and that one occurrence of a learned word does.
+ABUSE_SPAN, WORD_SPAN = 200, 1000
+#: Common insults; what else is abuse in a corpus is learned from its labels.
+ABUSE = frozenset("""
+asshole bastard bitch bullshit cretin dimwit disgusting douchebag dumbass halfwit idiot idiots imbecile jackass jerk loser losers
+lowlife moron morons nitwit pathetic retard scum scumbag stupid worthless
+abschaum arschloch dummkopf hurensohn idioten missgeburt mistkerl schwachkopf trottel vollidiot wichser
+abruti connard connasse crétin débile enculé idiote imbécile minable salaud salope
+cabrón capullo cretino estúpida estúpido gilipollas idiota imbécil pendejo tarado
+""".split())
 _WORD = re.compile(r"[^\W_]+")
 _SYMBOLS = re.compile(r"[%&$#*!~^]{2,}(?=\s|$)")
 
@@ -70,12 +82,14 @@ def marks(text: str) -> tuple[int, ...]:
     n = len(tokens)
     if not n:
         return (NONE,) * len(HEURISTICS)
+    words = _WORD.findall(text.lower())
+    abuse = sum(map(ABUSE.__contains__, words))
     shares = (
         len(_SYMBOLS.findall(text)) / n >= 0.3,
         tokens.count("|") / n >= 0.15,
         n >= 5 and sum(map(str.isupper, tokens)) / n >= 0.5,
         n >= 5 and sum(map(operator.eq, tokens, tokens[1:])) / n >= 0.3,
-        not ABUSE.isdisjoint(_WORD.findall(text.lower())),
+        abuse > 0 and abuse * ABUSE_SPAN >= len(words),
     )
     return tuple(BAD if x else NONE for x in shares)
 
@@ -85,12 +99,20 @@ def _bucket(feature: str) -> int:
 
 
 def mark_bucket(heuristic: str) -> int:
-    return _bucket("\0" + heuristic)
+    return BUCKETS + HEURISTICS.index(heuristic)  # apart from the words
 
 
-def features(text: str, mark: tuple[int, ...]) -> set[int]:
-    """Hashed buckets of the text's words and of its structural marks."""
-    return {_bucket(w) for w in set(_WORD.findall(text.lower()))} | {mark_bucket(h) for h, m in zip(HEURISTICS, mark) if m == BAD}
+def features(text: str, mark: tuple[int, ...]) -> dict[int, float]:
+    """How much (0 to 1) the text shows of the buckets of its words and of its
+    structural marks."""
+    words = _WORD.findall(text.lower())
+    counts: dict[int, int] = {}
+    for w, k in Counter(words).items():
+        f = _bucket(w)
+        counts[f] = counts.get(f, 0) + k
+    shown = {f: min(1.0, k * WORD_SPAN / len(words)) for f, k in counts.items()}
+    shown.update((mark_bucket(h), 1.0) for h, m in zip(HEURISTICS, mark) if m == BAD)
+    return shown
 
 
 def _texts(batch: pd.DataFrame) -> Iterator[str]:
@@ -206,11 +228,13 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], sample
 
     def run(batches):
         for b in batches:
-            total: dict[int, list[float]] = {-1: [0.0, 0.0]}
+            # of all documents, and of those that a label calls good
+            total: dict[int, list[float]] = {-1: [0.0, 0.0], -2: [0.0, 0.0]}
             for h, t, pattern in zip(b["h"], _texts(b), b["pattern"]):
                 if (h, pattern) in copies:
                     continue
                 p = posterior[pattern]
+                total[-2][1] += pattern % 3 == GOOD
                 for f in (-1, *features(t, marks(t))):
                     row = total.setdefault(f, [0.0, 0.0])
                     row[0] += p
@@ -219,12 +243,18 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], sample
             yield pd.DataFrame({"bucket": list(total), "bad": [round(x[0] * 1e6) for x in total.values()], "good": [round(x[1] * 1e6) for x in total.values()]})
 
     sums = some.mapInPandas(run, "bucket int, bad bigint, good bigint").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    t = sums.filter(F.col("bad") >= MIN_BAD * 1_000_000).toPandas()  # at most sample * words / MIN_BAD rows, and BUCKETS + 1
-    total = t[t.bucket == -1]
-    if not len(total):
-        return {}, 0.0
-    all_bad, all_good = total.bad.iloc[0] / 1e6, total.good.iloc[0] / 1e6
-    t = t[t.bucket >= 0].sort_values("bucket")
+    own = (F.col("bucket") < 0) | (F.col("bucket") >= BUCKETS)  # totals and structural marks
+    t = sums.filter(own | (F.col("bad") >= MIN_BAD * 1_000_000)).toPandas()  # at most sample * words / MIN_BAD rows, and BUCKETS + 7
+    count = {r.bucket: (r.bad / 1e6, r.good / 1e6) for r in t[(t.bucket < 0) | (t.bucket >= BUCKETS)].itertuples()}
+    all_bad, all_good = count.get(-1, (0.0, 0.0))
+    bias = math.log((all_bad + 0.5) / (all_good + 0.5)) if all_bad >= MIN_BAD else 0.0
+    # a mark too rare to be learned, or that no document labelled good could refute, still counts
+    compared = count.get(-2, (0.0, 0.0))[1] >= MIN_BAD
+    rare = [f for f in map(mark_bucket, HEURISTICS) if not compared or sum(count.get(f, (0.0, 0.0))) < MIN_BAD]
+    default = dict.fromkeys(rare, THRESHOLD + 1 - bias)
+    if all_bad < MIN_BAD:
+        return default, bias
+    t = t[(t.bucket >= 0) & (t.bad >= MIN_BAD * 1_000_000)].sort_values("bucket")
     a, b = t.bad.to_numpy() / 1e6 + 0.5, t.good.to_numpy() / 1e6 + 0.5
     c, d = np.maximum(all_bad - a + 1, 0.5), np.maximum(all_good - b + 1, 0.5)
     weight = np.log(a / c) - np.log(b / d)
@@ -232,7 +262,7 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], sample
     share = all_bad / (all_bad + all_good)
     ratio = 2 * (a * np.log(a / ((a + b) * share)) + b * np.log(b / ((a + b) * (1 - share))))
     keep = (weight >= MIN_WEIGHT) & (np.sqrt(np.maximum(ratio, 0)) >= MIN_SIGNIFICANCE)
-    return dict(zip(t.bucket[keep].tolist(), weight[keep].tolist())), math.log((all_bad + 0.5) / (all_good + 0.5))
+    return default | dict(zip(t.bucket[keep].tolist(), weight[keep].tolist())), bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], float, dict[str, float]]:
@@ -241,8 +271,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded: 3^labellers
     posterior, accuracy = fit_labellers(counts)
     weights, bias = train(docs, voted, posterior, sample)
-    for h in HEURISTICS:  # a mark too rare to be learned still counts
-        weights.setdefault(mark_bucket(h), THRESHOLD + 1 - bias)
     return weights, bias, accuracy
 
 
@@ -254,7 +282,7 @@ def score(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
     def scorer(texts: pd.Series) -> pd.Series:
         w = kept.value
         plain = (t if isinstance(t, str) else "" for t in texts)
-        return pd.Series([bias + math.fsum(w[f] for f in features(t, marks(t)) if f in w) for t in plain], dtype="float64")
+        return pd.Series([bias + math.fsum(w[f] * x for f, x in features(t, marks(t)).items() if f in w) for t in plain], dtype="float64")
 
     return docs.withColumn("score", scorer(F.col("text")))
 

@@ -93,3 +93,40 @@ def test_only_copies_are_left_out_of_the_fit(spark):
     halves = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
     some, copies = Q.training_texts(docs, Q.votes(docs, halves))
     assert some.filter(F.col("text") == long).count() == 2  # votes differ: both count
+
+
+def test_a_long_good_text_may_quote_an_insult(spark):
+    """Words that labels or the list call abuse reject short texts, not a long text,
+    labelled good, that has each of them once."""
+    rng = random.Random(9)
+
+    def text(n, *more):
+        words = [f"w{rng.randrange(4000)}" for _ in range(n)] + list(more)
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(i, text(60, "trash", "stupid"), 1, 1) for i in range(60)] + [(100 + i, text(60), 1, 0) for i in range(150)]
+    rows += [(300, text(20_000, "trash", "stupid"), 1, 0), (301, text(60, "trash", "stupid"), None, None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id bigint, quality int, toxic int")
+    rejected = {r["doc_id"] for r in Q.classify(docs, labels).filter("rejected").collect()}
+    assert rejected == {*range(60), 301}
+
+
+def test_refuted_marks_weigh_nothing(spark):
+    """A heuristic that labels refute rejects nothing; one seen too rarely, or that no
+    label can refute, still does."""
+    rng = random.Random(10)
+
+    def text(n):
+        return " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+
+    rows = [(i, " | ".join(text(30).split()), 1) for i in range(40)]  # tables, labelled good
+    rows += [(100 + i, "no " * 40 + text(20), 0) for i in range(40)] + [(200 + i, text(60), 1) for i in range(100)]
+    rows += [(300, text(20).upper(), None)]  # the only one that shouts
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if q is not None], "doc_id bigint, quality int, toxic int")
+    rejected = {r["doc_id"] for r in Q.classify(docs, labels).filter("rejected").collect()}
+    assert rejected == {*range(100, 140), 300}
+    alone = {r["doc_id"] for r in Q.classify(docs, labels.limit(0)).filter("rejected").collect()}
+    assert alone >= {*range(40), *range(100, 140), 300}

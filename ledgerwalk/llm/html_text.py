@@ -52,10 +52,11 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "in_table")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+        self.in_table = tag == "table" or parent is not None and parent.in_table
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -124,6 +125,8 @@ def build_tree(source: str) -> Node:
             continue
         if tag in CLOSES_P:
             close({"p"}, {"td", "th", "caption", "table", "button", "object"})
+        if tag in ("tr", "thead", "tbody", "tfoot") and not stack[-1].in_table:
+            continue  # as browsers do
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):

@@ -22,6 +22,7 @@ CASES = [
     ("a < b and <unclosed", "a < b and"),
     ("<dl><dt>t<dd>d</dl><q>hi</q>", "t\nd\n\n“hi”"),
     ("<a title='x > y'>link</a>", "link"), ("</p></div></b>x", "x"),
+    ("<tr>x", "x"), ("<tbody><p>x", "x"), ("</table><tr>x", "x"), ("<table><tr><td>a</table></table><tr><td>b<p>c", "a\n\nb\n\nc"),
 ]
 
 

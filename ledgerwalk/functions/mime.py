@@ -25,29 +25,41 @@ def _unsigned(h: Column, offset: Column, size: int, little: Column) -> Column:
     return F.conv(F.when(little, F.concat(*big[::-1])).otherwise(F.concat(*big)), 16, 10).cast("bigint")
 
 
+def _bind(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` evaluated once."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _tiff_type(c: Column) -> Column:
     """TIFF container: the camera formats that share it are told apart by the
-    entries of the first directory (Make and DNGVersion)."""
-    def of(h: Column) -> Column:
-        little = h.startswith("4949")
-        first = _unsigned(h, F.lit(4), 4, little)
-        known = (F.length(h) >= 16) & (F.length(h) >= (first + 2) * 2)
-        count = F.when(known, _unsigned(h, first, 2, little)).otherwise(0)
-        there = F.least(count, F.floor((F.length(h) / 2 - first - 2) / 12))
-        entries = F.when(there > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), there - 1), lambda i: first + 2 + i * 12)) \
-            .otherwise(F.array().cast("array<bigint>"))
-        dng = F.exists(entries, lambda at: _unsigned(h, at, 2, little) == TIFF_DNG_VERSION)
-        make = F.element_at(F.concat(F.transform(
-            F.filter(entries, lambda at: _unsigned(h, at, 2, little) == TIFF_MAKE),
-            lambda at: F.substring(h, F.when(_unsigned(h, at + 4, 4, little) > 4, _unsigned(h, at + 8, 4, little))
-                                   .otherwise(at + 8).cast("int") * 2 + 1, F.lit(10))), F.array(F.lit(""))), 1)
-        return (F.when(dng, F.lit("image/x-adobe-dng"))
-                .when(make.startswith(_hex("NIKON")), F.lit("image/x-nikon-nef"))
-                .when(make.startswith(_hex("SONY")), F.lit("image/x-sony-arw"))
-                .otherwise(F.lit("image/tiff")))
-
-    # bind the hex text once
-    return F.element_at(F.transform(F.array(F.hex(F.substring(c, 1, 1 << 16))), of), 1)
+    entries of the first directory (Make and DNGVersion), wherever it lies."""
+    def of(x: Column) -> Column:
+        head = F.hex(F.substring(x, 1, 8))
+        little = head.startswith("4949")
+        first = _unsigned(head, F.lit(4), 4, little)
+        at = F.when((F.length(x) >= 8) & (F.length(x) >= first + 2), first).otherwise(F.length(x)).cast("int")
+        count = F.coalesce(_unsigned(F.hex(F.substring(x, at + 1, F.lit(2))), F.lit(0), 2, little), F.lit(0))
+
+        def text(e: Column) -> Column:
+            offset = _unsigned(e, F.lit(8), 4, little)
+            far = F.hex(F.substring(x, F.least(offset, F.length(x)).cast("int") + 1, F.lit(5)))
+            return F.when(_unsigned(e, F.lit(4), 4, little) > 4, far).otherwise(F.substring(e, 17, 8))
+
+        def by_entries(d: Column) -> Column:
+            n = F.floor(F.length(d) / 24)
+            entries = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.substring(d, (i * 24 + 1).cast("int"), F.lit(24)))) \
+                .otherwise(F.array().cast("array<string>"))
+            dng = F.exists(entries, lambda e: _unsigned(e, F.lit(0), 2, little) == TIFF_DNG_VERSION)
+            made = F.filter(entries, lambda e: _unsigned(e, F.lit(0), 2, little) == TIFF_MAKE)
+            make = F.element_at(F.concat(F.transform(made, text), F.array(F.lit(""))), 1)
+            return (F.when(dng, F.lit("image/x-adobe-dng"))
+                    .when(make.startswith(_hex("NIKON")), F.lit("image/x-nikon-nef"))
+                    .when(make.startswith(_hex("SONY")), F.lit("image/x-sony-arw"))
+                    .otherwise(F.lit("image/tiff")))
+
+        return _bind(F.hex(F.substring(x, at + 3, (count * 12).cast("int"))), by_entries)
+
+    return _bind(c, of)
 
 
 def _hex(s: str) -> str:
@@ -56,8 +68,8 @@ def _hex(s: str) -> str:
 
 def sniff_mime(content: Column | str, is_text: Column | None = None) -> Column:
     """MIME type of a binary ``content`` column.  ``is_text`` is the text test of
-    the whole content where ``content`` is only its head; without it the test is
-    made here."""
+    the whole content where ``content`` is only its head (as ``read_heads`` gives
+    it); without it the test is made here."""
     c = _c(content)
     h = F.hex(F.substring(c, 1, 16))          # upper-case hex of 16 leading bytes
     brand = F.substring(h, 17, 8)             # bytes 9..12

@@ -5,14 +5,16 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.mime import TEXT_CONTROL_RE
+from ..functions.mime import TEXT_CONTROL_RE, TIFF_DNG_VERSION, TIFF_MAKE
 
 _CHUNK = 1 << 20
 
@@ -51,10 +53,31 @@ def hash_files(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
     return items.select("id", path_col).mapInArrow(run, schema)
 
 
-HEAD_BYTES = 1 << 16  # signatures, EBML headers and TIFF directories lie in here
+HEAD_BYTES = 1 << 16  # signatures and EBML headers lie in here
 _TEXT_CONTROL = re.compile(TEXT_CONTROL_RE.encode("latin-1"))
 
 
+def _tiff_head(f: BinaryIO, head: bytes) -> bytes:
+    """The head of a TIFF file with those entries of its first directory, wherever that
+    lies, that tell its type: they follow the first 16 bytes, then the maker's text."""
+    order = "<" if head[:2] == b"II" else ">"
+    f.seek(struct.unpack_from(order + "I", head, 4)[0])
+    raw = f.read(2)
+    directory = f.read(12 * struct.unpack(order + "H", raw)[0]) if len(raw) == 2 else b""
+    entries = [directory[i:i + 12] for i in range(0, len(directory) - 11, 12)]
+    kept, text = [], b""
+    for tag in (TIFF_MAKE, TIFF_DNG_VERSION):
+        kept += [e for e in entries if struct.unpack_from(order + "H", e)[0] == tag][:1]
+    at = 16 + 2 + 12 * len(kept)
+    for i, e in enumerate(kept):
+        tag, kind, size, offset = struct.unpack(order + "HHII", e)
+        if tag == TIFF_MAKE and size > 4:
+            f.seek(offset)
+            text = f.read(min(size, 64))
+            kept[i] = struct.pack(order + "HHII", tag, kind, size, at)
+    return head[:4] + struct.pack(order + "I", 16) + head[8:16].ljust(8, b"\0") + struct.pack(order + "H", len(kept)) + b"".join(kept) + text
+
+
 def _head_and_text(path: str) -> tuple[bytes | None, bool | None]:
     """The head of a file, and whether all of it is text: valid UTF-8 without
     control bytes, decoded chunk by chunk to the end."""
@@ -73,14 +96,16 @@ def _head_and_text(path: str) -> tuple[bytes | None, bool | None]:
                     text = False
                 if not b:
                     break
+            if head[:4] in (b"II*\0", b"MM\0*") and len(head) >= 8:
+                head = _tiff_head(f, head)
     except OSError:
         return None, None
     return head, text
 
 
 def read_heads(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
-    """items + ``head`` (the first ``HEAD_BYTES`` bytes of each file, NULL when
-    unreadable) and ``is_text`` (a test of the whole file)."""
+    """items + ``head`` (the first ``HEAD_BYTES`` bytes of each file, of TIFF files
+    what tells their type; NULL when unreadable) and ``is_text`` (a test of the whole file)."""
     from ..session import ship_package
     ship_package(items.sparkSession)
     schema = T.StructType(list(items.schema.fields) + [T.StructField("head", T.BinaryType()), T.StructField("is_text", T.BooleanType())])

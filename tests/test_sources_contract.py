@@ -145,6 +145,35 @@ def test_one_mime_answer_whatever_the_size(spark):
     assert all(r.a == r.b for r in got)
 
 
+def test_tiff_directories_behind_the_data(spark):
+    """The first directory, or the maker's text, behind 100 KB of pixels: by file and by row."""
+    import struct
+
+    from ledgerwalk.functions import sniff_mime
+    from ledgerwalk.sources import read_heads
+
+    def late(order, tag, value, near=False):
+        pixels, raw = b"\x00\xff" * 50_000, value.encode() + b"\0"
+        first = 8 if near else 8 + len(pixels)
+        at = 8 + 18 + len(pixels) if near else first + 18
+        head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, first)
+        entry = struct.pack(order + "HHHII", 1, tag, 2, len(raw), at) + b"\0" * 4
+        return head + (entry + pixels + raw if near else pixels + entry + raw)
+
+    root = tempfile.mkdtemp(prefix="lw-tiff-")
+    data = {"a": (late("<", 0x10F, "NIKON CORPORATION"), "image/x-nikon-nef"), "b": (late(">", 0x10F, "SONY"), "image/x-sony-arw"),
+            "c": (late("<", 0xC612, "1.4.0"), "image/x-adobe-dng"), "d": (late(">", 0x10F, "NIKON", near=True), "image/x-nikon-nef"),
+            "e": (late("<", 0x10F, "Canon"), "image/tiff"), "f": (late("<", 0x10F, "SONY")[:90_000], "image/tiff"),
+            "g": (b"II*\0\xff\xff\xff\xff", "image/tiff"), "h": (b"II*\0\x10\0\0\0CR\2\0", "image/x-canon-cr2"), "i": (b"MM\0*\0", "image/tiff")}
+    for name, (content, _) in data.items():
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(content)
+    rows = spark.createDataFrame([(os.path.join(root, n), bytearray(c)) for n, (c, _) in data.items()], "abs_path string, whole binary")
+    got = read_heads(rows).select("abs_path", sniff_mime("head", F.col("is_text")).alias("a"), sniff_mime("whole").alias("b")).collect()
+    want = {n: (t, t) for n, (_, t) in data.items()}
+    assert {os.path.basename(r.abs_path): (r.a, r.b) for r in got} == want
+
+
 def test_costly_work_is_done_once(spark):
     """Listing, hash results and MIME results are evaluated once a row, however many
     outputs read them."""

@@ -1,9 +1,11 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated byte strings by fingerprints of sampled grams.
 
 A byte goes if a string of ``length`` bytes that covers it also starts
-anywhere else in the corpus, the same document included.  Strings are compared
-by their bucket: all starts of equal strings are in one bucket, and buckets
-are refined until that is decided.
+anywhere else in the corpus, the same document included.  This is not
+bucket-pointer refinement, which it replaces: nothing is sorted on the buckets
+of later offsets and no update is used again.  Minimum-hash q-grams are
+sampled, whole runs are grouped by a polynomial hash of all their bytes, and
+the rest is settled in one step by a hash of the whole string.
 
 1. Initial buckets are q-grams of ``length // 2 + 1`` bytes, but only at
    sampled offsets: of every window of starts the gram with the least hash.  A

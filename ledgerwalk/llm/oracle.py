@@ -6,7 +6,7 @@ window by window, top-k scores by a full join, the mix by plain windows."""
 
 from __future__ import annotations
 
-from . import decontam, secret_scan, sharding
+from . import collocations, decontam, secret_scan, sharding
 
 
 def _quoted(s: str) -> str:
@@ -136,5 +136,41 @@ JACCARD_SQL = f"""
 WITH RECURSIVE {jaccard_ctes("documents")}
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM jd JOIN comp USING (rid) LEFT JOIN sn USING (rid)"""
 
+
+TRIE_SQL = """
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 6 AS h FROM ids),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations),
+reb AS (SELECT convs.c, 0 AS own, pos, r, x FROM convs JOIN t ON t.c = b AND pos <= h UNION ALL SELECT convs.c, 1, pos, r, x FROM convs JOIN t USING (c) WHERE pos > h),
+seq AS (SELECT c, coalesce(list({'r': r, 'x': x} ORDER BY own, pos) FILTER (r IS NOT NULL), []) AS s FROM ids LEFT JOIN reb USING (c) GROUP BY c),
+pre AS (SELECT c, d, s[1:d] AS p, len(s) = d AS fin FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM seq)),
+node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (fin), '')) AS ends FROM pre GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(p[d].x) END AS saved FROM node LEFT JOIN kids USING (p)),
+up AS (SELECT p[1:k] AS p, n_children, saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM full_node)),
+sub AS (SELECT p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY p)
+SELECT f.conv_id, f.d AS depth, a.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN sub USING (p) LEFT JOIN node a ON f.d > 0 AND a.d = f.d - 1 AND a.p = f.p[1:f.d - 1]"""
+
+COLLOCATIONS_SQL = f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(s, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece),
+g AS (SELECT lang, k, w[i:i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k))),
+f AS (SELECT lang, k, p, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND a >= {collocations.MIN_COUNT}),
+ways AS (SELECT lang, k, p, a, ck, p[1:ck] AS lp, p[ck + 1:k] AS rp FROM (SELECT *, unnest(range(1, k)) AS ck FROM cand)),
+cut AS (SELECT c.lang, c.p, c.k, c.a, ck, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+        FROM ways c JOIN f l ON l.lang = c.lang AND l.p = c.lp JOIN f r ON r.lang = c.lang AND r.p = c.rp),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, ck) = 1),
+longer AS (SELECT lang, p[1:2] AS p, a, 0 AS lf, 1 AS rt FROM cand WHERE k = 3 UNION ALL SELECT lang, p[2:3], a, 1, 0 FROM cand WHERE k = 3),
+most AS (SELECT lang, p, max(a) AS most, sum(lf)::BIGINT AS lefts, sum(rt)::BIGINT AS rights FROM longer GROUP BY lang, p),
+kept AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase, coalesce(lefts, 0) AS lefts, coalesce(rights, 0) AS rights FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.p = b.p
+         WHERE most IS NULL OR 100 * most < {collocations.ABSORBED_PCT} * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score, lefts, rights FROM ranked JOIN n USING (lang) WHERE rank <= {collocations.TOP}"""
+
 ORACLE = {"op1_secret_scan": _secret_sql(), "op2_warc": WARC_SQL, "op3_exact_topk": TOPK_SQL, "op4_sharding": _shard_sql(), "op5_decontamination": DECONTAM_SQL, "op8_jaccard_join": JACCARD_SQL,
-          "op10_mixing": MIX_SQL}
+          "op10_mixing": MIX_SQL, "op11_prefix_trie": TRIE_SQL, "op12_collocations": COLLOCATIONS_SQL}

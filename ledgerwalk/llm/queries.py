@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, jaccard, mixing, quality, repeats, secret_scan, sharding, topk, warc
+from . import (collocations, decontam, html_text, jaccard, mixing, packing, prefix_trie, quality, repeats, secret_scan,
+               sharding, topk, warc)
 from .common import read, scratch, stored
 
 
@@ -51,6 +52,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(prefix_trie.prefix_trie(read(spark, sf_dir, "conversations")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(collocations.collocations(read(spark, sf_dir, "documents")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.checksums(packing.pack(read(spark, sf_dir, "documents")))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_exact_topk, op4_sharding, op5_decontamination,
                                   op6_html_text, op7_quality, op8_jaccard_join,
-                                  op9_repeat_removal, op10_mixing)}
+                                  op9_repeat_removal, op10_mixing, op11_prefix_trie, op12_collocations, op13_packing)}

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,58 +48,79 @@ VOCABULARY = "word_bpe_49k.json"
 #: Rows handed to a Python worker at a time, and bytes of text tokenised at a time.
 DOC_ROWS, CHUNK = 512, 8_000_000
 #: Words whose ids a worker remembers, and words tokenised in one call.
-REMEMBERED, CALL = 400_000, 10_000
+REMEMBERED, CALL = 1_000_000, 10_000
 STEPS = 400
 
 _BLANKS = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
+_LOWER_BLANKS = bytes(b + 32 if 65 <= b <= 90 else b for b in _BLANKS)
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _MARK = np.array([chr(b) in ".,;:!?" for b in range(256)])
 
 
+class Lexicon:
+    """A tokenizer and the ids of the words it has met, at most REMEMBERED and those of
+    one chunk of text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        ids, sizes = [self.ids], [self.sizes]
+        for k in range(0, len(words), CALL):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words[k:k + CALL], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            ids.append(np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes[-1].sum())))
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        fresh = [w for w in words if w not in self.at]
+        if len(self.at) + len(fresh) > REMEMBERED:
+            self.forget()
+            fresh = words
+        if fresh:
+            self.learn(fresh)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _lexicon(path: str) -> Lexicon:
     import os
-
-    from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_file(path), {}
+    return Lexicon(path)
 
 
 def encode_texts(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """The token ids of all texts, one after another, and the number of ids of each.
 
-    No token crosses white space, nor the place between an ASCII letter and one of
-    ``.,;:!?`` before white space, so each different word is tokenised once."""
-    tokenizer, known = _tokenizer(path)
-    data = np.frombuffer((b" ".join(texts) + b" ").translate(_BLANKS), np.uint8)
+    No token crosses white space, nor the place between a letter (ASCII or Latin-1)
+    and one of ``.,;:!?`` before white space, and the tokenizer ignores case, but for
+    the names of its own tokens: so each different word is tokenised once."""
+    whole = b" ".join(texts) + b" "
+    data = np.frombuffer(whole.translate(_BLANKS if b"<|" in whole else _LOWER_BLANKS), np.uint8)
     blank = data == 32
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     if not len(ends):
         return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-    marks = np.flatnonzero(_MARK[data[1:-1]] & _LETTER[data[:-2]] & blank[2:]) + 1
-    ends = np.sort(np.concatenate((ends, marks)))
-    kept = data[~blank]
-    offsets = np.concatenate(([0], np.cumsum(~blank)[ends - 1]))
-    words = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
-    spelt = words.dictionary.to_pylist()
-    fresh = [w for w in spelt if w not in known]
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = spelt
-    for k in range(0, len(fresh), CALL):
-        some = fresh[k:k + CALL]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-    coded = [known[w] for w in spelt]
-    if len(known) > REMEMBERED:
-        known.clear()
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    flat = np.frombuffer(b"".join(coded), np.uint32)
-    at = words.indices.to_numpy()
-    n = sizes[at]
+    marks = ends[ends > 2] - 1
+    marks = marks[_MARK[data[marks]]]
+    before, two_before = data[marks - 1], data[marks - 2]
+    marks = marks[_LETTER[before] | ((two_before == 0xC3) & (before != 0x97) & (before != 0xB7) & (before >= 0x80))]
+    ends = np.sort(np.concatenate((ends, marks)), kind="stable")
+    offsets = np.concatenate(([0], np.cumsum(~blank, dtype=np.int32)[ends - 1]))
+    words = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])]).dictionary_encode()
+    lexicon = _lexicon(path)
+    at = lexicon.look_up(words.dictionary.to_pylist())[words.indices.to_numpy()]
+    n = lexicon.sizes[at]
     total = np.concatenate(([0], np.cumsum(n)))
-    starts = (np.cumsum(sizes) - sizes)[at]
-    ids = flat[np.repeat(starts - total[:-1], n) + np.arange(total[-1])]
+    starts = (np.cumsum(lexicon.sizes) - lexicon.sizes)[at]
+    ids = lexicon.ids[np.repeat(starts - total[:-1], n) + np.arange(total[-1])]
     # a word belongs to the text in which it ends
     upto = np.cumsum(np.array([len(t) + 1 for t in texts]))
     per_text = np.diff(np.concatenate(([0], total[np.searchsorted(ends, upto, side="left")])))

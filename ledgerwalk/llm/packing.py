@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .common import stored
+from .common import small_side, stored
 
 WINDOW = 4096
 END_ID = 2
@@ -170,15 +170,20 @@ def tokenise(docs: DataFrame, window: int = WINDOW, path: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        ids: list[pa.Array] = []
+        texts: list[bytes] = []
+        size = 0
         for b in batches:
-            begin = size = 0
-            texts: list[bytes] = []
+            begin = 0
             for i, t in enumerate(b.column(1)):
                 texts.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
                 size += len(texts[-1]) + 1
-                if size > CHUNK or i + 1 == b.num_rows:
-                    yield pieces(b.column(0)[begin:i + 1], texts, part, seen)
-                    begin, size, texts = i + 1, 0, []
+                if size > CHUNK:
+                    yield pieces(pa.concat_arrays([*ids, b.column(0)[begin:i + 1]]), texts, part, seen)
+                    begin, size, texts, ids = i + 1, 0, [], []
+            ids.append(b.column(0)[begin:])
+        if texts:
+            yield pieces(pa.concat_arrays(ids), texts, part, seen)
 
     made = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
     return stored(made.withColumn("crc", F.crc32("ids")), "tokens", DOC_ROWS)
@@ -341,7 +346,8 @@ def ids_of(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def checksums(packing: Packing) -> DataFrame:
     """Pieces with the crc32 of their ids: that of the stored piece where it is whole;
-    of the cut ones the ids are read."""
+    of the cut ones the ids are read; those are at most one for a residual window and
+    are broadcast if a count allows it."""
     whole = packing.pieces.filter("length = whole").withColumnRenamed("crc", "ids_crc32")
-    cut = ids_of(packing.pieces.filter("length < whole").drop("crc"), packing.tokens)
+    cut = ids_of(small_side(packing.pieces.filter("length < whole").drop("crc")), packing.tokens)
     return whole.unionByName(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))

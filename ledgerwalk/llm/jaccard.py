@@ -70,8 +70,17 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def digest(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digests(tokens: np.ndarray) -> tuple[int, int]:
+    """Two halves of a set's 128-bit digest."""
+    d = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def digest(tokens: np.ndarray, met: frozenset[int] = frozenset()) -> int:
+    """A class' name: the first half of its digest, the second where different sets
+    were seen to meet in the first (``met``)."""
+    first, second = digests(tokens)
+    return second if first in met else first
 
 
 def _sets(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,8 +93,8 @@ def _sets(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def class_facts(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document (doc_id, h, n, cls, bits) or a shingle that is
-    locally common (token, df)."""
+    """Rows of two kinds: a document (doc_id, h, n, cls, second, bits) or a shingle that
+    is locally common (token, df)."""
 
     def run(batches):
         held, seen, size = [], set(), 0
@@ -93,14 +102,15 @@ def class_facts(docs: DataFrame) -> DataFrame:
         def common():
             token, df = np.unique(np.concatenate(held), return_counts=True)
             keep = df >= LOCAL_DF
-            return pd.DataFrame({"doc_id": None, "h": 0, "n": 0, "cls": 0, "bits": None, "token": token[keep].view(np.int64), "df": df[keep]})
+            return pd.DataFrame({"doc_id": None, "h": 0, "n": 0, "cls": 0, "second": 0, "bits": None, "token": token[keep].view(np.int64), "df": df[keep]})
 
         for b in batches:
-            n, cls, bits = [], [], []
+            n, cls, other, bits = [], [], [], []
             for _, s in _sets(b):
-                d = digest(s) if len(s) else 0
+                d, d2 = digests(s) if len(s) else (0, 0)
                 n.append(len(s))
                 cls.append(d)
+                other.append(d2)
                 bits.append(bitmap(s) if len(s) else None)
                 if len(s) and d not in seen:  # exact copies count once
                     seen.add(d)
@@ -109,15 +119,22 @@ def class_facts(docs: DataFrame) -> DataFrame:
                 if size > 2_000_000:
                     yield common()
                     held, seen, size = [], set(), 0
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "n": n, "cls": cls, "bits": bits, "token": 0, "df": 0})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "n": n, "cls": cls, "second": other, "bits": bits, "token": 0, "df": 0})
         if held:
             yield common()
 
     rows = docs.select(id_text("doc_id"), F.xxhash64("text").alias("h"), "text")
-    out = rows.mapInPandas(run, "doc_id string, h bigint, n int, cls bigint, bits binary, token bigint, df bigint")
+    out = rows.mapInPandas(run, "doc_id string, h bigint, n int, cls bigint, second bigint, bits binary, token bigint, df bigint")
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+def met_digests(facts: DataFrame) -> frozenset[int]:
+    """First halves that sets of different second halves have: of n classes about
+    n * n / 2**65, none below some 10**9."""
+    some = facts.filter("n > 0").groupBy("cls").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).filter("lo < hi")
+    return frozenset(r["cls"] for r in some.select("cls").collect())
+
+
 def common_tokens(facts: DataFrame) -> np.ndarray:
     """The sorted shingles to be put last: at most MAX_COMMON."""
     df = facts.filter("df > 0").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= COMMON_DF)
@@ -125,7 +142,7 @@ def common_tokens(facts: DataFrame) -> np.ndarray:
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, common: np.ndarray, met: frozenset[int]) -> DataFrame:
     """(token, cls, n) for the prefix of every class, at least once."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MAX_COMMON numbers
 
@@ -134,7 +151,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
         for b in batches:
             tokens, cls, size = [], [], []
             for _, s in _sets(b):
-                if not len(s) or (d := digest(s)) in done:
+                if not len(s) or (d := digest(s, met)) in done:
                     continue
                 done.add(d)
                 p = prefix_length(len(s))
@@ -419,7 +436,7 @@ def search_cells(members: DataFrame, sketch: DataFrame, nearest: bool) -> DataFr
     return dealt.select("cell", "i", "j", "blk", "cls", "n", "bits", "comp").mapInPandas(run, "a bigint, b bigint")
 
 
-def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, met: frozenset[int]) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their whole sets."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     chosen = stored(classes.join(needed, "cls").select(F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h")), "representatives")
@@ -429,7 +446,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     def sets(batches):
         for b in batches:
             found = [s for _, s in _sets(b) if len(s)]
-            yield pd.DataFrame({"cls": [digest(s) for s in found], "tokens": [s.tobytes() for s in found]})
+            yield pd.DataFrame({"cls": [digest(s, met) for s in found], "tokens": [s.tobytes() for s in found]})
 
     held = stored(texts.mapInPandas(sets, "cls bigint, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets", TEXT_ROWS)
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
@@ -466,10 +483,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_shingles, component_id, component) of every row of ``docs``
     (doc_id, text); ``component`` names the component by class, null for empty sets."""
     facts = stored(class_facts(docs), "facts", TEXT_ROWS)
+    met = met_digests(facts)
+    if met:
+        facts = facts.withColumn("cls", F.when(F.col("cls").isin(*met), F.col("second")).otherwise(F.col("cls")))
     documents = facts.filter("df = 0").select("doc_id", "h", "n", "cls")
     classes = stored(facts.filter("df = 0 and n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min(F.struct("doc_id", "h")).alias("rep")), "classes")
-    found = stored(cells(prefixes(docs, common_tokens(facts))), "cells", 4 * TEXT_ROWS)
+    found = stored(cells(prefixes(docs, common_tokens(facts), met)), "cells", 4 * TEXT_ROWS)
 
     sketch = classes.select("cls", "n", "bits")
     pairs = stored(found.filter("cell is null").select("a", "b").distinct(), "pairs")
@@ -482,7 +502,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             yield f.loc[keep, ["a", "b"]]
 
     candidates = stored(with_b.mapInPandas(prune, "a bigint, b bigint"), "candidates")
-    links = stored(linked(candidates, classes, docs), "links", TEXT_ROWS)
+    links = stored(linked(candidates, classes, docs, met), "links", TEXT_ROWS)
     comp = components(links)
 
     # cells in which more than one component is left: first the nearest of each class,
@@ -496,7 +516,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         open_cells = placed.join(mixed, "cell", "left_semi")
         more = stored(search_cells(open_cells, sketch, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "survivors", 4 * TEXT_ROWS)
         if more.limit(1).count():
-            links = links.unionByName(stored(linked(more, classes, docs), "links", TEXT_ROWS))
+            links = links.unionByName(stored(linked(more, classes, docs, met), "links", TEXT_ROWS))
             tested = tested.unionByName(more)
             comp = components(links)
     named = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))

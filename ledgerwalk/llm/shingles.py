@@ -1,8 +1,9 @@
 """Hashed word shingles of a batch of texts, with numpy.
 
 Words are the runs of bytes other than space and 0x09-0x0D of the UTF-8 text,
-A-Z in lower case.  A word's 64-bit hash is a polynomial over its bytes, taken
-from running sums over the batch; a shingle's mixes the hashes of its words.
+A-Z in lower case.  Every different word of a batch is hashed once, as a whole, to
+64 bits (polynomials over bytes would meet on words built for it); a shingle's
+hash mixes the hashes of its words.
 """
 
 from __future__ import annotations
@@ -10,15 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 SHINGLE = 5
 #: Bytes of text worked on at a time (a longer text is worked on alone).
 CHUNK = 1 << 19
 _RNG = np.random.default_rng(20240101)
-_TABLE = _RNG.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TABLE[65:91] = _TABLE[97:123]
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2 ** 64))
 _MULTIPLIERS = [np.uint64(int(x) | 1) for x in _RNG.integers(1, 2 ** 63, SHINGLE, dtype=np.uint64)]
@@ -35,6 +34,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+#: A-Z in lower case, every separator as a space.
+_PLAIN = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -55,15 +58,16 @@ def chunks(texts: Iterable[bytes], limit: int = CHUNK) -> Iterator[list[bytes]]:
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    buf = np.frombuffer((b" ".join(texts) + b" ").translate(_PLAIN), np.uint8)
     lengths = np.array([len(t) + 1 for t in texts])
     doc_end = np.cumsum(lengths)
-    gap = _SEPARATOR[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = powers(len(buf) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * up[:len(buf)])))
-    word = mix((total[ends] - total[starts]) * down[starts])
+    gap = buf == 32
+    ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+    offsets = np.concatenate(([0], np.cumsum(~gap)[ends - 1])) if len(ends) else np.zeros(1, np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(buf[~gap])]).dictionary_encode()
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    word = each[words.indices.to_numpy()]
+    starts = ends - 1  # a word belongs to the text in which it ends
     last = np.searchsorted(starts, doc_end)  # words before the end of each text
     n = len(word)
     if n >= SHINGLE:

@@ -117,3 +117,22 @@ def test_sets_equal_plain_shingles():
         assert (np.diff(s.view(np.uint64).astype(object)) > 0).all()
         assert names.setdefault(frozenset(shingles(t)), s.tobytes()) == s.tobytes()
     assert len(set(names.values())) == len(names)
+
+
+def test_words_built_against_polynomial_hashes_are_not_equal(spark):
+    """Thue-Morse words have equal polynomial hashes modulo any power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(word) == 1024 and all(x != y for x, y in zip(word, other))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_join(docs).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
+def test_sets_that_meet_in_half_a_digest_have_different_names():
+    one, two = np.array([1], np.uint64), np.array([2], np.uint64)
+    first, second = J.digests(one)
+    assert J.digest(one) == first and J.digest(one, frozenset([first])) == second
+    assert J.digest(two, frozenset([first])) == J.digests(two)[0]

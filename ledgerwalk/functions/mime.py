@@ -1,8 +1,13 @@
 """Content-type classification (native expressions).
 
 This replaces an external per-file detector with a signature table over the
-leading bytes, the DocType of EBML files and the first directory of TIFF files: the media types the organiser accepts, PDF, empty files and a
-UTF-8 text fallback.  It is not a full magic database.
+leading bytes, the DocType of EBML files, the brands of ISO media files and the
+first directory of TIFF files, wherever those lie (``containers`` walks to them):
+the media types the organiser accepts, PDF, empty files and a UTF-8 text fallback.
+It is not a full magic database.
+
+An ISO media file is what its major brand says; where that is a general one, a
+compatible brand of an image or of QuickTime decides.
 """
 
 from __future__ import annotations
@@ -10,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .containers import HEIC_BRANDS, HEIF_BRANDS, ISO_STARTS, QUICKTIME_BRANDS, compatible, ebml_doc_type, iso_brands
+from .containers import bound as _bind
 from .paths import _c
 from .timestamps import trim_space
 
@@ -25,11 +32,6 @@ def _unsigned(h: Column, offset: Column, size: int, little: Column) -> Column:
     return F.conv(F.when(little, F.concat(*big[::-1])).otherwise(F.concat(*big)), 16, 10).cast("bigint")
 
 
-def _bind(c: Column, f) -> Column:
-    """``f(c)`` with ``c`` evaluated once."""
-    return F.element_at(F.transform(F.array(c), f), 1)
-
-
 def _tiff_type(c: Column) -> Column:
     """TIFF container: the camera formats that share it are told apart by the
     entries of the first directory (Make and DNGVersion), wherever it lies."""
@@ -66,6 +68,22 @@ def _hex(s: str) -> str:
     return s.encode("latin-1").hex().upper()
 
 
+def _iso_type(c: Column) -> Column:
+    def of(brands: Column) -> Column:
+        major = F.substring(brands, 1, 4)
+        return (F.when(major.isin(*HEIC_BRANDS), F.lit("image/heic"))
+                .when(major.isin(*HEIF_BRANDS), F.lit("image/heif"))
+                .when(major.isin(*QUICKTIME_BRANDS), F.lit("video/quicktime"))
+                .when(F.substring(major, 1, 3) == F.lit(b"M4V"), F.lit("video/x-m4v"))
+                .when(F.substring(major, 1, 3).isin(b"3gp", b"3g2"), F.lit("video/3gpp"))
+                .when(compatible(brands, HEIC_BRANDS), F.lit("image/heic"))
+                .when(compatible(brands, HEIF_BRANDS), F.lit("image/heif"))
+                .when(compatible(brands, QUICKTIME_BRANDS), F.lit("video/quicktime"))
+                .when(brands.isNotNull(), F.lit("video/mp4")))
+
+    return _bind(iso_brands(c), of)
+
+
 def sniff_mime(content: Column | str, is_text: Column | None = None) -> Column:
     """MIME type of a binary ``content`` column.  ``is_text`` is the text test of
     the whole content where ``content`` is only its head (as ``read_heads`` gives
@@ -74,12 +92,12 @@ def sniff_mime(content: Column | str, is_text: Column | None = None) -> Column:
     h = F.hex(F.substring(c, 1, 16))          # upper-case hex of 16 leading bytes
     brand = F.substring(h, 17, 8)             # bytes 9..12
     b = _hex
-    ftyp = F.substring(h, 9, 8) == b("ftyp")
+    kind = F.substring(h, 9, 8)
+    # a box that is not the type box is believed if its size is a possible one
+    box = (kind == b("ftyp")) | (kind.isin(*[x.hex().upper() for x in ISO_STARTS]) & h.startswith("00"))
     if is_text is None:
         as_text = c.cast("string")
         is_text = F.is_valid_utf8(as_text) & ~as_text.rlike(TEXT_CONTROL_RE)
-    # DocType element of the EBML header: id 4282, a size, the name
-    doc_type = F.regexp_extract(F.hex(F.substring(c, 1, 4096)), "^1A45DFA3(?:..)*?4282(?:8.|40..)((?:..){4})", 1)
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
         .when(F.length(c) == 0, F.lit("inode/x-empty"))
@@ -89,15 +107,9 @@ def sniff_mime(content: Column | str, is_text: Column | None = None) -> Column:
         .when(h.startswith(b("%PDF-")), F.lit("application/pdf"))
         .when(h.startswith(b("RIFF")) & (brand == b("WEBP")), F.lit("image/webp"))
         .when(h.startswith(b("RIFF")) & (brand == b("AVI ")), F.lit("video/x-msvideo"))
-        .when(ftyp & brand.isin(b("heic"), b("heix"), b("hevc"), b("hevx"), b("heim"), b("heis")),
-              F.lit("image/heic"))
-        .when(ftyp & brand.isin(b("mif1"), b("msf1"), b("heif")), F.lit("image/heif"))
-        .when(ftyp & (brand == b("qt  ")), F.lit("video/quicktime"))
-        .when(ftyp & F.substring(brand, 1, 6).isin(b("M4V")), F.lit("video/x-m4v"))
-        .when(ftyp & F.substring(brand, 1, 6).isin(b("3gp"), b("3g2")), F.lit("video/3gpp"))
-        .when(ftyp, F.lit("video/mp4"))
         .when(h.startswith("1A45DFA3"),
-              F.when(doc_type == b("webm"), F.lit("video/webm")).otherwise(F.lit("video/x-matroska")))
+              F.when(ebml_doc_type(c) == b("webm"), F.lit("video/webm")).otherwise(F.lit("video/x-matroska")))
+        .when(box & _iso_type(c).isNotNull(), _iso_type(c))
         .when(h.startswith("49492A00") | h.startswith("4D4D002A"),
               F.when(F.substring(h, 17, 4) == b("CR"), F.lit("image/x-canon-cr2")).otherwise(_tiff_type(c)))
         .when(h.startswith("000001BA") | h.startswith("000001B3"), F.lit("video/mpeg"))

@@ -9,12 +9,16 @@ import struct
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.containers import EBML_MARK, ISO_STARTS, ebml_head, iso_head
 from ..functions.mime import TEXT_CONTROL_RE, TIFF_DNG_VERSION, TIFF_MAKE
+from ..session import ensure_checkpoint_dir, ship_package
+from .storage import open_file
 
 _CHUNK = 1 << 20
 
@@ -22,7 +26,7 @@ _CHUNK = 1 << 20
 def _hash_file(path: str) -> tuple[str | None, str | None]:
     h = hashlib.sha256()
     try:
-        with open(path, "rb") as f:
+        with open_file(path) as f:
             while True:
                 b = f.read(_CHUNK)
                 if not b:
@@ -36,7 +40,6 @@ def _hash_file(path: str) -> tuple[str | None, str | None]:
 def hash_files(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
     """(id, sha256, error) for items whose bytes live at ``path_col``; whole
     files are streamed, never loaded at once."""
-    from ..session import ship_package
     ship_package(items.sparkSession)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("sha256", T.StringType()),
                            T.StructField("error", T.StringType())])
@@ -53,7 +56,7 @@ def hash_files(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
     return items.select("id", path_col).mapInArrow(run, schema)
 
 
-HEAD_BYTES = 1 << 16  # signatures and EBML headers lie in here
+HEAD_BYTES = 32  # signatures at fixed places lie in here; containers are walked
 _TEXT_CONTROL = re.compile(TEXT_CONTROL_RE.encode("latin-1"))
 
 
@@ -84,7 +87,7 @@ def _head_and_text(path: str) -> tuple[bytes | None, bool | None]:
     decoder = codecs.getincrementaldecoder("utf-8")()
     head, text = b"", True
     try:
-        with open(path, "rb") as f:
+        with open_file(path) as f:
             while text or len(head) < HEAD_BYTES:
                 b = f.read(_CHUNK)
                 if len(head) < HEAD_BYTES:
@@ -98,32 +101,69 @@ def _head_and_text(path: str) -> tuple[bytes | None, bool | None]:
                     break
             if head[:4] in (b"II*\0", b"MM\0*") and len(head) >= 8:
                 head = _tiff_head(f, head)
+            elif head[:4] == EBML_MARK:
+                head = ebml_head(f)
+            elif head[4:8] in ISO_STARTS:
+                head = iso_head(f, head)
     except OSError:
         return None, None
     return head, text
 
 
 def read_heads(items: DataFrame, path_col: str = "abs_path") -> DataFrame:
-    """items + ``head`` (the first ``HEAD_BYTES`` bytes of each file, of TIFF files
-    what tells their type; NULL when unreadable) and ``is_text`` (a test of the whole file)."""
-    from ..session import ship_package
+    """items + ``head`` (the first ``HEAD_BYTES`` bytes of each file, of TIFF, EBML and
+    ISO media files what tells their type; NULL when unreadable) and ``is_text`` (a test of the whole file)."""
     ship_package(items.sparkSession)
     schema = T.StructType(list(items.schema.fields) + [T.StructField("head", T.BinaryType()), T.StructField("is_text", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for off in range(0, b.num_rows, 512):  # output batches of at most 32 MiB
-                part = b.slice(off, 512)
-                data = [_head_and_text(p) for p in part.column(path_col).to_pylist()]
-                part = part.append_column("head", pa.array([h for h, _ in data], pa.binary()))
-                yield part.append_column("is_text", pa.array([t for _, t in data], pa.bool_()))
+            data = [_head_and_text(p) for p in b.column(path_col).to_pylist()]
+            b = b.append_column("head", pa.array([h for h, _ in data], pa.binary()))
+            yield b.append_column("is_text", pa.array([t for _, t in data], pa.bool_()))
 
     return items.mapInArrow(run, schema)
 
 
+#: What opening a file costs, in bytes read.
+OPEN_BYTES = 1 << 16
+
+
 def spread_by_bytes(items: DataFrame, size_col: str = "size", bytes_per_task: int = 1 << 30) -> DataFrame:
-    """``items`` dealt over as many tasks as their files' bytes need: the number of
-    tasks follows the bytes to read, not the size of the catalogue's rows."""
-    total = items.agg(F.sum(size_col)).first()[0] or 0
-    tasks = max(items.sparkSession.sparkContext.defaultParallelism, -(-int(total) // bytes_per_task))
-    return items.repartition(tasks, "id")
+    """``items`` dealt so that a task reads about ``bytes_per_task``: files stand in one
+    row, each as long as its bytes and OPEN_BYTES more, and the row is cut every
+    ``bytes_per_task``; a file goes where it starts.  So a task has at most that and
+    one file more, whatever the sizes.
+
+    The row is never laid out in one task: rows keep their partition (a reliable
+    checkpoint fixes it), the partitions' sums, one number each, are added up on the
+    driver, and every partition counts on from its own.  A null or negative size
+    counts as 0."""
+    spark = items.sparkSession
+    ensure_checkpoint_dir(spark)
+    cost = F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint") + OPEN_BYTES
+    staged = items.withColumn("_lw_part", F.spark_partition_id()).withColumn("_lw_cost", cost).checkpoint(eager=True)
+    sums = sorted((r["_lw_part"], r["n"]) for r in staged.groupBy("_lw_part").agg(F.sum("_lw_cost").alias("n")).collect())
+    before, total = {}, 0
+    for part, n in sums:
+        before[part] = total
+        total += n
+    least = max(1, -(-total // spark.sparkContext.defaultParallelism))
+    width = min(bytes_per_task, least)  # small work still goes to every core
+    tasks = max(1, -(-total // width))
+    schema = T.StructType([f for f in staged.schema.fields if f.name not in ("_lw_part", "_lw_cost")] + [T.StructField("_lw_task", T.IntegerType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = len(b.schema) - 2
+            if ahead is None:
+                ahead = before[b.column(n)[0].as_py()]
+            ends = np.cumsum(b.column(n + 1).to_numpy()) + ahead
+            starts = ends - b.column(n + 1).to_numpy()
+            ahead = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array((starts // width).astype(np.int32))], names=schema.names)
+
+    return staged.mapInArrow(place, schema).repartitionById(tasks, "_lw_task").drop("_lw_task")

@@ -125,7 +125,8 @@ def test_mime_from_files_reads_whole_texts(spark):
     assert got == {"h1": "image/png", "h2": "text/plain", "h3": "application/pdf", "h4": None}
     assert tuple(stats.first()) == (4, 3, 1)
     items = spark.createDataFrame([(os.path.join(root, "a.png"),)], "abs_path string")
-    assert len(read_heads(items).first().head) == 1 << 16
+    from ledgerwalk.sources.content import HEAD_BYTES
+    assert len(read_heads(items).first().head) == HEAD_BYTES
 
 
 def test_one_mime_answer_whatever_the_size(spark):
@@ -174,6 +175,100 @@ def test_tiff_directories_behind_the_data(spark):
     assert {os.path.basename(r.abs_path): (r.a, r.b) for r in got} == want
 
 
+def test_walks_in_rows_and_in_files_agree(spark):
+    """EBML elements and ISO boxes of any size before the one that tells the type, broken
+    sizes, random bytes behind a mark."""
+    import random
+
+    from ledgerwalk.functions import sniff_mime
+    from ledgerwalk.plans import views as V
+    from ledgerwalk.sources import read_heads
+    root = tempfile.mkdtemp(prefix="lw-walk-")
+    filler = V.FILLER * V.FILLED
+    data = {f"s{i}": (bytes.fromhex(h.replace("*", filler)), t) for i, (h, t) in enumerate(V.SIGNATURES)}
+    doc = b"\x42\x82\x84webm"
+    data |= {"many": (b"\x1aE\xdf\xa3\x01\xff\xff\xff\xff\xff\xff\xff" + b"\xec\x80" * 3000 + doc, "video/webm"),  # unknown size
+             "padded": (b"\x1aE\xdf\xa3\x89\x42\x82\x86webm\0\0", "video/webm"),
+             "outside": (b"\x1aE\xdf\xa3\x82\xec\x80" + doc, "video/x-matroska"),
+             "long name": (b"\x1aE\xdf\xa3\xa3\x42\x82\xa0" + b"webm" * 8, "video/x-matroska"),
+             "void of unknown size": (b"\x1aE\xdf\xa3\x89\xec\xff" + doc, "video/x-matroska"),
+             "cut": (b"\x1aE\xdf\xa3\x87\x42\x82\x84we", "video/x-matroska"), "mark": (b"\x1aE\xdf\xa3", "video/x-matroska"),
+             "large box": (b"\0\0\0\x01free" + (16 + 70_000).to_bytes(8, "big") + b"x" * 70_000 + b"\0\0\0\x10ftypisom\0\0\0\0", "video/mp4"),
+             "to the end": (b"\0\0\0\0ftypisom\0\0\0\0" + b"none" * 400_000 + b"heic", "image/heic"),
+             "endless": (b"\0\0\0\x08free" * 2000, "application/octet-stream"), "size 4": (b"\0\0\0\x04wide\0\0\0\x08moov", "application/octet-stream"),
+             "huge": (b"\0\0\0\x01wide" + b"\xff" * 8, "application/octet-stream"), "text": (b"moov and mdat and free", "text/plain"), "named": (b"the free will", "text/plain")}
+    rng = random.Random(6)
+    for i in range(300):
+        mark = rng.choice([b"\x1aE\xdf\xa3", b"\0\0\0\x08free", b"\0\0\0\x14ftyp", b"\0\0\0\x0cskip"])
+        parts = [bytes((rng.randrange(256),)), b"\x42\x82", b"\x84webm", b"\xec", b"\x80", b"\x81", b"\0\0\0\x10", b"ftyp", b"heic", b"qt  ", b"isom", b"\0\0\0\x08", b"free", b"moov"]
+        data[f"r{i}"] = (mark + b"".join(rng.choice(parts) for _ in range(rng.randrange(14))), None)
+    for name, (content, _) in data.items():
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(content)
+    rows = spark.createDataFrame([(os.path.join(root, n), bytearray(c)) for n, (c, _) in data.items()], "abs_path string, whole binary")
+    got = read_heads(rows).select("abs_path", F.length("head").alias("n"), sniff_mime("head", F.col("is_text")).alias("a"), sniff_mime("whole").alias("b")).collect()
+    for r in got:
+        name = os.path.basename(r.abs_path)
+        assert r.a == r.b and r.n <= 100, (name, r.a, r.b, data[name][0][:60])
+        assert data[name][1] in (None, r.a), (name, r.a)
+
+
+def test_files_are_dealt_by_bytes(spark):
+    from ledgerwalk.sources import spread_by_bytes
+    mb = 1 << 20
+    sizes = [mb] * 400 + [100 * mb] + [mb // 2] * 200 + [0, None, -5]
+    items = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").repartition(7, "id")
+    dealt = spread_by_bytes(items, bytes_per_task=10 * mb).withColumn("task", F.spark_partition_id())
+    rows = dealt.collect()
+    assert sorted((r.id, r.size) for r in rows) == sorted(enumerate(sizes)) and dealt.columns == ["id", "size", "task"]
+    load = {}
+    for r in rows:
+        load.setdefault(r.task, []).append(max(r["size"] or 0, 0))
+    assert all(sum(x) <= 12 * mb for x in load.values() if 100 * mb not in x)
+    assert sum(sum(x) > 8 * mb for x in load.values()) > 40
+    assert min(sum(x) for x in load.values() if 100 * mb in x) <= 112 * mb
+    # the same rows go the same way again; files without bytes are spread by their number
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, dealt.collect()))
+    empty = spark.createDataFrame([(i, 0) for i in range(4000)], "id long, size long")
+    assert spread_by_bytes(empty, bytes_per_task=100 * 65536).rdd.getNumPartitions() == 40
+    assert spread_by_bytes(empty.limit(0)).collect() == []
+
+
+def test_stores_by_uri(spark, monkeypatch):
+    """A ``file://`` tree equals the local one; so does one listed, read and hashed through
+    the client of other file systems."""
+    import pandas as pd
+
+    from ledgerwalk.sources import listing, read_heads, storage
+    root, raw, clean = _tree()
+    os.remove(os.path.join(raw, "link.jpg"))
+    os.makedirs(os.path.join(raw, "with space"))
+    with open(os.path.join(raw, "with space", "é#1.txt"), "w") as f:
+        f.write("hello")
+    by_path = {tuple(r) for r in list_stores(spark, {"raw": raw}).collect()}
+    assert by_path == {tuple(r) for r in list_stores(spark, {"raw": "file://" + raw.replace(" ", "%20")}).collect()}
+    with pytest.raises(FileNotFoundError, match="cannot be listed"):
+        list_stores(spark, {"raw": "file:///definitely/not/here"})
+    item = spark.createDataFrame([(1, "file://" + raw + "/_underscore.txt")], "id long, abs_path string")
+    assert hash_files(item).first().sha256.startswith("2cf24dba") and bytes(read_heads(item).first().head) == b"hello"
+
+    # the remote branch, over pyarrow's own local file system
+    monkeypatch.setattr(listing, "local_path", lambda path: None)
+    monkeypatch.setattr(storage, "_file_system", lambda base: __import__("pyarrow.fs").fs.LocalFileSystem())
+    frontier, got = [("raw", "s3://" + raw, ".")], set()
+    monkeypatch.setattr(storage, "file_system", lambda uri: (storage._file_system(""), uri.split("://", 1)[1]))
+    while frontier:
+        frames = list(listing._scan(iter([pd.DataFrame(frontier, columns=["store", "root", "rel"])])))
+        rows = [r for f in frames for r in f.itertuples(index=False)]
+        frontier = [(r.store, r.root, r.path) for r in rows if r.kind == "S"]
+        got |= {(r.store, r.path, False, r.size, r.mod_time.to_pydatetime(), True) for r in rows if r.kind == "F" and r.stated}
+        got |= {(r.store, r.path, True, None, None, r.kind == "D") for r in rows if r.kind in "DU"}
+    assert got == by_path
+    monkeypatch.setattr(storage, "local_path", lambda path: None)
+    with storage.open_file("s3://" + raw + "/_underscore.txt") as f:
+        assert f.read() == b"hello" and f.seek(1) == 1 and f.read(2) == b"el"
+
+
 def test_costly_work_is_done_once(spark):
     """Listing, hash results and MIME results are evaluated once a row, however many
     outputs read them."""

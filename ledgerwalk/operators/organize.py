@@ -11,10 +11,12 @@ candidate's status is decided in bulk:
 5. the first row by path of each hash that does not collide is ``organized``,
    and the rows of the hash behind it are ``skipped``.
 
-Steps 4 and 5 depend on each other only where two hashes share a destination
-(equal first 8 hex digits, capture second and base name): the later of two
-winners collides, its hash's next row takes its place, and that is repeated
-until no two winners share a destination.
+Steps 4 and 5 depend on each other only where hashes share a destination.  A
+destination names the hash's first 8 characters, so the graph of hashes and
+contested destinations falls apart by them, and each part is settled on its own,
+in path order (``_settle``).  Of a hash only the first row of each contested
+destination before its first uncontested one enters its part: that one is free
+whatever the others get.  There are no rounds.
 
 Winners are aggregates (``min_by``), never windows, so a hash or destination
 held by millions of copies is not pulled into one task, and they meet the
@@ -26,12 +28,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..constants import (MEDIA_MIME_TYPES, NO_TIMESTAMP, RULE_ORGANIZE, STATUS_COLLIDED, STATUS_ERROR,
                          STATUS_ORGANIZE, STATUS_ORGANIZED, STATUS_SKIPPED)
+from ..functions.paths import short_sha
 from ..functions.timestamps import destination_path, validate_zone, with_capture_time
 from .catalog import _ts
 from .ids import with_dense_ids
@@ -109,16 +113,35 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
 def _hash_winners(free: DataFrame) -> DataFrame:
     """(sha256, file_id, path, dst_path): the row of each hash that is organised, among
     rows whose destination no clean file holds."""
-    lost: DataFrame | None = None
-    while True:
-        rows = free if lost is None else free.join(lost, "file_id", "left_anti")
-        winners = rows.groupBy("sha256").agg(F.min_by(F.struct("file_id", "path", "dst_path"), "path").alias("w")) \
-            .select("sha256", "w.file_id", "w.path", "w.dst_path").checkpoint()
-        clash = winners.groupBy("dst_path").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")).filter("n > 1")
-        later = winners.join(clash, "dst_path").filter(F.col("path") > F.col("first")).select("file_id").checkpoint()
-        if later.isEmpty():
-            return winners
-        lost = later if lost is None else lost.unionByName(later)
+    # later rows of a hash for the same destination meet what the first one met
+    firsts = free.groupBy("sha256", "dst_path").agg(F.min_by(F.struct("file_id", "path"), "path").alias("w")) \
+        .select("sha256", "dst_path", "w.file_id", "w.path").checkpoint()
+    claims = firsts.groupBy("dst_path").agg(F.count(F.lit(1)).alias("claims")).filter("claims > 1")
+    marked = salted_join(firsts, claims, "dst_path", "left", spread_by=["file_id"])
+    own = F.col("claims").isNull()
+    safe = marked.filter(own).groupBy("sha256").agg(F.min_by(F.struct("file_id", "path", "dst_path"), "path").alias("w")) \
+        .select("sha256", "w.file_id", "w.path", "w.dst_path")
+    limit = safe.select("sha256", F.col("path").alias("safe_path"))
+    open_rows = salted_join(marked.filter(~own).drop("claims"), limit, "sha256", "left", spread_by=["file_id"])
+    open_rows = open_rows.filter(F.col("safe_path").isNull() | (F.col("path") < F.col("safe_path"))).drop("safe_path").checkpoint()
+    contested = open_rows.select("sha256").distinct()
+    rows = open_rows.unionByName(safe.join(contested, "sha256", "left_semi"))
+    settled = rows.withColumn("part", short_sha("sha256")).groupBy("part").applyInPandas(
+        _settle, "sha256 string, file_id long, path string, dst_path string")
+    return safe.join(contested, "sha256", "left_anti").unionByName(settled)
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part, in path order: a row takes its destination unless its hash has one or
+    another hash took it."""
+    rows = rows.iloc[rows["path"].map(lambda p: p.encode()).argsort(kind="stable")]
+    done, taken, keep = set(), set(), []
+    for sha, dst in zip(rows["sha256"], rows["dst_path"]):
+        keep.append(sha not in done and dst not in taken)
+        if keep[-1]:
+            done.add(sha)
+            taken.add(dst)
+    return rows.loc[keep, ["sha256", "file_id", "path", "dst_path"]]
 
 
 def _finish(c: DataFrame) -> DataFrame:

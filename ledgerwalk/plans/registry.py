@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..constants import UNICODE_SPACES
+from ..constants import NO_TIMESTAMP, UNICODE_SPACES
 from ..functions import (basename, dirname, filename_parts, human_bytes, human_ibytes, junk_dir_reason,
                          junk_file_reason, path_depth, rfc3339, sanitize_basename, sniff_mime)
 from ..operators import (DedupRule, ExifEnricher, JunkRule, MimeEnricher, align_schema, apply_hashes,
@@ -25,7 +25,10 @@ from ..operators import (DedupRule, ExifEnricher, JunkRule, MimeEnricher, align_
 from ..operators.plan import resolve_outcomes
 from ..functions.tags import tags_version
 from ..session import ensure_checkpoint_dir
+from ..operators.enrich import resolve_path
+from ..sources.content import hash_files, read_heads, spread_by_bytes
 from ..sources.exif_json import parse_tag_batches
+from ..sources.listing import list_stores
 from ..sources.tables import read_tables, write_tables
 from . import oracle as O
 from . import views as V
@@ -466,7 +469,6 @@ org_plan AS (
     CASE WHEN EXISTS (SELECT 1 FROM media_files k WHERE k.store = 'clean' AND NOT k.missing AND k.path = dst_path)
          THEN 'collided' WHEN rn = 1 THEN 'organized' ELSE 'skipped' END
   FROM org_rank)"""
-_NO_TS = "no usable timestamp (exif + mod_time both unparseable)"
 
 
 @register("destination_paths", O.with_(*O.MEDIA_CORE, _CANDS, *_CAPTURE_C) + f"""
@@ -485,7 +487,7 @@ def q_destination_paths(spark, sf):
 
 
 @register("organize_plan", O.with_(*O.MEDIA_CORE, _CANDS, *_CAPTURE_C, _ORG) + f"""
-SELECT *, CASE WHEN status = 'error' THEN '{_NO_TS}' END AS error FROM org_plan""")
+SELECT *, CASE WHEN status = 'error' THEN '{NO_TIMESTAMP}' END AS error FROM org_plan""")
 def q_organize_plan(spark, sf):
     return organize_plan(V.media_tables(spark, sf), V.MEDIA_ZONE)
 
@@ -493,7 +495,7 @@ def q_organize_plan(spark, sf):
 @register("organize_dry_run", O.with_(*O.MEDIA_CORE, _CANDS, *_CAPTURE_C, _ORG) + f"""
 SELECT file_id, sha256, path, size, mod_time, capture_ts, source, dst_path, reason,
   coalesce(first_status, 'organize') AS status,
-  CASE WHEN first_status = 'error' THEN '{_NO_TS}' END AS error FROM org""")
+  CASE WHEN first_status = 'error' THEN '{NO_TIMESTAMP}' END AS error FROM org""")
 def q_organize_dry_run(spark, sf):
     return organize_plan(V.media_tables(spark, sf), V.MEDIA_ZONE, dry_run=True)
 
@@ -536,7 +538,7 @@ SELECT 'op' AS kind, file_id AS src_id, clean_id AS file_id, 'raw' AS src_store,
 FROM org_ok
 UNION ALL
 SELECT 'err', file_id, file_id, NULL, path, NULL, NULL, 'organize',
-  CASE WHEN status = 'error' THEN '{_NO_TS}' ELSE 'copy: disk full' END
+  CASE WHEN status = 'error' THEN '{NO_TIMESTAMP}' ELSE 'copy: disk full' END
 FROM org_plan WHERE status = 'error' OR (status = 'organized' AND file_id % 19 = 0)
 UNION ALL
 SELECT 'err', file_id, file_id, NULL, path, NULL, NULL, 'organize', 'remove raw original: permission denied'
@@ -558,6 +560,63 @@ def q_apply_organize_log(spark, sf):
     return ops.select(*errs.columns).unionByName(errs)
 
 
+_CLASH = f"""clash_rows AS ({V.CLASH_SQL.format(
+    start="date_trunc('year', o_orderdate::TIMESTAMP)::TIMESTAMP", year="strftime(o_orderdate, '%Y/01/%Y0101T000000Z')",
+    sha8="substr(sha256((o_custkey // 3)::VARCHAR), 1, 8)", rest="substr(sha256(o_custkey::VARCHAR), 9)",
+    other="sha256('clean' || o_orderkey)")} FROM orders),
+clash_files AS (
+  SELECT id, store, path, size, mod_time, {_MNOW} AS found_at, {_MNOW} AS reconciled_at, missing, sha256, {_MNOW} AS hashed_at
+  FROM clash_rows QUALIFY store = 'raw' OR row_number() OVER (PARTITION BY store, path ORDER BY id) = 1),
+clash_cands AS (
+  SELECT *, 'media/' || strftime(mod_time, '%Y/%m/%Y%m%dT%H%M%SZ') || '-' || substr(sha256, 1, 8) || '-img' || (id - 1) % 2 || '.jpg' AS dst_path,
+    row_number() OVER (PARTITION BY substr(sha256, 1, 8) ORDER BY path) AS step
+  FROM clash_files WHERE store = 'raw' AND mod_time IS NOT NULL),
+-- one by one, in path order, with what was organised and taken so far
+clash_walk AS (
+  SELECT substr(c.sha256, 1, 8) AS part, 0::BIGINT AS step, 0::BIGINT AS id, '' AS status, []::VARCHAR[] AS done,
+    coalesce(list(k.path) FILTER (k.path IS NOT NULL), []) AS taken
+  FROM clash_cands c LEFT JOIN clash_files k ON k.store = 'clean' AND NOT k.missing AND k.path = c.dst_path GROUP BY 1
+  UNION ALL
+  SELECT part, step, id, status, CASE WHEN status = 'organized' THEN list_append(done, sha256) ELSE done END,
+    CASE WHEN status = 'organized' THEN list_append(taken, dst_path) ELSE taken END
+  FROM (SELECT w.part, c.step, c.id, c.sha256, c.dst_path, w.done, w.taken,
+          CASE WHEN list_contains(w.done, c.sha256) THEN 'skipped' WHEN list_contains(w.taken, c.dst_path) THEN 'collided' ELSE 'organized' END AS status
+        FROM clash_walk w JOIN clash_cands c ON substr(c.sha256, 1, 8) = w.part AND c.step = w.step + 1)),
+clash_plan AS (
+  SELECT f.id AS file_id, f.sha256, f.path, f.size, f.mod_time, c.dst_path, coalesce(w.status, 'error') AS status
+  FROM clash_files f LEFT JOIN clash_cands c USING (id) LEFT JOIN clash_walk w ON w.id = f.id AND w.step > 0 WHERE f.store = 'raw')"""
+
+@register("organize_clashes", "WITH RECURSIVE " + _CLASH + f"""
+SELECT file_id, path, dst_path, status, CASE WHEN status = 'error' THEN '{NO_TIMESTAMP}' END AS error FROM clash_plan""")
+def q_organize_clashes(spark, sf):
+    return organize_plan(V.clash_tables(spark, sf), "UTC").select("file_id", "path", "dst_path", "status", "error")
+
+
+@register("organize_clash_stats", "WITH RECURSIVE " + _CLASH + """
+SELECT count(*) AS considered, count(*) FILTER (WHERE status = 'organized') AS organized, count(*) FILTER (WHERE status = 'skipped') AS skipped,
+  count(*) FILTER (WHERE status = 'collided') AS collided, count(*) FILTER (WHERE status = 'error') AS errors FROM clash_plan""")
+def q_organize_clash_stats(spark, sf):
+    return organize_stats(organize_plan(V.clash_tables(spark, sf), "UTC"))
+
+
+@register("organize_revived", "WITH RECURSIVE " + _CLASH + f""",
+clash_ok AS (SELECT p.*, k.id AS old_id FROM clash_plan p LEFT JOIN clash_files k ON k.store = 'clean' AND k.path = p.dst_path
+             WHERE status = 'organized' AND file_id % 19 <> 0),
+clash_new AS (SELECT *, coalesce(old_id, (SELECT max(id) FROM clash_files) + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY path)) AS clean_id FROM clash_ok)
+SELECT id, store, path, size, mod_time, found_at, missing, sha256 FROM clash_files
+WHERE id NOT IN (SELECT file_id FROM clash_ok WHERE file_id % 7 <> 0) AND id NOT IN (SELECT old_id FROM clash_ok WHERE old_id IS NOT NULL)
+UNION ALL
+SELECT clean_id, 'clean', dst_path, size, mod_time, {_MNOW}, false, sha256 FROM clash_new""")
+def q_organize_revived(spark, sf):
+    t = V.clash_tables(spark, sf)
+    plan = organize_plan(t, "UTC")
+    outcomes = plan.filter(F.col("status") == "organized").select(
+        "file_id", F.when(F.col("file_id") % 19 == 0, F.lit("disk full")).alias("error"),
+        F.when(F.col("file_id") % 7 == 0, F.lit("permission denied")).alias("remove_error"))
+    out = apply_organize(t, plan, outcomes, remove_originals=True, now=V.MEDIA_NOW)
+    return out["files"].select("id", "store", "path", "size", "mod_time", "found_at", "missing", "sha256")
+
+
 # -------------------------------------------------------------- plan outcomes
 
 def _outcomes_applied(spark, sf):
@@ -609,6 +668,44 @@ def q_apply_outcomes_errors(spark, sf):
     return out["process_errors"]
 
 
+@register("outcome_conflicts", O.with_(*O.DOCS_CORE, O.OUTCOMES) + """,
+catalogued AS (SELECT store, path FROM docs_files UNION ALL SELECT 'trash', path FROM docs_files WHERE (id - 1) % 46 = 0),
+moves AS (SELECT p.op_id, p.kind, p.file_id, p.src_path, p.dst_store, o.error AS failed,
+    CASE WHEN p.rule = 'dedup' AND p.file_id % 3 = 0 THEN 'duplicates/' || p.file_id % 7 ELSE p.dst_path END AS dst_path
+  FROM plan_ops p JOIN outcomes o USING (op_id)),
+facts AS (SELECT m.*, EXISTS (SELECT 1 FROM catalogued c WHERE c.store = m.dst_store AND c.path = m.dst_path) AS held,
+    count(*) FILTER (failed IS NULL) OVER (PARTITION BY dst_store, dst_path) AS claims FROM moves m)
+SELECT op_id, kind, file_id, src_path, dst_store, dst_path, coalesce(failed, CASE WHEN kind <> 'RMDIR' AND (held OR claims > 1)
+  THEN 'destination already in catalogue: ' || dst_store || '/' || dst_path END) AS error FROM facts""")
+def q_outcome_conflicts(spark, sf):
+    t, ops, outcomes = _outcomes_applied(spark, sf)
+    # copies of some paths lie in the trash already, and some duplicates are sent to one place
+    copies = t["files"].filter((F.col("id") - 1) % 46 == 0).withColumn("store", F.lit("trash")).withColumn("id", F.col("id") + 1_000_000_000)
+    shared = (F.col("rule") == "dedup") & (F.col("file_id") % 3 == 0)
+    ops = ops.withColumn("dst_path", F.when(shared, F.concat(F.lit("duplicates/"), F.col("file_id") % 7)).otherwise(F.col("dst_path")))
+    res = resolve_outcomes(t["files"].unionByName(copies), ops, outcomes)
+    return res.select("op_id", "kind", "file_id", "src_path", "dst_store", "dst_path", "error")
+
+
+@register("walked_files", O.with_(O.DOCS_BASE) + f""",
+held AS (SELECT store, path, content, sha256 FROM docs_base WHERE content IS NOT NULL AND path IS NOT NULL)
+SELECT store, path, false AS is_dir, octet_length(encode(content))::BIGINT AS size, sha256(content) AS sha256, {_sniff_sql('content')} AS mime_type FROM held
+UNION ALL
+SELECT DISTINCT store, CASE WHEN i = 0 THEN '.' ELSE array_to_string(string_split(path, '/')[1:i], '/') END, true, NULL, NULL, NULL
+FROM (SELECT store, path, unnest(range(len(string_split(path, '/')))) AS i FROM held)""")
+def q_walked_files(spark, sf):
+    """The documents written as files, then listed, hashed and sniffed where they lie."""
+    import uuid
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    stores = V.write_tree(spark, sf, root)
+    listing = list_stores(spark, stores).withColumn("id", F.xxhash64("store", "path"))
+    items = spread_by_bytes(resolve_path(listing.filter(~F.col("is_dir")), stores))
+    hashes = hash_files(items).select("id", "sha256")
+    types = read_heads(items).select("id", sniff_mime("head", F.col("is_text")).alias("mime_type"))
+    out = listing.join(hashes, "id", "left").join(types, "id", "left")
+    return out.select("store", "path", "is_dir", "size", "sha256", "mime_type")
+
+
 @register("execution_stats", O.with_(*O.DOCS_CORE, O.EXEC_OPS, O.OUTCOMES, O.RESOLVED) + """
 SELECT count(*) FILTER (WHERE err IS NULL) AS succeeded, count(*) FILTER (WHERE err IS NOT NULL) AS failed
 FROM resolved""")

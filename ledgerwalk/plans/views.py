@@ -21,6 +21,7 @@ from ..functions.paths import ancestors, dirname
 from ..functions.tags import tags_version
 from ..operators.catalog import _ts, directory_rollup
 from ..operators.ids import with_dense_ids
+from ..sources.storage import write_file
 
 DOCS_NOW = datetime(2024, 3, 4, 0, 0, 0)
 MEDIA_NOW = datetime(2002, 1, 1, 0, 0, 0)
@@ -278,3 +279,59 @@ def media_extractor_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy(F.floor(F.col("id") / 4).alias("batch")).agg(
         F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.struct("id", obj.alias("o")))).o, ","),
                  F.lit("]")).alias("value"))
+
+
+# ------------------------------------------------------- contested destinations
+
+#: Three customers share the first 8 characters of their hash; times are whole years and
+#: names one of two, so hashes contest destinations.  Every 25th order has no time.
+#: Clean files lie at the destination their own order would get, every other one missing.
+CLASH_SQL = """SELECT o_orderkey + 1 AS id,
+  CASE WHEN o_orderkey % 53 = 0 THEN 'clean' ELSE 'raw' END AS store,
+  CASE WHEN o_orderkey % 53 = 0 THEN concat('media/', {year}, '-', {sha8}, '-img', o_orderkey % 2, '.jpg')
+       ELSE concat('c', o_custkey, '/o', o_orderkey, '/img', o_orderkey % 2, '.JPG') END AS path,
+  CAST(floor(o_totalprice) AS BIGINT) AS size,
+  CASE WHEN o_orderkey % 25 = 0 THEN NULL ELSE {start} END AS mod_time,
+  o_orderkey % 2 = 0 AND o_orderkey % 53 = 0 AS missing,
+  CASE WHEN o_orderkey % 53 = 0 THEN {other} ELSE concat({sha8}, {rest}) END AS sha256"""
+
+
+def clash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = "CAST(date_trunc('year', CAST(o_orderdate AS TIMESTAMP)) AS TIMESTAMP_NTZ)"
+    text = CLASH_SQL.format(
+        start=start, year="date_format(o_orderdate, \"yyyy'/01/'yyyy'0101T000000Z'\")",
+        sha8="substring(sha2(CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING), 256), 1, 8)",
+        rest="substring(sha2(CAST(o_custkey AS STRING), 256), 9)", other="sha2(concat('clean', o_orderkey), 256)")
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_lw_clash_orders")
+    rows = spark.sql(text + " FROM _lw_clash_orders")
+    # a catalogue has a path once; the least id stays
+    first = rows.filter("store = 'clean'").groupBy("path").agg(F.min("id").alias("id"))
+    rows = rows.filter("store = 'raw'").unionByName(rows.join(first.select("id"), "id", "left_semi"))
+    t = _ts(MEDIA_NOW)
+    return S.conform(rows.withColumn("found_at", t).withColumn("reconciled_at", t).withColumn("hashed_at", t), S.FILES)
+
+
+def clash_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    files = clash_files(spark, sf_dir).checkpoint()
+    mime = files.groupBy(F.col("sha256").alias("hash")).agg(F.min("id").alias("file_id")).select(
+        "hash", "file_id", _ts(MEDIA_NOW).alias("processed_at"), F.lit("image/jpeg").alias("mime_type"))
+    return {"files": files, "mime": S.conform(mime, S.enricher_schema(S.MIME_COLUMNS)),
+            "exif": S.empty(spark, S.enricher_schema(S.EXIF_COLUMNS)),
+            "operations": S.empty(spark, S.OPERATIONS), "process_errors": S.empty(spark, S.PROCESS_ERRORS)}
+
+
+# ------------------------------------------------------------------ files on disk
+
+def write_tree(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
+    """The readable documents as files under ``root``, a folder for each store."""
+    rows = docs_base(spark, sf_dir).filter("content IS NOT NULL AND path IS NOT NULL").select(
+        F.concat_ws("/", F.lit(root), "store", "path").alias("place"), F.col("content").cast("binary").alias("content"))
+
+    def write(batches):
+        for b in batches:
+            for place, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                write_file(place, content)
+            yield b.select([0])
+
+    rows.mapInArrow(write, "place string").write.format("noop").mode("overwrite").save()
+    return {store: f"{root}/{store}" for store in ("raw", "clean")}

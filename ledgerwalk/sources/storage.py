@@ -63,6 +63,20 @@ def open_file(path: str) -> BinaryIO:
     return fs.open_input_file(inside)
 
 
+def write_file(path: str, content: bytes) -> None:
+    """A whole file, with the folders above it."""
+    own = local_path(path)
+    if own is not None:
+        os.makedirs(os.path.dirname(own), exist_ok=True)
+        with open(own, "wb") as f:
+            f.write(content)
+        return
+    fs, inside = file_system(path)
+    fs.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(inside) as f:
+        f.write(content)
+
+
 def remote_entries(uri: str) -> Iterator[tuple[str, str, int | None, datetime | None]]:
     """(name, kind, size, whole-second UTC time of change) of what lies directly under a
     URI.  The listing carries size and time, so files need no further request."""

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tags import json_string_value, parse_raw_objects
+from ..session import ensure_checkpoint_dir
+from .json_arrays import RANGE_BYTES, file_ranges, parsed, placed_ranges
 
 TAG_ROWS = T.StructType([
     T.StructField("ordinal", T.StructType([T.StructField("doc", T.StringType()), T.StructField("pos", T.LongType())])), T.StructField("source_file", T.StringType()),
@@ -31,8 +33,7 @@ def parse_tag_batches(docs: DataFrame, text_col: str = "value", id_col: str | No
     does not parse yields one row with ``parse_error`` set.  ``ordinal`` =
     (document id, position), used to let the last duplicate win; numeric
     document ids are compared as numbers."""
-    from ..session import ship_package
-    ship_package(docs.sparkSession)
+    ensure_checkpoint_dir(docs.sparkSession)
     cols = [text_col] + ([id_col] if id_col else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,8 +63,16 @@ def parse_tag_batches(docs: DataFrame, text_col: str = "value", id_col: str | No
     return docs.select(*cols).mapInArrow(run, TAG_ROWS)
 
 
-def read_tags(spark: SparkSession, path: str) -> DataFrame:
+def read_tags(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Read extractor output files (each one JSON array) from ``path``, in order of
-    their names.  A file that does not parse is a row with ``parse_error``."""
-    docs = spark.read.text(path, wholetext=True).withColumn("doc", F.input_file_name())
-    return parse_tag_batches(docs, "value", "doc")
+    their names.  An array of any size is read by as many tasks as it has ranges; a
+    file that does not parse is one row with ``parse_error``."""
+    ensure_checkpoint_dir(spark)
+
+    def row(obj: dict[str, str] | None) -> tuple:
+        obj = obj or {}
+        return json_string_value(obj.get("SourceFile")), json_string_value(obj.get("Error")), obj
+
+    rows = parsed(placed_ranges(file_ranges(spark, path, range_bytes)), parse_raw_objects,
+                  {"source_file": "string", "error": "string", "tags": "map<string,string>"}, row)
+    return rows.select(F.struct(F.col("path").alias("doc"), "pos").alias("ordinal"), "source_file", "error", "tags", "parse_error")

@@ -324,6 +324,89 @@ def test_read_tags_from_files_and_text_sinks(spark):
     assert csv == "n,s\n" + "".join(f"{i},{q}\n" for i, q in enumerate(quoted))
 
 
+def _array_file(d, name, text):
+    with open(os.path.join(d, name), "wb") as f:
+        f.write(text.encode() if isinstance(text, str) else text)
+    return os.path.join(d, name)
+
+
+def test_arrays_are_read_by_range(spark, monkeypatch):
+    """Every cut of an array gives its elements once, in their places: quotes, escapes,
+    brackets in strings, nested values, wide characters, white space."""
+    import json
+    import random
+
+    from ledgerwalk.functions.tags import parse_raw_objects
+    from ledgerwalk.sources import json_arrays as J
+    rng = random.Random(3)
+    d = tempfile.mkdtemp(prefix="lw-arrays-")
+    pieces = ['"', "\\", "\\\\", "[", "]", "{", "}", ",", ":", "é", "日本", "a", " ", "\n", "\u0001"]
+    for case in range(25):
+        objs = [{f"k{i}": rng.choice([rng.random(), None, True, ["x,", {"y": "]"}], "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))]) for i in range(rng.randrange(4))}
+                for _ in range(rng.randrange(9))]
+        text = json.dumps(objs, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        text = rng.choice(["", "  \n"]) + text + rng.choice(["", "\n \t"])
+        path = _array_file(d, f"f{case}", text)
+        size = len(text.encode())
+        want = parse_raw_objects(text)
+        monkeypatch.setattr(J, "_CHUNK", rng.choice([1, 2, 3, 7, 64]))
+        monkeypatch.setattr(J, "ELEMENTS", rng.choice([1, 2, 100]))
+        for step in (1, 2, 3, 5, 11, 40, size + 1):
+            ranges = __import__("pandas").DataFrame([(path, s, min(s + step, size), size) for s in range(0, max(size, 1), step)], columns=["path", "start", "stop", "size"])
+            placed = J._chain(next(J._scan_range(iter([ranges]))))
+            got = {}
+            for r in placed.itertuples(index=False):
+                for first, part in J.elements(*r[:4], *r[4:]):
+                    for i, x in enumerate(parse_raw_objects(part)):
+                        assert first + i not in got
+                        got[first + i] = x
+            assert [got[i] for i in range(len(got))] == want, (text, step)
+
+
+def test_broken_arrays_are_errors_at_every_cut(spark, monkeypatch):
+    import pandas as pd
+
+    from ledgerwalk.functions.tags import parse_raw_objects
+    from ledgerwalk.sources import json_arrays as J
+    d = tempfile.mkdtemp(prefix="lw-broken-")
+    monkeypatch.setattr(J, "_CHUNK", 3)
+    for i, text in enumerate(["", "  ", "x", "{}", '"a"', "[", "[{}", "[{},", "[{},]", "[,{}]", "[{},,{}]", "[{}] x", "[{}][{}]", "[{}}", "[{]]", "[1]", '[{"a":1}, {"b"}]', "]", "x[{}]", '[{"a":"']):
+        with pytest.raises(ValueError):
+            parse_raw_objects(text)
+        path = _array_file(d, f"b{i}", text)
+        for step in (1, 2, 4, 100):
+            ranges = pd.DataFrame([(path, s, min(s + step, len(text)), len(text)) for s in range(0, max(len(text), 1), step)], columns=["path", "start", "stop", "size"])
+            errors = 0
+            for r in J._chain(next(J._scan_range(iter([ranges])))).itertuples(index=False):
+                try:
+                    for _, part in J.elements(*r):
+                        parse_raw_objects(part)
+                except ValueError:
+                    errors += 1
+            assert errors, (text, step)
+
+
+def test_a_large_array_is_read_by_many_tasks(spark):
+    from ledgerwalk.sources import json_arrays, read_tags
+    d = tempfile.mkdtemp(prefix="lw-large-")
+    n = 30_000
+    body = ",\n".join('{"SourceFile": "/r/%d.jpg", "XMP:Title": "a \\"%s\\" [b], {c}", "EXIF:ISO": 1.50}' % (i, "é" * (i % 50)) for i in range(n))
+    _array_file(d, "big one.json", f"[{body}]\n")
+    _array_file(d, "small.json", '[{"SourceFile": "/r/0.jpg", "EXIF:ISO": 2}, null]')
+    _array_file(d, "bad.json", f"[{body}] trailing")
+    _array_file(d, "empty.json", "[]")
+    assert json_arrays.file_ranges(spark, d, 1 << 18).filter("path like '%big one.json'").count() > 10
+    rows = read_tags(spark, d, range_bytes=1 << 18)
+    assert rows.filter("parse_error is null").count() == n + 2
+    bad, = rows.filter("parse_error is not null").collect()
+    assert bad.ordinal.doc.endswith("bad.json") and bad.parse_error == "trailing data after array"
+    big = rows.filter("ordinal.doc like '%big one.json'")
+    assert big.filter("source_file = concat('/r/', ordinal.pos, '.jpg') and tags['EXIF:ISO'] = '1.50'").count() == n
+    assert big.select("ordinal.pos").distinct().count() == n
+    whole = {(r.ordinal.doc, r.ordinal.pos, r.source_file) for r in read_tags(spark, d).collect()}
+    assert whole == {(r.ordinal.doc, r.ordinal.pos, r.source_file) for r in rows.collect()}
+
+
 def test_last_duplicate_wins_by_number(spark):
     from ledgerwalk.operators import match_tags
     from ledgerwalk.sources import parse_tag_batches

@@ -88,11 +88,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", help="write the whole result here (text) instead of printing it")
     p.add_argument("--preview", type=int, help="print the first N rows as an aligned table instead")
     sub.add_parser("status")
+    p = sub.add_parser("vacuum")
+    p.add_argument("--keep", type=int, default=10, help="versions that stay readable")
     a = ap.parse_args(argv)
 
     from . import operators as ops
     from .session import get_spark
-    from .sources import hash_files, list_stores, read_tables, read_tags, spread_by_bytes, write_tables
+    from .sources import hash_files, list_stores, read_tables, read_tags, spread_by_bytes, vacuum, write_tables
     spark = get_spark()
     base = read_tables(spark, a.catalogue)
     T = dict(base)
@@ -143,8 +145,12 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "organize":
         plan = ops.organize_plan(T, a.timezone, dry_run=a.dry_run)
         if a.out:
-            plan.write.mode("overwrite").parquet(a.out)
-        ops.organize_stats(plan).show()
+            from pyspark.sql import Observation
+            counts = Observation()  # counted by the pass that writes
+            plan.observe(counts, *ops.organize_counts()).write.mode("overwrite").parquet(a.out)
+            spark.createDataFrame([counts.get]).select("considered", "organized", "skipped", "collided", "errors").show()
+        else:
+            ops.organize_stats(plan).show()
     elif a.cmd == "organize-apply":
         T = ops.apply_organize(T, spark.read.parquet(a.plan), spark.read.parquet(a.outcomes),
                                a.remove_originals, now)
@@ -159,6 +165,8 @@ def main(argv: list[str] | None = None) -> int:
                 .write.mode("overwrite").text(a.out)
         else:
             _print_lines((ops.tsv_lines if a.format == "tsv" else ops.csv_lines)(df, not a.no_header))
+    elif a.cmd == "vacuum":
+        print("removed versions:", ", ".join(map(str, vacuum(spark, a.catalogue, a.keep))) or "none")
     elif a.cmd == "status":
         ops.catalog_stats(T).show()
     return 0

@@ -7,7 +7,8 @@ from .enrich import (ExifEnricher, MimeEnricher, apply_enrichment, identify_all_
                      resolve_path, run_enricher, work_stats)
 from .hashing import apply_hashes, hash_content, needs_hash
 from .ids import next_id, with_dense_ids
-from .organize import apply_organize, organize_candidates, organize_plan, organize_stats
+from .logs import appended
+from .organize import apply_organize, organize_candidates, organize_counts, organize_plan, organize_stats
 from .plan import apply_outcomes, execution_order, execution_sequence, execution_stats, plan_report, report_text
 from .rules import (RULES, DedupRule, JunkRule, build_plan, dedup_keepers, duplicate_hashes,
                     live_raw, rule_by_name)

@@ -24,6 +24,7 @@ from ..functions.tags import encode_tags, tag_group_exclude, tag_keep, tags_vers
 from ..session import ensure_checkpoint_dir
 from .catalog import _ts
 from .ids import with_dense_ids
+from .logs import appended
 
 
 def _live_hashed(files: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def apply_enrichment(tables: dict[str, DataFrame], enricher: Enricher, results:
     errs = with_dense_ids(errs, ["hash"], after=tables["process_errors"])
     out = dict(tables)
     out[enricher.table] = S.conform(updated, S.enricher_schema(enricher.columns))
-    out["process_errors"] = tables["process_errors"].unionByName(S.conform(errs, S.PROCESS_ERRORS))
+    out["process_errors"] = appended(tables["process_errors"], S.conform(errs, S.PROCESS_ERRORS))
     return out
 
 

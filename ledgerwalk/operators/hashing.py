@@ -11,6 +11,7 @@ from .. import schemas as S
 from ..session import ensure_checkpoint_dir
 from .catalog import _ts
 from .ids import with_dense_ids
+from .logs import appended
 
 ENRICHER_NAME = "sha256"
 
@@ -57,5 +58,5 @@ def apply_hashes(tables: dict[str, DataFrame], results: DataFrame,
     errs = with_dense_ids(errs, ["file_id"], after=tables["process_errors"])
     out = dict(tables)
     out["files"] = S.conform(new_files, S.FILES)
-    out["process_errors"] = tables["process_errors"].unionByName(S.conform(errs, S.PROCESS_ERRORS))
+    out["process_errors"] = appended(tables["process_errors"], S.conform(errs, S.PROCESS_ERRORS))
     return out

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -39,6 +39,7 @@ from ..functions.paths import short_sha
 from ..functions.timestamps import destination_path, validate_zone, with_capture_time
 from .catalog import _ts
 from .ids import with_dense_ids
+from .logs import appended
 from .skew import DEFAULT_BUCKETS, salted_join
 
 
@@ -150,15 +151,20 @@ def _finish(c: DataFrame) -> DataFrame:
                 "dst_path", "reason", "status", "error")
 
 
-def organize_stats(plan: DataFrame) -> DataFrame:
-    """One row: considered, organized, skipped, collided, errors."""
+def organize_counts() -> list[Column]:
+    """considered, organized, skipped, collided, errors: for ``agg``, or for ``observe``
+    on the pass that writes the plan."""
     s = F.col("status")
-    return plan.agg(
-        F.count(F.lit(1)).cast("long").alias("considered"),
-        F.count_if(s.isin(STATUS_ORGANIZED)).cast("long").alias("organized"),
-        F.count_if(s == STATUS_SKIPPED).cast("long").alias("skipped"),
-        F.count_if(s == STATUS_COLLIDED).cast("long").alias("collided"),
-        F.count_if(s == STATUS_ERROR).cast("long").alias("errors"))
+    return [F.count(F.lit(1)).cast("long").alias("considered"),
+            F.count_if(s.isin(STATUS_ORGANIZED)).cast("long").alias("organized"),
+            F.count_if(s == STATUS_SKIPPED).cast("long").alias("skipped"),
+            F.count_if(s == STATUS_COLLIDED).cast("long").alias("collided"),
+            F.count_if(s == STATUS_ERROR).cast("long").alias("errors")]
+
+
+def organize_stats(plan: DataFrame) -> DataFrame:
+    """One row of ``organize_counts``."""
+    return plan.agg(*organize_counts())
 
 
 def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: DataFrame,
@@ -215,6 +221,6 @@ def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: Data
 
     out = dict(tables)
     out["files"] = S.conform(new_files, S.FILES)
-    out["operations"] = tables["operations"].unionByName(S.conform(ops, S.OPERATIONS))
-    out["process_errors"] = tables["process_errors"].unionByName(S.conform(errs, S.PROCESS_ERRORS))
+    out["operations"] = appended(tables["operations"], S.conform(ops, S.OPERATIONS))
+    out["process_errors"] = appended(tables["process_errors"], S.conform(errs, S.PROCESS_ERRORS))
     return out

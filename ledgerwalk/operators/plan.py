@@ -17,6 +17,7 @@ from ..functions.paths import path_depth
 from ..session import ensure_checkpoint_dir
 from .catalog import _ts
 from .ids import with_dense_ids
+from .logs import appended
 
 
 def plan_report(ops: DataFrame) -> DataFrame:
@@ -118,8 +119,8 @@ def apply_outcomes(tables: dict[str, DataFrame], ops: DataFrame, outcomes: DataF
     out = dict(tables)
     out["files"] = new_files
     out["directories"] = new_dirs
-    out["operations"] = tables["operations"].unionByName(S.conform(ops_rows, S.OPERATIONS))
-    out["process_errors"] = tables["process_errors"].unionByName(S.conform(err_rows, S.PROCESS_ERRORS))
+    out["operations"] = appended(tables["operations"], S.conform(ops_rows, S.OPERATIONS))
+    out["process_errors"] = appended(tables["process_errors"], S.conform(err_rows, S.PROCESS_ERRORS))
     return out, execution_stats(res)
 
 

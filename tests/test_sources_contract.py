@@ -92,6 +92,67 @@ def test_table_versions_survive_crashes(spark):
         read_tables(spark, bare)
 
 
+def _bytes_under(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_logs_are_written_by_their_new_rows(spark, monkeypatch):
+    from ledgerwalk import schemas as S
+    from ledgerwalk.operators import appended
+    from ledgerwalk.sources import tables as TB
+    root = tempfile.mkdtemp(prefix="lw-logs-")
+    t = tables(spark, files=[dict(id=1, store="raw", path="a")])
+    errors = lambda lo, hi: spark.range(lo, hi).select(
+        F.col("id"), F.lit(1).cast("long").alias("file_id"), F.lit(None).cast("long").alias("dir_id"), F.lit("mime").alias("enricher"),
+        F.lit(None).cast("string").alias("rule"), F.concat(F.lit("error "), F.sha2(F.col("id").cast("string"), 256)).alias("error"), F.lit(NOW).cast("timestamp_ntz").alias("occurred_at"))
+    write_tables({**t, "process_errors": S.conform(errors(0, 20_000), S.PROCESS_ERRORS)}, root)
+    large = _bytes_under(os.path.join(root, "v=1", "process_errors"))
+    for n in (2, 3):
+        base = read_tables(spark, root)
+        more = appended(appended(base["process_errors"], S.conform(errors(n * 10 ** 6, n * 10 ** 6 + 5), S.PROCESS_ERRORS)),
+                        S.conform(errors(n * 10 ** 6 + 5, n * 10 ** 6 + 10), S.PROCESS_ERRORS))
+        assert write_tables({**base, "process_errors": more}, root, base=base) == n
+        assert _bytes_under(os.path.join(root, f"v={n}")) < large / 20
+    assert manifest(spark, root)["tables"]["process_errors"] == [1, 2, 3]
+    assert read_tables(spark, root)["process_errors"].count() == 20_020 and read_tables(spark, root, 2)["process_errors"].count() == 20_010
+    # no new rows: no new part; a changed table: written whole
+    base = read_tables(spark, root)
+    write_tables({**base, "process_errors": appended(base["process_errors"], S.empty(spark, S.PROCESS_ERRORS))}, root, base=base)
+    assert manifest(spark, root)["tables"]["process_errors"] == [1, 2, 3]
+    base = read_tables(spark, root)
+    write_tables({**base, "process_errors": base["process_errors"].filter("id < 100")}, root, base=base)
+    assert manifest(spark, root)["tables"]["process_errors"] == 5 and read_tables(spark, root)["process_errors"].count() == 100
+    # too many parts: one again
+    monkeypatch.setattr(TB, "MAX_PARTS", 2)
+    for n in (6, 7):
+        base = read_tables(spark, root)
+        write_tables({**base, "process_errors": appended(base["process_errors"], S.conform(errors(n * 10 ** 6, n * 10 ** 6 + 1), S.PROCESS_ERRORS))}, root, base=base)
+    assert manifest(spark, root)["tables"]["process_errors"] == 7 and read_tables(spark, root)["process_errors"].count() == 102
+    # a job that died behind its part: invisible
+    base = read_tables(spark, root)
+    errors(1, 2).write.parquet(os.path.join(root, "v=8", "process_errors"))
+    assert read_tables(spark, root)["process_errors"].count() == 102
+    assert write_tables({**base, "process_errors": appended(base["process_errors"], S.conform(errors(8, 9), S.PROCESS_ERRORS))}, root, base=base) == 9
+    assert manifest(spark, root)["tables"]["process_errors"] == [7, 9]
+
+
+def test_vacuum_keeps_what_kept_versions_need(spark):
+    from ledgerwalk.sources import vacuum
+    root = tempfile.mkdtemp(prefix="lw-vacuum-")
+    write_tables(tables(spark, files=[dict(id=1, store="raw", path="a")]), root)
+    for n in range(4):
+        base = read_tables(spark, root)
+        write_tables({**base, "files": base["files"].withColumn("path", F.lit(f"p{n}"))}, root, base=base)
+    os.makedirs(os.path.join(root, "v=9", "files"))  # a job that is still writing
+    with pytest.raises(ValueError):
+        vacuum(spark, root, 0)
+    assert vacuum(spark, root, 10) == [] and vacuum(spark, root, 2) == [1, 2, 3]
+    folders = {x for x in os.listdir(root) if x.startswith("v=")}
+    assert folders == {"v=1", "v=4", "v=5", "v=9"}  # the first holds the tables that never changed
+    assert [read_tables(spark, root, v)["files"].first().path for v in (4, 5)] == ["p2", "p3"]
+    assert read_tables(spark, root)["directories"].count() == 0 and sorted(os.listdir(os.path.join(root, "versions"))) == ["4", "5"]
+
+
 def test_text_formats(spark):
     df = spark.createDataFrame([(1, "a,b", None), (2, ' lead', 'q"x')], "n int, s string, t string")
     assert [r.line for r in tsv_lines(df).orderBy("ord", "line").collect()] == ["n\ts\tt", "1\ta,b\t", "2\t lead\tq\"x"]

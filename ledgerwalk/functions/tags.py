@@ -114,13 +114,16 @@ def _decoded(v: Column) -> Column:
                   F.element_at(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), 1))
 
 
+def _placeholder(v: Column) -> Column:
+    """Whether a JSON fragment is the extractor's stand-in text.  The text needs no
+    escapes, so the fragment itself is looked at; one with escapes is decoded."""
+    plain = v.rlike(BINARY_PLACEHOLDER_PATTERN.replace("^", '^"', 1))
+    return plain | F.when(v.startswith('"') & v.contains("\\"), F.coalesce(_decoded(v).rlike(BINARY_PLACEHOLDER_PATTERN), F.lit(False))).otherwise(F.lit(False))
+
+
 def tag_keep(tags: Column | str) -> Column:
     """Drop ``SourceFile``/``Error`` keys, JSON nulls and binary placeholders."""
-    return F.map_filter(
-        _c(tags),
-        lambda k, v: (~k.isin("SourceFile", "Error")) & (v != "null")
-        & ~F.coalesce(_decoded(v).rlike(BINARY_PLACEHOLDER_PATTERN), F.lit(False)),
-    )
+    return F.map_filter(_c(tags), lambda k, v: (~k.isin("SourceFile", "Error")) & (v != "null") & ~_placeholder(v))
 
 
 def tag_group_exclude(tags: Column | str, groups: tuple[str, ...] = EXCLUDED_TAG_GROUPS) -> Column:
@@ -134,7 +137,8 @@ def tag_group_exclude(tags: Column | str, groups: tuple[str, ...] = EXCLUDED_TAG
 def encode_tags(tags: Column | str) -> Column:
     """JSON object text with keys sorted and values verbatim; ``{}`` when empty."""
     m = _c(tags)
-    key_json = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
+    quoted = lambda k: F.concat(F.lit('"'), k, F.lit('"'))
+    key_json = lambda k: F.when(k.rlike(r'["\\\x00-\x1F]'), F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)).otherwise(quoted(k))
     members = F.transform(F.array_sort(F.map_entries(m)),
                           lambda e: F.concat(key_json(e["key"]), F.lit(":"), e["value"]))
     return F.when(m.isNull(), F.lit(None).cast("string")) \

@@ -133,6 +133,21 @@ _HOUR1 = r"^(\d{4}:\d{2}:\d{2} )(\d):"
 _P = "_ct"  # prefix of the working columns
 
 
+def _local_time(well_formed: Column, x: Column) -> Column:
+    """The wall time of a date with a padded hour, so every field sits at a fixed position."""
+    y, mo, d, h, mi = (F.substring(x, at, size).try_cast("int") for at, size in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2)))
+    se, fr = F.substring(x, 18, 2), F.rpad(F.substring(x, 21, 6), 6, "0")
+    ok = well_formed & mo.between(1, 12) & (h < 24) & (mi < 60) & (se.try_cast("int") < 60) & (d >= 1)
+    return F.when(ok, F.try_make_timestamp_ntz(y, mo, d, h, mi, F.concat(se, F.lit("."), fr).try_cast("decimal(8,6)")))
+
+
+def _to_utc(local: Column, embedded: Column, embedded_seconds: Column, hint_seconds: Column, zone: str | None) -> Column:
+    by_zone = F.convert_timezone(F.lit(zone), F.lit("UTC"), local) if zone else F.lit(None).cast("timestamp_ntz")
+    return (F.when(embedded.isNotNull(), F.when(embedded_seconds.isNotNull(), _shift(local, embedded_seconds)))
+            .when(hint_seconds.isNotNull(), _shift(local, hint_seconds))
+            .otherwise(by_zone))
+
+
 def _parsed(df: DataFrame, pairs: list[tuple[Column, Column]], zone: str | None) -> DataFrame:
     """``df`` plus, for each (value, offset hint), a column ``_ct_t<i>``: the UTC time
     of the value (``YYYY:MM:DD HH:MM:SS[.frac][Z|±HH:MM]``) or NULL.  Offset
@@ -143,30 +158,27 @@ def _parsed(df: DataFrame, pairs: list[tuple[Column, Column]], zone: str | None)
     out = df.select("*", *[trim_space(v).alias(f"{_P}_s{i}") for i, (v, _) in enumerate(pairs)],
                     *[h.alias(f"{_P}_h{i}") for i, (_, h) in enumerate(pairs)])
     out = out.select("*", *[c.alias(f"{_P}_{k}{i}") for i in n for k, c in zip("er", _offset_parts(col("s", i)))])
-    # one-digit hours padded so every field sits at a fixed position
     out = out.select("*", *[col("r", i).rlike(DATE_RE).alias(f"{_P}_ok{i}") for i in n],
                      *[F.regexp_replace(col("r", i), _HOUR1, "$10$2:").alias(f"{_P}_n{i}") for i in n])
-    fields = []
-    for i in n:
-        x = col("n", i)
-        y, mo, d, h, mi = (F.substring(x, at, size).try_cast("int") for at, size in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2)))
-        se, fr = F.substring(x, 18, 2), F.rpad(F.substring(x, 21, 6), 6, "0")
-        ok = (col("ok", i) & mo.between(1, 12) & (h < 24) & (mi < 60) & (se.try_cast("int") < 60) & (d >= 1))
-        secs = F.concat(se, F.lit("."), fr).try_cast("decimal(8,6)")
-        fields += [F.when(ok, F.try_make_timestamp_ntz(y, mo, d, h, mi, secs)).alias(f"{_P}_l{i}"),
-                   _offset_seconds(col("e", i)).alias(f"{_P}_es{i}"), _offset_seconds(col("h", i)).alias(f"{_P}_hs{i}")]
+    fields = [c for i in n for c in (_local_time(col("ok", i), col("n", i)).alias(f"{_P}_l{i}"),
+                                    _offset_seconds(col("e", i)).alias(f"{_P}_es{i}"), _offset_seconds(col("h", i)).alias(f"{_P}_hs{i}"))]
     out = out.select("*", *fields)
-    none = F.lit(None).cast("timestamp_ntz")
-    times = []
-    for i in n:
-        by_zone = F.convert_timezone(F.lit(zone), F.lit("UTC"), col("l", i)) if zone else none
-        times.append(F.when(col("s", i).isNull() | (col("s", i) == ""), none)
-                     .when(col("e", i).isNotNull(), F.when(col("es", i).isNotNull(), _shift(col("l", i), col("es", i))))
-                     .when(col("hs", i).isNotNull(), _shift(col("l", i), col("hs", i)))
-                     .otherwise(by_zone).alias(f"{_P}_t{i}"))
+    times = [F.when(col("s", i) != "", _to_utc(col("l", i), col("e", i), col("es", i), col("hs", i), zone)).alias(f"{_P}_t{i}") for i in n]
     return out.select("*", *times)
 
 
+def _time_of(value: Column, hint: Column, zone: str | None) -> Column:
+    """The same for one value as an expression, for the few rows that need it."""
+    def parts(text: Column) -> Column:
+        offset, rest = _offset_parts(text)
+        return F.struct(offset.alias("e"), rest.alias("r"), F.regexp_replace(rest, _HOUR1, "$10$2:").alias("n"))
+
+    def time(p: Column) -> Column:
+        return let(_local_time(p["r"].rlike(DATE_RE), p["n"]), lambda local: _to_utc(local, p["e"], _offset_seconds(p["e"]), _offset_seconds(hint), zone))
+
+    return let(trim_space(value), lambda text: F.when(text != "", let(parts(text), time)))
+
+
 def _without_working_columns(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(f"{_P}_")])
 
@@ -184,14 +196,19 @@ def with_capture_time(df: DataFrame, data: str = "data", mod_time: str = "mod_ti
     or ``files.mod_time``); both NULL when nothing parses."""
     tags = F.from_json(F.col(data), _tag_schema(), {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
     none = F.lit(None).cast("string")
-    pairs = []
-    for tag in CAPTURE_TAG_PRIORITY:
-        v = F.col(f"{_P}_tags").getField(tag)
-        companion = OFFSET_COMPANION_TAGS.get(tag)
-        pairs.append((F.when(v != "", v), F.col(f"{_P}_tags").getField(companion) if companion else none))
-    out = _parsed(df.withColumn(f"{_P}_tags", tags), pairs, zone)
-    times = [F.col(f"{_P}_t{i}") for i in range(len(pairs))]
-    mt = F.col(mod_time).cast("timestamp_ntz")
-    source = F.coalesce(*[F.when(t.isNotNull(), F.lit(tag)) for t, tag in zip(times, CAPTURE_TAG_PRIORITY)],
-                        F.when(mt.isNotNull(), F.lit(MOD_TIME_SOURCE)))
-    return _without_working_columns(out.withColumn(ts_col, F.coalesce(*times, mt)).withColumn(source_col, source))
+    tag = lambda name: F.col(f"{_P}_tags").getField(name)
+    hints = [tag(OFFSET_COMPANION_TAGS[t]) if t in OFFSET_COMPANION_TAGS else none for t in CAPTURE_TAG_PRIORITY]
+    filled = [F.when(tag(t) != "", tag(t)) for t in CAPTURE_TAG_PRIORITY]
+    out = df.withColumn(f"{_P}_tags", tags)
+    # the first tag that is there decides nearly every row: only it is parsed in the
+    # staged projections; a row where it fails looks at the others one by one
+    chosen = lambda values: F.coalesce(*[F.when(v.isNotNull(), x) for v, x in zip(filled, values)])
+    out = out.withColumn(f"{_P}_first", chosen([F.lit(t) for t in CAPTURE_TAG_PRIORITY])).withColumn(f"{_P}_hint", chosen(hints))
+    out = _parsed(out, [(F.coalesce(*filled), F.col(f"{_P}_hint"))], zone)
+    rest = F.array(*[F.struct(v.alias("value"), h.alias("hint"), F.lit(t).alias("tag")) for v, h, t in zip(filled, hints, CAPTURE_TAG_PRIORITY)])
+    parsed = F.transform(F.filter(rest, lambda x: x["value"].isNotNull()), lambda x: F.struct(_time_of(x["value"], x["hint"], zone).alias("t"), x["tag"].alias("tag")))
+    next_one = F.try_element_at(F.filter(parsed, lambda x: x["t"].isNotNull()), F.lit(1))
+    out = out.withColumn(f"{_P}_next", F.when(F.col(f"{_P}_t0").isNull() & F.col(f"{_P}_first").isNotNull(), next_one))
+    first, following, mt = F.col(f"{_P}_t0"), F.col(f"{_P}_next"), F.col(mod_time).cast("timestamp_ntz")
+    source = F.coalesce(F.when(first.isNotNull(), F.col(f"{_P}_first")), following["tag"], F.when(mt.isNotNull(), F.lit(MOD_TIME_SOURCE)))
+    return _without_working_columns(out.withColumn(ts_col, F.coalesce(first, following["t"], mt)).withColumn(source_col, source))

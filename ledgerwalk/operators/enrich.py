@@ -163,12 +163,16 @@ def match_tags(items: DataFrame, extracted: DataFrame, version: str) -> DataFram
     data = encode_tags(F.coalesce(tag_group_exclude(tag_keep(F.col("tags"))), F.create_map().cast("map<string,string>")))
     rows = extracted.select("source_file", "ordinal", "error", "parse_error",
                             F.when(F.coalesce("error", F.lit("")) == "", data).alias("data"))
-    last = rows.filter("parse_error is null").groupBy("source_file").agg(
-        F.max_by(F.struct("error", "data"), "ordinal").alias("r")).select(
+    # the extractor's rows are parsed and encoded once: parts that failed have no source file
+    whole = F.col("parse_error").isNull()
+    per_file = rows.groupBy("source_file").agg(
+        F.max_by(F.when(whole, F.struct("error", "data")), F.when(whole, F.col("ordinal"))).alias("r"),
+        F.min_by("parse_error", F.when(~whole, F.col("ordinal"))).alias("x_broken"),
+        F.min(F.when(~whole, F.col("ordinal"))).alias("at")).checkpoint()
+    last = per_file.filter("r is not null").select(
         F.col("source_file").alias("abs_path"), F.col("r.error").alias("x_error"),
         F.col("r.data").alias("x_data"), F.lit(True).alias("x_hit"))
-    broken = extracted.filter("parse_error is not null").agg(
-        F.min_by("parse_error", "ordinal").alias("x_broken")).withColumn("one", F.lit(1))  # one row
+    broken = per_file.agg(F.min_by("x_broken", "at").alias("x_broken")).withColumn("one", F.lit(1))  # one row
     j = items.withColumn("one", F.lit(1)).join(F.broadcast(broken), "one").drop("one").join(last, "abs_path", "left")
     unparsed = F.coalesce(F.concat(F.lit(" (unparsed output: "), F.col("x_broken"), F.lit(")")), F.lit(""))
     err = (F.when(F.col("x_hit").isNull(), F.concat(F.lit("exif: no result for "), F.col("abs_path"), unparsed))

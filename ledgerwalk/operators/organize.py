@@ -99,7 +99,7 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
         return _finish(c.withColumn("status", F.coalesce("status", F.lit(STATUS_ORGANIZE))))
 
     taken = live_clean.select(F.col("path").alias("dst_path"), F.lit(True).alias("dst_taken"))
-    todo = salted_join(c.filter(F.col("status").isNull()), taken, "dst_path", "left", spread_by=["file_id"], buckets=buckets)
+    todo = salted_join(c.filter(F.col("status").isNull()), taken, "dst_path", "left", spread_by=["file_id"], buckets=buckets).checkpoint()
     free = todo.filter(F.col("dst_taken").isNull()).select("file_id", "sha256", "path", "dst_path")
     winners = _hash_winners(free)
     decided = salted_join(todo.drop("dst_taken"), winners.select("sha256", F.col("path").alias("w_path")), "sha256", "left",
@@ -117,7 +117,10 @@ def _hash_winners(free: DataFrame) -> DataFrame:
     # later rows of a hash for the same destination meet what the first one met
     firsts = free.groupBy("sha256", "dst_path").agg(F.min_by(F.struct("file_id", "path"), "path").alias("w")) \
         .select("sha256", "dst_path", "w.file_id", "w.path").checkpoint()
-    claims = firsts.groupBy("dst_path").agg(F.count(F.lit(1)).alias("claims")).filter("claims > 1")
+    claims = firsts.groupBy("dst_path").agg(F.count(F.lit(1)).alias("claims")).filter("claims > 1").checkpoint()
+    if claims.isEmpty():
+        return firsts.groupBy("sha256").agg(F.min_by(F.struct("file_id", "path", "dst_path"), "path").alias("w")) \
+            .select("sha256", "w.file_id", "w.path", "w.dst_path")
     marked = salted_join(firsts, claims, "dst_path", "left", spread_by=["file_id"])
     own = F.col("claims").isNull()
     safe = marked.filter(own).groupBy("sha256").agg(F.min_by(F.struct("file_id", "path", "dst_path"), "path").alias("w")) \

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..constants import KIND_RMDIR, KIND_TRASH, RULE_DEDUP, RULE_JUNK
 from ..functions.junk import junk_dir_reason, junk_file_reason
+from .skew import salted_join
 
 
 def live_raw(files: DataFrame) -> DataFrame:
@@ -91,13 +92,14 @@ class JunkRule(Rule):
 
 
 def dedup_keepers(cand: DataFrame) -> DataFrame:
-    """Per hash, the id of the copy with the shortest path (ties: smallest path).
+    """Per hash, the id of the copy with the shortest path (ties: smallest path), and
+    the number of copies.
 
     An aggregate rather than a window: partial aggregation collapses a hot hash
     (say, every empty file) before the shuffle, so no task holds a whole group.
     """
     return cand.groupBy("sha256").agg(
-        F.min_by("id", F.struct(F.length("path"), F.col("path"))).alias("id"))
+        F.min_by("id", F.struct(F.length("path"), F.col("path"))).alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
 class DedupRule(Rule):
@@ -110,9 +112,10 @@ class DedupRule(Rule):
     def evaluate(self, tables, claimed):
         cand = unclaimed(live_raw(tables["files"]).filter(F.col("sha256").isNotNull())
                          .select("id", "path", "sha256"), claimed)
-        # a non-keeper exists only in a group with >= 2 unclaimed copies, which
-        # implies the group has more than one live raw copy
-        losers = cand.join(dedup_keepers(cand).select("id"), "id", "left_anti")
+        # only hashes held more than once have losers: they meet their copies by hash, salted,
+        # and Spark's runtime filter on that side drops the other copies before the shuffle
+        groups = dedup_keepers(cand).filter("copies > 1").select("sha256", F.col("id").alias("keeper"))
+        losers = salted_join(cand, groups, "sha256").filter("id <> keeper").drop("keeper")
         key = F.concat(F.col("sha256"), F.lpad(F.length("path").cast("string"), 10, "0"), F.col("path"))
         return _file_op(losers, self.name, self.priority,
                         F.concat(F.lit("duplicate of "), F.substring("sha256", 1, 12)), key)

@@ -10,7 +10,9 @@
 3. These posterior labels train a hashed linear scorer: words, hashed to
    ``BUCKETS``, and structural marks, weighted by the log-odds between bad and
    good.  In a score a word counts whole if it is one of every ``WORD_SPAN`` words at
-   least, and less the rarer it is in the text.  A structural mark of fewer than ``MIN_BAD`` documents
+   least, and less the rarer it is in the text.  Words of one stem (the first ``STEM``
+   letters) are a feature of their own where one of every ``STEM_SPAN`` words has it, up
+   to twice as much where three or more do: abuse comes in many forms, each of them rare.  A structural mark of fewer than ``MIN_BAD`` documents
    rejects; of more, it weighs what was learned, or nothing.  Only marks of bad documents that are large and significant are
    kept, so rare words add no noise.  A group of copies does not count as many: of
    equal texts with equal votes one is read, and of near copies (``SIMILAR`` of their
@@ -55,6 +57,8 @@ THRESHOLD = 4.5
 #: Bad documents that a bucket needs at least: with fewer, no weight is significant.
 MIN_BAD = 3
 MIN_WEIGHT = 2.0
+#: A stem that tells less than this alone says nothing: it is one of many words.
+MIN_STEM_WEIGHT = 3.5
 MIN_SIGNIFICANCE = 3.5
 #: Correct human votes of each class that EM takes as seen before the data.
 HUMAN_PRIOR = 10.0
@@ -64,6 +68,8 @@ LABELLERS = ("human", *HEURISTICS)
 NONE, GOOD, BAD = 0, 1, 2
 #: Words of text that one insult speaks for, and that one occurrence of a learned word does.
 ABUSE_SPAN, WORD_SPAN = 200, 1000
+#: Letters of a stem, and words of text that one occurrence of it speaks for.
+STEM, STEM_SPAN = 4, 80
 #: Common insults; what else is abuse in a corpus is learned from its labels.
 ABUSE = frozenset("""
 asshole bastard bitch bullshit cretin dimwit disgusting douchebag dumbass halfwit idiot idiots imbecile jackass jerk loser losers
@@ -98,19 +104,27 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
 
+def stem_bucket(stem: str) -> int:
+    return -3 - _bucket(stem)  # apart from the words, and from the totals -1 and -2
+
+
 def mark_bucket(heuristic: str) -> int:
     return BUCKETS + HEURISTICS.index(heuristic)  # apart from the words
 
 
 def features(text: str, mark: tuple[int, ...]) -> dict[int, float]:
-    """How much (0 to 1) the text shows of the buckets of its words and of its
-    structural marks."""
+    """How much the text shows of the buckets of its words (0 to 1), of its stems (1 to
+    2) and of its structural marks."""
     words = _WORD.findall(text.lower())
     counts: dict[int, int] = {}
     for w, k in Counter(words).items():
         f = _bucket(w)
         counts[f] = counts.get(f, 0) + k
     shown = {f: min(1.0, k * WORD_SPAN / len(words)) for f, k in counts.items()}
+    least = max(2, len(words) / STEM_SPAN)
+    for stem, k in Counter([w[:STEM] for w in words if len(w) > STEM]).items():
+        if k >= least:
+            shown[stem_bucket(stem)] = min(2.0, (k + 1) / 2, k * STEM_SPAN / len(words))
     shown.update((mark_bucket(h), 1.0) for h, m in zip(HEURISTICS, mark) if m == BAD)
     return shown
 
@@ -243,9 +257,9 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], sample
             yield pd.DataFrame({"bucket": list(total), "bad": [round(x[0] * 1e6) for x in total.values()], "good": [round(x[1] * 1e6) for x in total.values()]})
 
     sums = some.mapInPandas(run, "bucket int, bad bigint, good bigint").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    own = (F.col("bucket") < 0) | (F.col("bucket") >= BUCKETS)  # totals and structural marks
-    t = sums.filter(own | (F.col("bad") >= MIN_BAD * 1_000_000)).toPandas()  # at most sample * words / MIN_BAD rows, and BUCKETS + 7
-    count = {r.bucket: (r.bad / 1e6, r.good / 1e6) for r in t[(t.bucket < 0) | (t.bucket >= BUCKETS)].itertuples()}
+    own = F.col("bucket").isin(-1, -2) | (F.col("bucket") >= BUCKETS)  # totals and structural marks
+    t = sums.filter(own | (F.col("bad") >= MIN_BAD * 1_000_000)).toPandas()  # at most sample * words / MIN_BAD rows, and 2 * BUCKETS + 7
+    count = {r.bucket: (r.bad / 1e6, r.good / 1e6) for r in t[t.bucket.isin((-1, -2)) | (t.bucket >= BUCKETS)].itertuples()}
     all_bad, all_good = count.get(-1, (0.0, 0.0))
     bias = math.log((all_bad + 0.5) / (all_good + 0.5)) if all_bad >= MIN_BAD else 0.0
     # a mark too rare to be learned, or that no document labelled good could refute, still counts
@@ -254,14 +268,14 @@ def train(docs: DataFrame, voted: DataFrame, posterior: dict[int, float], sample
     default = dict.fromkeys(rare, THRESHOLD + 1 - bias)
     if all_bad < MIN_BAD:
         return default, bias
-    t = t[(t.bucket >= 0) & (t.bad >= MIN_BAD * 1_000_000)].sort_values("bucket")
+    t = t[~t.bucket.isin((-1, -2)) & (t.bad >= MIN_BAD * 1_000_000)].sort_values("bucket")
     a, b = t.bad.to_numpy() / 1e6 + 0.5, t.good.to_numpy() / 1e6 + 0.5
     c, d = np.maximum(all_bad - a + 1, 0.5), np.maximum(all_good - b + 1, 0.5)
     weight = np.log(a / c) - np.log(b / d)
     # root of the likelihood ratio against "as frequent in bad as in good documents"
     share = all_bad / (all_bad + all_good)
     ratio = 2 * (a * np.log(a / ((a + b) * share)) + b * np.log(b / ((a + b) * (1 - share))))
-    keep = (weight >= MIN_WEIGHT) & (np.sqrt(np.maximum(ratio, 0)) >= MIN_SIGNIFICANCE)
+    keep = (weight >= np.where(t.bucket < 0, MIN_STEM_WEIGHT, MIN_WEIGHT)) & (np.sqrt(np.maximum(ratio, 0)) >= MIN_SIGNIFICANCE)
     return default | dict(zip(t.bucket[keep].tolist(), weight[keep].tolist())), bias
 
 

@@ -135,16 +135,13 @@ def test_refuted_marks_weigh_nothing(spark):
 def test_toxic_documents_are_caught_in_every_language(spark):
     """Every fifth label of the driver's table is left out of the fit and then asked for."""
     import os
-
-    from pyspark.sql import functions as F
     sf = "/root/testdata/sf0.1"
     if not os.path.exists(sf):
-        import pytest
         pytest.skip("driver tables not present")
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
     out = Q.classify(docs, labels.filter("doc_id % 5 <> 0")).join(labels.filter("doc_id % 5 = 0"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
-    rows = out.groupBy("lang").agg(F.count_if("toxic = 1").alias("toxic"), F.count_if("toxic = 1 and rejected").alias("caught"),
-                                   F.count_if("toxic = 0 and quality = 1").alias("clean"), F.count_if("toxic = 0 and quality = 1 and rejected").alias("lost")).collect()
+    rows = out.groupBy("lang").agg(F.count_if(F.expr("toxic = 1")).alias("toxic"), F.count_if(F.expr("toxic = 1 and rejected")).alias("caught"),
+                                   F.count_if(F.expr("toxic = 0 and quality = 1")).alias("clean"), F.count_if(F.expr("toxic = 0 and quality = 1 and rejected")).alias("lost")).collect()
     assert {r.lang for r in rows} == {"de", "en", "es", "fr"}
     for r in rows:
         assert r.toxic and r.caught >= 0.9 * r.toxic and r.lost <= 0.01 * r.clean, r

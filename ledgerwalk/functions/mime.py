@@ -98,9 +98,8 @@ def sniff_mime(content: Column | str, is_text: Column | None = None) -> Column:
     if is_text is None:
         as_text = c.cast("string")
         is_text = F.is_valid_utf8(as_text) & ~as_text.rlike(TEXT_CONTROL_RE)
-    return (
-        F.when(c.isNull(), F.lit(None).cast("string"))
-        .when(F.length(c) == 0, F.lit("inode/x-empty"))
+    by_start = (
+        F.when(F.length(c) == 0, F.lit("inode/x-empty"))
         .when(h.startswith("FFD8FF"), F.lit("image/jpeg"))
         .when(h.startswith("89504E470D0A1A0A"), F.lit("image/png"))
         .when(h.startswith(b("GIF87a")) | h.startswith(b("GIF89a")), F.lit("image/gif"))
@@ -109,20 +108,24 @@ def sniff_mime(content: Column | str, is_text: Column | None = None) -> Column:
         .when(h.startswith(b("RIFF")) & (brand == b("AVI ")), F.lit("video/x-msvideo"))
         .when(h.startswith("1A45DFA3"),
               F.when(ebml_doc_type(c) == b("webm"), F.lit("video/webm")).otherwise(F.lit("video/x-matroska")))
-        .when(box & _iso_type(c).isNotNull(), _iso_type(c))
-        .when(h.startswith("49492A00") | h.startswith("4D4D002A"),
-              F.when(F.substring(h, 17, 4) == b("CR"), F.lit("image/x-canon-cr2")).otherwise(_tiff_type(c)))
+    )
+    by_rest = (
+        F.when(h.startswith("49492A00") | h.startswith("4D4D002A"),
+               F.when(F.substring(h, 17, 4) == b("CR"), F.lit("image/x-canon-cr2")).otherwise(_tiff_type(c)))
         .when(h.startswith("000001BA") | h.startswith("000001B3"), F.lit("video/mpeg"))
         .when(is_text, F.lit("text/plain"))
         .otherwise(F.lit("application/octet-stream"))
     )
+    return F.when(c.isNotNull(), F.coalesce(by_start, F.when(box, _iso_type(c)), by_rest))
 
 
 def valid_mime(raw: Column | str, path: Column | str) -> Column:
     """struct(mime_type, error): detector output without ``/`` is an error."""
-    t = trim_space(_c(raw))
-    ok = F.instr(t, "/") > 0
-    return F.struct(
-        F.when(ok, t).alias("mime_type"),
-        F.when(~ok, F.concat(F.lit("detecting mime for "), _c(path), F.lit(": "), t)).alias("error"),
-    )
+    def of(t: Column) -> Column:
+        ok = F.instr(t, "/") > 0
+        return F.struct(
+            F.when(ok, t).alias("mime_type"),
+            F.when(~ok, F.concat(F.lit("detecting mime for "), _c(path), F.lit(": "), t)).alias("error"),
+        )
+
+    return _bind(_c(raw), lambda r: _bind(trim_space(r), of))

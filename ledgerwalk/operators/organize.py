@@ -14,7 +14,8 @@ candidate's status is decided in bulk:
 Steps 4 and 5 depend on each other only where hashes share a destination.  A
 destination names the hash's first 8 characters, so the graph of hashes and
 contested destinations falls apart by them, and each part is settled on its own,
-in path order (``_settle``).  Of a hash only the first row of each contested
+in path order: the rows stream by part and path, and only the part that is being
+read is remembered (``_settle``).  Of a hash only the first row of each contested
 destination before its first uncontested one enters its part: that one is free
 whatever the others get.  There are no rounds.
 
@@ -25,10 +26,10 @@ candidates in salted joins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +78,9 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
     """Per candidate: capture time and source, destination, reason, status.
 
     Shuffles of the candidate side: one join by hash (against the per-hash
-    table), one by destination (against the taken destinations), one by hash
-    (against the winners), each salted over ``buckets`` tasks a key."""
+    table) and one by hash (against the winners); its first rows of each hash and
+    destination meet the taken destinations.  Each is salted over ``buckets`` tasks a
+    key.  The plan is not stored: store it where it is read more than once."""
     zone = validate_zone(zone)
     if "mime" not in tables:
         raise ValueError("mime table not available: run the mime enricher first")
@@ -98,11 +100,9 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
     if dry_run:
         return _finish(c.withColumn("status", F.coalesce("status", F.lit(STATUS_ORGANIZE))))
 
-    taken = live_clean.select(F.col("path").alias("dst_path"), F.lit(True).alias("dst_taken"))
-    todo = salted_join(c.filter(F.col("status").isNull()), taken, "dst_path", "left", spread_by=["file_id"], buckets=buckets).checkpoint()
-    free = todo.filter(F.col("dst_taken").isNull()).select("file_id", "sha256", "path", "dst_path")
-    winners = _hash_winners(free)
-    decided = salted_join(todo.drop("dst_taken"), winners.select("sha256", F.col("path").alias("w_path")), "sha256", "left",
+    todo = c.filter(F.col("status").isNull())
+    winners = _hash_winners(todo, live_clean.select(F.col("path").alias("dst_path"), F.lit(True).alias("dst_taken")), buckets)
+    decided = salted_join(todo, winners.select("sha256", F.col("path").alias("w_path")), "sha256", "left",
                           spread_by=["file_id"], buckets=buckets)
     status = (F.when(F.col("path") == F.col("w_path"), F.lit(STATUS_ORGANIZED))
               .when(F.col("path") > F.col("w_path"), F.lit(STATUS_SKIPPED))
@@ -111,41 +111,48 @@ def organize_plan(tables: dict[str, DataFrame], zone: str,
     return _finish(c.filter(F.col("status").isNotNull()).unionByName(decided))
 
 
-def _hash_winners(free: DataFrame) -> DataFrame:
+def _hash_winners(todo: DataFrame, taken: DataFrame, buckets: int) -> DataFrame:
     """(sha256, file_id, path, dst_path): the row of each hash that is organised, among
     rows whose destination no clean file holds."""
     # later rows of a hash for the same destination meet what the first one met
-    firsts = free.groupBy("sha256", "dst_path").agg(F.min_by(F.struct("file_id", "path"), "path").alias("w")) \
-        .select("sha256", "dst_path", "w.file_id", "w.path").checkpoint()
+    firsts = todo.groupBy("sha256", "dst_path").agg(F.min_by(F.struct("file_id", "path"), "path").alias("w")) \
+        .select("sha256", "dst_path", "w.file_id", "w.path")
+    firsts = salted_join(firsts, taken, "dst_path", "left", spread_by=["file_id"], buckets=buckets) \
+        .filter(F.col("dst_taken").isNull()).drop("dst_taken").checkpoint()
     claims = firsts.groupBy("dst_path").agg(F.count(F.lit(1)).alias("claims")).filter("claims > 1").checkpoint()
     if claims.isEmpty():
         return firsts.groupBy("sha256").agg(F.min_by(F.struct("file_id", "path", "dst_path"), "path").alias("w")) \
             .select("sha256", "w.file_id", "w.path", "w.dst_path")
-    marked = salted_join(firsts, claims, "dst_path", "left", spread_by=["file_id"])
+    marked = salted_join(firsts, claims, "dst_path", "left", spread_by=["file_id"], buckets=buckets).checkpoint()
     own = F.col("claims").isNull()
     safe = marked.filter(own).groupBy("sha256").agg(F.min_by(F.struct("file_id", "path", "dst_path"), "path").alias("w")) \
-        .select("sha256", "w.file_id", "w.path", "w.dst_path")
+        .select("sha256", "w.file_id", "w.path", "w.dst_path").checkpoint()
     limit = safe.select("sha256", F.col("path").alias("safe_path"))
-    open_rows = salted_join(marked.filter(~own).drop("claims"), limit, "sha256", "left", spread_by=["file_id"])
+    open_rows = salted_join(marked.filter(~own).drop("claims"), limit, "sha256", "left", spread_by=["file_id"], buckets=buckets)
     open_rows = open_rows.filter(F.col("safe_path").isNull() | (F.col("path") < F.col("safe_path"))).drop("safe_path").checkpoint()
     contested = open_rows.select("sha256").distinct()
     rows = open_rows.unionByName(safe.join(contested, "sha256", "left_semi"))
-    settled = rows.withColumn("part", short_sha("sha256")).groupBy("part").applyInPandas(
-        _settle, "sha256 string, file_id long, path string, dst_path string")
+    dealt = rows.select(short_sha("sha256").alias("part"), "sha256", "file_id", "path", "dst_path") \
+        .repartition("part").sortWithinPartitions("part", "path")
+    settled = dealt.mapInArrow(_settle, "sha256 string, file_id long, path string, dst_path string")
     return safe.join(contested, "sha256", "left_anti").unionByName(settled)
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """One part, in path order: a row takes its destination unless its hash has one or
-    another hash took it."""
-    rows = rows.iloc[rows["path"].map(lambda p: p.encode()).argsort(kind="stable")]
-    done, taken, keep = set(), set(), []
-    for sha, dst in zip(rows["sha256"], rows["dst_path"]):
-        keep.append(sha not in done and dst not in taken)
-        if keep[-1]:
-            done.add(sha)
-            taken.add(dst)
-    return rows.loc[keep, ["sha256", "file_id", "path", "dst_path"]]
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, sha256, file_id, path, dst_path) by part and path: a row takes its
+    destination unless its hash has one or another hash took it.  Holds what one part
+    has settled so far."""
+    part, done, taken = None, set(), set()
+    for b in batches:
+        keep = []
+        for p, sha, dst in zip(*(b.column(c).to_pylist() for c in ("part", "sha256", "dst_path"))):
+            if p != part:
+                part, done, taken = p, set(), set()
+            keep.append(sha not in done and dst not in taken)
+            if keep[-1]:
+                done.add(sha)
+                taken.add(dst)
+        yield b.select(["sha256", "file_id", "path", "dst_path"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _finish(c: DataFrame) -> DataFrame:

@@ -193,3 +193,16 @@ def test_timestamp_error_precedes_already_clean(spark):
     t["files"] = t["files"].withColumn("mod_time", F.lit(None).cast("timestamp_ntz"))
     plan = organize_plan(t, "UTC").collect()
     assert [(r.status, r.error) for r in plan] == [("error", "no usable timestamp (exif + mod_time both unparseable)")]
+
+
+def test_parts_are_settled_as_a_stream():
+    """Parts that go on in the next batch, and one that begins in the middle of one."""
+    import pyarrow as pa
+    from ledgerwalk.operators.organize import _settle
+    rows = [("p", "a", 1, "1", "x"), ("p", "b", 2, "2", "x"), ("p", "a", 3, "3", "y"), ("p", "b", 4, "4", "y"),
+            ("q", "a", 5, "1", "x"), ("q", "c", 6, "2", "y"), ("q", "c", 7, "3", "z")]
+    names = ["part", "sha256", "file_id", "path", "dst_path"]
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + size])], names=names) for i in range(0, len(rows), size)]
+        got = [i for b in _settle(iter(batches)) for i in b.column("file_id").to_pylist()]
+        assert got == [1, 4, 5, 6]

@@ -186,17 +186,20 @@ def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: Data
     could not be removed.  Success inserts the clean row (or revives a missing
     clean row at that path), appends an ``organize`` operation pointing at the
     clean id, and deletes the raw row when its original was removed.  Planning
-    errors and failed copies append error rows.
+    errors and failed copies append error rows.  What the outcomes decide is stored
+    once; ``plan`` itself is read for that and for its errors, so a plan that is not
+    stored is made twice.
     """
     n = _ts(now)
     files = tables["files"]
-    done = plan.filter(F.col("status") == STATUS_ORGANIZED).join(
+    done = plan.filter(F.col("status") == STATUS_ORGANIZED) \
+        .select("file_id", "sha256", "path", "size", "mod_time", "dst_path", "reason").join(
         outcomes.select("file_id", F.col("error").alias("copy_error"), "remove_error"), "file_id", "inner")
-    ok = done.filter(F.col("copy_error").isNull())
     # a clean row already at the destination (necessarily missing) is revived
     dead = files.filter(F.col("store") == "clean").select(
         F.col("path").alias("dst_path"), F.col("id").alias("clean_id"))
-    ok = ok.join(dead, "dst_path", "left")
+    done = done.join(dead, "dst_path", "left").checkpoint()
+    ok = done.filter(F.col("copy_error").isNull())
     revive = ok.filter(F.col("clean_id").isNotNull())
     fresh = with_dense_ids(ok.filter(F.col("clean_id").isNull()).drop("clean_id"), ["path"], after=files,
                            id_col="clean_id")
@@ -209,8 +212,9 @@ def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: Data
         "sha256", n.alias("hashed_at"))
     removed = ok_all.filter(F.lit(remove_originals) & F.col("remove_error").isNull()).select(
         F.col("file_id").alias("id"))
-    replaced = clean_rows.select("id")
-    kept = files.join(removed, "id", "left_anti").join(replaced, "id", "left_anti")
+    # new ids are in no file yet: only revived rows are replaced
+    replaced = revive.select(F.col("clean_id").alias("id"))
+    kept = files.join(removed.unionByName(replaced), "id", "left_anti")
     new_files = kept.unionByName(S.conform(clean_rows, S.FILES))
 
     ops = ok_all.select(
@@ -219,7 +223,7 @@ def apply_organize(tables: dict[str, DataFrame], plan: DataFrame, outcomes: Data
         "dst_path", F.lit(RULE_ORGANIZE).alias("rule"), "reason", n.alias("executed_at"))
     ops = with_dense_ids(ops, ["src_path"], after=tables["operations"])
 
-    plan_errs = plan.filter(F.col("status") == STATUS_ERROR).select("file_id", "path", "error")
+    plan_errs = plan.filter(F.col("status") == STATUS_ERROR).select("file_id", "path", "error").checkpoint()
     copy_errs = done.filter(F.col("copy_error").isNotNull()).select(
         "file_id", "path", F.concat(F.lit("copy: "), F.col("copy_error")).alias("error"))
     rm_errs = ok_all.filter(F.lit(remove_originals) & F.col("remove_error").isNotNull()).select(

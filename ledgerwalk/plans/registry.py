@@ -510,7 +510,7 @@ def q_organize_stats(spark, sf):
 
 def _organize_applied(spark, sf):
     t = V.media_tables(spark, sf)
-    plan = organize_plan(t, V.MEDIA_ZONE)
+    plan = organize_plan(t, V.MEDIA_ZONE).checkpoint()  # the mover and the report read it
     # mover report: every 19th copy fails; every 7th original cannot be removed
     outcomes = plan.filter(F.col("status") == "organized").select(
         "file_id", F.when(F.col("file_id") % 19 == 0, F.lit("disk full")).alias("error"),

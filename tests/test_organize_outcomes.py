@@ -206,3 +206,21 @@ def test_parts_are_settled_as_a_stream():
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + size])], names=names) for i in range(0, len(rows), size)]
         got = [i for b in _settle(iter(batches)) for i in b.column("file_id").to_pylist()]
         assert got == [1, 4, 5, 6]
+
+
+def test_applying_reads_the_plan_twice(spark):
+    """Once for what the outcomes decide and once for its errors, however many results
+    follow from them."""
+    t = media(spark, [dict(id=i, store="raw", path=f"{i}.jpg", sha256=f"h{i}", mod_time=MT) for i in range(1, 21)])
+    plan = organize_plan(t, "UTC").checkpoint()
+    outcomes = plan.selectExpr("file_id", "if(file_id % 5 = 0, 'disk full', null) AS error", "if(file_id % 7 = 0, 'denied', null) AS remove_error")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    out = apply_organize(t, plan.mapInArrow(counted, plan.schema), outcomes, remove_originals=True, now=NOW)
+    assert [out[k].count() for k in ("files", "operations", "process_errors")] == [22, 16, 6]
+    assert seen.value == 40

@@ -609,7 +609,7 @@ UNION ALL
 SELECT clean_id, 'clean', dst_path, size, mod_time, {_MNOW}, false, sha256 FROM clash_new""")
 def q_organize_revived(spark, sf):
     t = V.clash_tables(spark, sf)
-    plan = organize_plan(t, "UTC")
+    plan = organize_plan(t, "UTC").checkpoint()  # the mover and the report read it
     outcomes = plan.filter(F.col("status") == "organized").select(
         "file_id", F.when(F.col("file_id") % 19 == 0, F.lit("disk full")).alias("error"),
         F.when(F.col("file_id") % 7 == 0, F.lit("permission denied")).alias("remove_error"))
